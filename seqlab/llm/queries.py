@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .jpeg import op5_media_jpeg
+from .near_dup import op6_minhash_near_dedup
 from .packing import op9_best_fit_packing
 from .substring import op8_substring_dedup
+from .topk import OP1_SQL, op1_exact_top_k
+from .warc import OP10_SQL, op10_warc_zip
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_media_jpeg": op5_media_jpeg,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_warc_zip": op10_warc_zip,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op10_warc_zip": OP10_SQL}
