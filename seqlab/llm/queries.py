@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .jpeg import op5_media_jpeg
+from .licenses import OP7_SQL, op7_license_scan
 from .near_dup import op6_minhash_near_dedup
 from .packing import op9_best_fit_packing
+from .quality import op4_quality_co_training
 from .substring import op8_substring_dedup
 from .topk import OP1_SQL, op1_exact_top_k
+from .toxicity import op3_toxicity
 from .warc import OP10_SQL, op10_warc_zip
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_co_training": op4_quality_co_training,
     "op5_media_jpeg": op5_media_jpeg,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc_zip": op10_warc_zip,
 }
 
-ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op10_warc_zip": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_license_scan": OP7_SQL, "op10_warc_zip": OP10_SQL}
