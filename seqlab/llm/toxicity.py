@@ -172,7 +172,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
     bounded_batches(docs.sparkSession)
     texts = lambda df: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    taught = texts(learn_from if learn_from is not None else docs).filter(part(F.col("id")) != 2).join(known, "id")
+    taught = texts(learn_from if learn_from is not None else docs).filter(part(F.col("id")) != 2).join(known.hint("merge"), "id")
     model = slotted(ratios(counted(taught.filter(part(F.col("id")) != 3))))
     seen = evidence(taught.filter(part(F.col("id")) == 3), model, ["id", "toxic"])
     sample = seen.orderBy(F.xxhash64("id"), "id", "n").limit(CALIBRATION_ROWS).select(F.array(*inputs()).alias("x"), "toxic").toArrow()
