@@ -122,7 +122,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.filter(part(F.col("id")) != 2).orderBy(order, "id").limit(SAMPLE)
     others = rows.filter("id is not null").select("id").distinct().join(known, "id", "left_anti").orderBy(order, "id").limit(POOL)
     wanted = chosen.unionByName(others.withColumn("good", F.lit(-1.0)))
-    sample = features(rows.join(wanted, "id"), ["id", "good"]).withColumn("part", part(F.col("id"))).toArrow()
+    sample = features(rows.join(F.broadcast(wanted), "id"), ["id", "good"]).withColumn("part", part(F.col("id"))).toArrow()
     good, fold = sample.column("good").to_numpy(), sample.column("part").to_numpy()
     by_id = np.argsort(sample.column("id").to_numpy(), kind="stable")
     a, b = (np.array(sample.column(c).to_pylist(), dtype=float).reshape(len(good), -1)[by_id] for c in ("a", "b"))
