@@ -9,10 +9,11 @@ Processes stop where the document's components are all decided, so a document co
 shingles plus m log m points and not their product.
 
 Then: texts of equal multisets are one class at once; representatives meet in bands; in a bucket one
-member, the centre, is compared with the rest, exactly, on whole multisets. What the centre's
-component doesn't hold is compared further, some members at a time as centres, until every two
-members of a bucket are compared or connected. So buckets of any size are done without all pairs,
-and no link between two members of a bucket is lost.
+member, the centre, is compared with the rest, exactly, on whole multisets. The centre is the member
+that shares the most places in buckets, as the text that a group was copied from does. What then
+isn't in the centre's component is compared, exactly again, with the whole bucket, in cells of a
+bounded number of members on either side; only links come out. So every two members of a bucket are
+compared or connected, a bucket of any size is spread over tasks, and no pairs are listed.
 
 Words are [^\\x20\\x09-\\x0D]+ as they are; a shingle is five words, or the whole of a text of one to
 four. Texts without words (null, empty) have no near copies and are classes of their own. A row with
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, Words, bounded_batches, mix, rolled, slices, stored, table
@@ -33,9 +34,11 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 6
-#: Centres of a bucket in a round after the first.
-CENTRES = 8
+#: Components of a signature; bands, each of so many components drawn from them. At a similarity of
+#: 0.8 a pair misses all bands once in about 300 times, at 0.85 in 100,000; at 0.5 one pair in 50 meets.
+COMPONENTS, BANDS, ROWS = 256, 80, 12
+#: Members of a cell on either side: those to compare and those they are compared with.
+CELL = (128, 512)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,14 +111,18 @@ def signatures(x: np.ndarray, count: np.ndarray, text: np.ndarray, texts: int, m
 
 
 def banded(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    parts = names.reshape(len(names), bands, rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * GOLDEN + np.zeros((len(names), 1), dtype=np.uint64)
-    for r in range(rows):
-        out = out * np.uint64(BASE) + parts[:, :, r]
+    """A key for each band: a hash of the components that the band draws, the same ones for every document."""
+    out = np.empty((len(names), bands), dtype=np.uint64)
+    seeds = np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN
+    for k in range(bands):
+        key = np.full(len(names), seeds[k])
+        for c in np.random.default_rng(k).choice(names.shape[1], rows, replace=False):
+            key = key * np.uint64(BASE) + names[:, c]
+        out[:, k] = key
     return mix(out)
 
 
-def sketches(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+def sketches(docs: DataFrame, bands: int, rows: int, size: int, width: int = COMPONENTS) -> DataFrame:
     """id, n (shingles), d1 and d2 (digest of the multiset) and keys (of the bands); null digests without shingles."""
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -129,7 +136,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
             for k in (0x1656667B19E3779F, 0x27D4EB2F165667C5):
                 sums = np.append(np.uint64(0), np.cumsum(mix(out ^ np.uint64(k))))
                 digests.append(pa.array((sums[starts[1:]] - sums[starts[:-1]]).view(np.int64), mask=~some))
-            keys = banded(signatures(x, count, text, len(n), bands * rows), bands, rows).view(np.int64)
+            keys = banded(signatures(x, count, text, len(n), width), bands, rows).view(np.int64)
             offsets = np.append(0, np.cumsum(some * bands))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[some].reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *digests, lists], names=["id", "n", "d1", "d2", "keys"])
@@ -158,6 +165,10 @@ def multisets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {id_type}, bag binary")
 
 
+def ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def similar(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose multisets overlap by at least that much."""
     id_type = pairs.schema["a"].dataType.simpleString()
@@ -179,7 +190,29 @@ def similar(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return both.filter(shortest >= least * longest).select("a", "b", "x", "y").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, least: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
+def links_in_cells(waiting: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of waiting (key, w, x, id, bag) with members (k, u, v, member, other), within equal (key, w, x) and (k, u, v)."""
+    id_type = members.schema["member"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            bags = [np.frombuffer(y, "<u4") for y in right.column("other").to_pylist()]
+            size = np.array([len(y) for y in bags])
+            every, start, ids = np.concatenate(bags), np.cumsum(size) - size, right.column("member").to_numpy()
+            for own, bag in zip(left.column("id").to_pylist(), left.column("bag").to_pylist(), strict=True):
+                x = np.frombuffer(bag, "<u4")
+                hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+                shared = np.add.reduceat(hit.astype(np.int64), start)
+                linked = ids[(shared >= least * (size + len(x) - shared)) & (ids != own)]
+                a += [own] * len(linked)
+                b += linked.tolist()
+        return pa.table([pa.array(a, left.schema.field("id").type), pa.array(b, left.schema.field("id").type)], names=["a", "b"])
+
+    return waiting.groupBy("key", "w", "x").cogroup(members.groupBy("k", "u", "v")).applyInArrow(run, f"a {id_type}, b {id_type}")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """One row per input row: id_col and class_id, the smallest id of its class of linked near copies."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -187,37 +220,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     same = sketch.filter("id is not null and n > 0").groupBy("d1", "d2", "n").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("rep"))
     same = stored(same, "copies")
     spread = same.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
-    crowded = spread.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    crowded = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "size")
     members = stored(spread.join(crowded, "key"), "buckets")
-    bags = stored(multisets(texts.filter("id is not null").join(members.select("id").distinct(), "id", "left_semi"), size), "bags")
-
-    tested = links = roots = None
-    used = None
-    while True:
-        if used is None:
-            chosen = members.groupBy("key").agg(F.min("id").alias("centre"))
-            pairs = chosen.join(members, "key").filter("centre <> id").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            labelled = members.join(sizes, "key").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            main = labelled.groupBy("key").agg(F.min_by("root", "id").alias("main"))
-            others = labelled.join(main, "key").filter("root <> main").select("key", "id", "root").join(used.withColumnRenamed("centre", "id"), ["key", "id"], "left_anti")
-            order = Window.partitionBy("key").orderBy("id")
-            chosen = stored(others.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= centres).select("key", F.col("id").alias("centre"), F.col("root").alias("from")), "centres")
-            if chosen.isEmpty():
-                break
-            pairs = chosen.join(labelled, "key").filter("centre <> id and `from` <> root").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            chosen = chosen.drop("from")
-        pairs = stored(pairs, "pairs")
-        found = stored(similar(pairs, bags, least), "found")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if used is None:  # a bucket of two is done with its one pair
-            sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2").select("key")
-            used = chosen
-        else:
-            used = used.unionByName(chosen)
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    bags = stored(multisets(texts.filter("id is not null").join(met.select("id").hint("merge"), "id", "left_semi"), size), "bags")
+
+    members = stored(members.join(met, "id"), "buckets")
+    rank = lambda: F.struct(F.col("met"), -F.col("id"))
+    centre = members.groupBy("key").agg(F.max_by("id", rank()).alias("centre"))
+    joined = members.join(centre, "key")
+    pairs = stored(ordered_pairs(joined.filter("centre <> id"), "centre", "id"), "pairs")
+    found = stored(similar(pairs, bags, least), "found")
+    roots = components(found)
+
+    # a bucket of two is done with its one pair
+    known = joined.filter("size > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = known.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("main")), "centre", "left")
+    known = stored(known.select("key", "id", "size", (F.col("root") != F.coalesce("main", "centre")).alias("waits")), "buckets")
+    open_ = known.groupBy("key").agg(F.count_if(F.col("waits")).alias("n")).filter("n > 0")
+    cells = known.join(open_, "key").join(bags.hint("merge"), "id").withColumns({"wide": F.ceil(F.col("n") / CELL[0]), "deep": F.ceil(F.col("size") / CELL[1])})
+    slot, every = lambda c: F.pmod(F.xxhash64("id"), F.col(c)), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    waiting = cells.filter("waits").select("key", slot("wide").alias("w"), every("deep").alias("x"), "id", "bag")
+    members = cells.select(F.col("key").alias("k"), every("wide").alias("u"), slot("deep").alias("v"), F.col("id").alias("member"), F.col("bag").alias("other"))
+    more = stored(links_in_cells(waiting, members, least), "found")
+    roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     named = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("class_id"))
     out = sketch.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
