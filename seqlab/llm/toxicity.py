@@ -138,7 +138,7 @@ def evidence(docs: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
             key, text = grams(texts_of(batch, "text"))
             value = sent.value[slot_of(key, bits)].astype(np.float64)
             sums = [np.bincount(text, weights=np.where(value > cut, value, 0), minlength=len(batch)) for cut in (-np.inf, *CLEAR)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x) for x in sums), pa.array(np.bincount(text, minlength=len(batch)))], names=[*keep, "total", "e0", "e1", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in sums), pa.array(np.bincount(text, minlength=len(batch)), pa.int64())], names=[*keep, "total", "e0", "e1", "n"])
 
     return kept.mapInArrow(run, f"{fields}, total double, e0 double, e1 double, n long")
 
