@@ -125,7 +125,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = features(rows.join(F.broadcast(wanted), "id"), ["id", "good"]).withColumn("part", part(F.col("id"))).toArrow()
     good, fold = sample.column("good").to_numpy(), sample.column("part").to_numpy()
     by_id = np.argsort(sample.column("id").to_numpy(), kind="stable")
-    a, b = (np.array(sample.column(c).to_pylist(), dtype=float).reshape(len(good), -1)[by_id] for c in ("a", "b"))
+    a, b = (np.array(sample.column(c).to_pylist(), dtype=float)[by_id] for c in ("a", "b"))
     good, fold = good[by_id], fold[by_id]
     learn, fit, pool = (good >= 0) & (fold < 2), (good >= 0) & (fold == 3), good < 0
     both = all(0 < good[m].sum() < m.sum() for m in (learn, fit))
