@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, numbered
 from .metrics import confusion_counts, confusion_metrics, threshold_curve
 from .sequence import SMOOTHERS, smooth
 
@@ -14,14 +14,11 @@ COUNTS = ["tp", "fp", "fn", "tn"]
 
 def replicates(clusters: DataFrame, n_boot: int, seed: int, keys: list[str], stats: list[str], cluster: str) -> DataFrame:
     """Sums of the statistics over clusters drawn with replacement: keys, rep and stats. The data are read once; a replicate joins the small cluster table on a number."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(cluster) if keys else Window.orderBy(cluster)
-    numbered = clusters.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
+    placed = numbered(clusters, cluster, keys, "_i")
     sizes = clusters.groupBy(*keys).agg(F.count("*").alias("_m")) if keys else clusters.agg(F.count("*").alias("_m"))
     drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
     drawn = drawn.withColumn("_i", draw(seed, "boot", "rep", "_slot") % F.col("_m"))
-    return drawn.join(numbered, [*keys, "_i"]).groupBy(*keys, "rep").agg(*(F.sum(s).alias(s) for s in stats))
+    return drawn.join(placed, [*keys, "_i"]).groupBy(*keys, "rep").agg(*(F.sum(s).alias(s) for s in stats))
 
 
 def cluster_counts(df: DataFrame, threshold: Column, cluster: str, keys: list[str]) -> DataFrame:
