@@ -92,6 +92,12 @@ def features(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, a array<double>, b array<double>")
 
 
+def dense(lists: pa.ChunkedArray) -> np.ndarray:
+    """Equally long lists as a matrix, without a Python object for each value."""
+    flat = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks)])
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
+
+
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
@@ -125,7 +131,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = features(rows.join(F.broadcast(wanted), "id"), ["id", "good"]).withColumn("part", part(F.col("id"))).toArrow()
     good, fold = sample.column("good").to_numpy(), sample.column("part").to_numpy()
     by_id = np.argsort(sample.column("id").to_numpy(), kind="stable")
-    a, b = (np.array(sample.column(c).to_pylist(), dtype=float)[by_id] for c in ("a", "b"))
+    a, b = (dense(sample.column(c))[by_id] for c in ("a", "b"))
+    del sample
     good, fold = good[by_id], fold[by_id]
     learn, fit, pool = (good >= 0) & (fold < 2), (good >= 0) & (fold == 3), good < 0
     both = all(0 < good[m].sum() < m.sum() for m in (learn, fit))
