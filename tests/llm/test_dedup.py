@@ -73,6 +73,19 @@ def test_crowded_bucket_keeps_all_links(spark, docs):
     assert {r.class_id for r in near_dup.classes(docs(rows)).collect()} == set(classes_of(rows).values())
 
 
+def test_pairs_at_the_threshold_meet():
+    """3,000 pairs of 0.80 to 0.82 with nothing else near: each shares a band."""
+    pairs, changed = 3000, 10
+    n = np.repeat(np.random.default_rng(3).integers(90, 100, pairs), 2)
+    text = np.repeat(np.arange(2 * pairs), n)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    own = np.where(place < changed, text, text // 2 + 2 * pairs)  # both of a pair share all but the first shingles
+    x = mix((own * 128 + place).astype(np.uint64))
+    names = near_dup.signatures(x, np.ones(len(x), np.int64), text, 2 * pairs, getattr(near_dup, "COMPONENTS", near_dup.BANDS * near_dup.ROWS))
+    keys = near_dup.banded(names, near_dup.BANDS, near_dup.ROWS)
+    assert (keys[0::2] == keys[1::2]).any(axis=1).all()
+
+
 @pytest.mark.parametrize("shift", [0, 2])
 def test_signatures_estimate_weighted_jaccard(shift):
     rng = np.random.default_rng(1)
