@@ -6,6 +6,9 @@ it, found in a bitset keyed by free space. There is a fixed number of open bins;
 the fullest closes first. Pieces come longest first, and a share is no larger than the number of
 open bins, so that a share wastes about one bin.
 
+A text's ids are those of the tokenizers library for the same vocabulary without a template: the
+strings of its added tokens have ids of their own, and what lies between them is encoded by itself.
+
 A document's ids are cut from the end: full pieces behind a first piece that may be shorter. Full
 pieces are sequences by themselves. Null texts are empty; every document has at least its end token,
 so each has at least one piece. Rows that repeat are packed as often as they come; an empty table
@@ -14,6 +17,8 @@ gives no rows. Null ids are packed like any other.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,10 +39,12 @@ CAPACITY = 1024
 OPEN_BINS = 4096
 #: Id behind each document.
 END_ID = 2
+#: The vocabulary as the tokenizers library has it; its added tokens are read from here.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 class RankTokens(ByteBpe):
-    """The chunk cache over a library's encoder; ids as the tokenizers library gives them for the same vocabulary, special tokens' strings being ordinary text."""
+    """The chunk cache over a library's encoder; ids as the tokenizers library gives them for the same vocabulary to ordinary text."""
 
     def __init__(self, rank_file: str, pattern: str) -> None:
         self.library = None
@@ -51,6 +58,30 @@ class RankTokens(ByteBpe):
         return self.library.encode_to_numpy(chunk, disallowed_special=()).astype("<u4").tobytes()
 
 
+class AddedTokens:
+    """Puts the ids of a vocabulary's added tokens where their strings stand in a text."""
+
+    def __init__(self, file: str | None) -> None:
+        added = []
+        if file:
+            with open(file, encoding="utf-8") as f:
+                added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take the space beside them or keep to words are not known here")
+        self.ids = {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")") if added else None
+
+    def encode(self, text: str, tokens: RankTokens) -> bytes:
+        if self.pattern is None or not self.pattern.search(text):
+            return tokens.encode(text)
+        return b"".join(self.ids[part] if k % 2 else tokens.encode(part) for k, part in enumerate(self.pattern.split(text)) if part)
+
+
+@lru_cache(maxsize=2)
+def added_of(file: str | None) -> AddedTokens:
+    return AddedTokens(file)
+
+
 @lru_cache(maxsize=2)
 def tokens_of(rank_file: str, pattern: str) -> RankTokens:
     return RankTokens(rank_file, pattern)
@@ -59,14 +90,15 @@ def tokens_of(rank_file: str, pattern: str) -> RankTokens:
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Token pieces of every document: id_col, piece, start, length, ids_crc32."""
     path = rank_file or default_ranks()
+    special = public_tokenizers.path(VOCABULARY) if rank_file is None else None
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(path, pattern)
+        tokens, added = tokens_of(path, pattern), added_of(special)
         for batch in slices(batches, "text"):
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(texts_of(batch, "text")):
-                ids = tokens.encode(text) + end
+                ids = added.encode(text, tokens) + end
                 n = len(ids) // 4
                 at, stop, k = 0, n % capacity or capacity, 0
                 while at < n:

@@ -1,6 +1,7 @@
 """BPE by tree reduction against the library it must equal, round trips, and packing."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -45,6 +46,15 @@ def test_packing_tokens_equal_tokenizers():
         assert own.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_pieces_equal_tokenizers_at_its_defaults(spark, docs):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["It's <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b \n", "<|endoftext", "x <|endoftext|>", ""]
+    got = {r.doc_id: r for r in packing.pieces_of(docs(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, packing.END_ID], dtype="<u4").tobytes()
+        assert (got[i].length, got[i].ids_crc32) == (len(ids) // 4, zlib.crc32(ids)), text
+
+
 def test_encode_table(spark, docs):
     rows = [(1, None), (2, ""), (3, "plain words here"), (3, "plain words here"), (None, "x"), (4, "long " * 30_000)]
     got = bpe.encode(docs(rows, True), decoded=True).toArrow().to_pylist()
