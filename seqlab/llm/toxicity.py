@@ -7,10 +7,12 @@ over the counts of both, so an expression too rare in either class costs both th
 nothing. A document's evidence is the difference of the two log-likelihoods divided by its length:
 the mean over its characters, and the shares of it that clearly toxic characters make up. A logistic
 curve over these, fitted on labelled documents that taught the models nothing, gives the score.
-Counts come from all labelled documents of the learning part and are joined and summed by Spark; only
-the finished table of log-ratios goes to the tasks, in a fixed number of slots (an n-gram's slot
-follows from its hash; n-grams that meet share the mean by count), so its size has a bound whatever
-the input.
+Counts come from all labelled documents of the learning part and are joined and summed by Spark. The
+finished table of log-ratios holds the n-grams that a class has more often than its discount; any other
+n-gram says nothing, 0: all it could tell is how far its context backs off, and that follows the classes'
+sizes. The table stays a Spark table. Its most frequent entries, a bounded number
+whatever the input, go to the tasks with their keys; n-grams that may have an entry beyond these are
+counted by document and joined to the table on the exact key, so every n-gram gets its own value.
 
 Words are runs of letters, lower case. Null and empty texts have no characters and score the
 calibrated prior. Without any labelled row of both classes every score is the share of toxic labels,
@@ -22,10 +24,12 @@ its rows. Long texts are scored whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, slices, stored, table, texts_of
@@ -35,8 +39,8 @@ ORDER = 6
 DISCOUNT, CLASS_DISCOUNT = 0.75, 3.0
 #: Log-ratios above these count as clearly toxic.
 CLEAR = (1.0, 2.0)
-#: Slots of the table of log-ratios (bits).
-SLOT_BITS = 21
+#: Slots of the entries that tasks hold (bits), and entries of a slot at most; the table itself has no bound.
+SLOT_BITS, WAYS = 19, 4
 #: Bits of a character within an n-gram's key; characters above share keys.
 CHAR_BITS = 10
 #: The scores at and above this are labelled toxic.
@@ -104,43 +108,84 @@ def ratios(counts: DataFrame) -> DataFrame:
     totals = wide.groupBy("context").agg(*(e for y in (0, 1) for e in (F.sum(f"c{y}").alias(f"t{y}"), F.sum(F.least(f"c{y}", F.lit(CLASS_DISCOUNT))).alias(f"s{y}"))))
     own = wide.filter(F.greatest("c0", "c1") > CLASS_DISCOUNT).join(totals, "context").join(shared_model(wide.select("key", (F.col("c0") + F.col("c1")).alias("c")), ORDER), "key")
     q = [F.when(F.col(f"t{y}") > 0, (F.greatest(F.col(f"c{y}") - CLASS_DISCOUNT, F.lit(0.0)) + F.col(f"s{y}") * F.col("p")) / F.col(f"t{y}")).otherwise(F.col("p")) for y in (0, 1)]
-    return own.select("key", (F.log(q[1]) - F.log(q[0])).alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
+    return own.select("key", (F.log(q[1]) - F.log(q[0])).cast("float").alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
 
 
 def slot_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (mix(key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def slotted(values: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
-    """The table as float32 by slot, 0 where there is none. No more rows than slots come to the driver."""
+class Held(NamedTuple):
+    """Entries by way and slot: keys (-1: none) and values; more marks the slots with entries beyond these."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    more: np.ndarray
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key its value, 0 where it isn't held, and whether the table may have it then."""
+        slot = slot_of(key, len(self.more).bit_length() - 1)
+        value, held = np.zeros(len(key)), np.zeros(len(key), bool)
+        for keys, values in zip(self.keys, self.values, strict=True):
+            same = keys[slot] == key
+            value[same] = values[slot[same]]
+            held |= same
+        return value, ~held & self.more[slot]
+
+
+def held(entries: DataFrame, bits: int = SLOT_BITS, ways: int = WAYS) -> Held:
+    """The most frequent entries of each slot. No more rows than slots times (ways + 1) come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = slot_of(batch.column("key").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("value"), batch.column("n")], names=["slot", "value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *batch.columns], names=["slot", "key", "value", "n"])
 
-    slots = values.mapInArrow(run, "slot long, value double, n long").groupBy("slot").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).cast("float").alias("value"))
-    got = slots.toArrow()
-    out = np.zeros(1 << bits, np.float32)
-    out[got.column("slot").to_numpy()] = got.column("value").to_numpy()
-    return out
+    order = Window.partitionBy("slot").orderBy(F.desc("n"), "key")
+    rows = entries.select("key", "value", "n").mapInArrow(run, "slot int, key long, value float, n long").withColumn("way", F.row_number().over(order))
+    got = rows.filter(F.col("way") <= ways + 1).select("slot", "way", "key", "value").toArrow()
+    slot, way, key, value = (got.column(c).to_numpy() for c in got.column_names)
+    keys, values, more = np.full((ways, 1 << bits), -1, np.int64), np.zeros((ways, 1 << bits), np.float32), np.zeros(1 << bits, bool)
+    more[slot[way > ways]] = True
+    fits = way <= ways
+    keys[way[fits] - 1, slot[fits]], values[way[fits] - 1, slot[fits]] = key[fits], value[fits]
+    return Held(keys, values, more)
 
 
-def evidence(docs: DataFrame, model: np.ndarray, keep: list[str]) -> DataFrame:
+def evidence(docs: DataFrame, model: Held, entries: DataFrame, keep: list[str]) -> DataFrame:
     """keep and, of each text, total, e0 and e1 (sums of log-ratios: all, and those above each of CLEAR) and n (characters predicted)."""
-    bits = len(model).bit_length() - 1
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
     kept = docs.select("text", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
+    cuts = (-np.inf, *CLEAR)
+    sums = ["total", "e0", "e1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, row = Held(*sent.value), TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             key, text = grams(texts_of(batch, "text"))
-            value = sent.value[slot_of(key, bits)].astype(np.float64)
-            sums = [np.bincount(text, weights=np.where(value > cut, value, 0), minlength=len(batch)) for cut in (-np.inf, *CLEAR)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in sums), pa.array(np.bincount(text, minlength=len(batch)), pa.int64())], names=[*keep, "total", "e0", "e1", "n"])
-
-    return kept.mapInArrow(run, f"{fields}, total double, e0 double, e1 double, n long")
+            value, later = table.find(key)
+            by_text = [np.bincount(text, weights=np.where(value > cut, value, 0), minlength=len(batch)) for cut in cuts]
+            order = np.lexsort((key[later], text[later]))
+            key_, text_ = key[later][order], text[later][order]
+            new = np.flatnonzero((np.diff(key_, prepend=-1) != 0) | (np.diff(text_, prepend=-1) != 0))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text_[new], minlength=len(batch)))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key_[new], np.diff(np.append(new, len(key_))))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in by_text), pa.array(np.bincount(text, minlength=len(batch)), pa.int64()), pa.array(np.arange(row, row + len(batch))), *lists],
+                names=[*keep, *sums, "n", "row", "keys", "times"],
+            )
+            row += len(batch)
+
+    seen = kept.mapInArrow(run, f"{fields}, total double, e0 double, e1 double, n long, row long, keys array<long>, times array<long>")
+    if not model.more.any():
+        return seen.drop("row", "keys", "times")
+    seen = stored(seen, "evidence")
+    waiting = seen.select("row", F.explode(F.arrays_zip("keys", "times")).alias("g")).select("row", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
+    valued = waiting.join(entries.select("key", F.col("value").cast("double").alias("value")), "key")
+    late = valued.groupBy("row").agg(*(F.sum(F.when(F.col("value") > float(cut), F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, cut in zip(sums, cuts, strict=True)))
+    both = seen.drop("keys", "times").join(late, "row", "left")
+    return both.select(*keep, *((F.col(c) + F.coalesce(f"late_{c}", F.lit(0.0))).alias(c) for c in sums), "n")
 
 
 def inputs() -> list[Column]:
@@ -173,8 +218,9 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
     texts = lambda df: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     taught = texts(learn_from if learn_from is not None else docs).filter(part(F.col("id")) != 2).join(known.hint("merge"), "id")
-    model = slotted(ratios(counted(taught.filter(part(F.col("id")) != 3))))
-    seen = evidence(taught.filter(part(F.col("id")) == 3), model, ["id", "toxic"])
+    entries = stored(ratios(counted(taught.filter(part(F.col("id")) != 3))), "ratios")
+    model = held(entries)
+    seen = evidence(taught.filter(part(F.col("id")) == 3), model, entries, ["id", "toxic"])
     sample = seen.orderBy(F.xxhash64("id"), "id", "n").limit(CALIBRATION_ROWS).select(F.array(*inputs()).alias("x"), "toxic").toArrow()
     y = sample.column("toxic").to_numpy().astype(np.float64)
     if len(y) and 0 < y.sum() < len(y):
@@ -183,7 +229,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         weights = np.append(np.log((share + 1e-6) / (1 - share + 1e-6)), np.zeros(5))
     z = sum((float(w) * x for w, x in zip(weights, inputs(), strict=True)), F.lit(0.0))
-    out = evidence(texts(docs), model, ["id"]).withColumn("score", 1 / (1 + F.exp(-z)))
+    out = evidence(texts(docs), model, entries, ["id"]).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select(F.col("id").alias(id_col), (part(F.col("id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

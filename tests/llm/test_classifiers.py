@@ -46,6 +46,24 @@ def test_edges(spark, docs, labels):
     assert quality.scores(docs([]), y).count() == 0
 
 
+@pytest.mark.parametrize("bits", [3, 8, 19])
+def test_every_gram_has_its_own_ratio(spark, bits):
+    """However few entries the tasks hold, an n-gram has its own entry's value and no other, else none."""
+    taught = [(t, y) for t, y in (("badword baddest bad", 1), ("goodword goodness badge", 0), ("plain words badly", 0), ("zzz", 1)) for _ in range(7)]
+    entries = toxicity.stored(toxicity.ratios(toxicity.counted(spark.createDataFrame(taught, "text string, toxic int"))), "test-ratios")
+    value = {r.key: r.value for r in entries.collect()}
+    texts = ["badword", "bad goodwill badminton", "unseen wordy plainest zz", "", "badword badword " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r for r in toxicity.evidence(docs, toxicity.held(entries, bits), entries, ["id"]).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        keys = toxicity.grams([text])[0].tolist()
+        each = [value.get(k, 0.0) for k in keys]
+        assert got[i].n == len(keys)
+        assert got[i].total == pytest.approx(sum(each), abs=1e-6)
+        assert got[i].e0 == pytest.approx(sum(x for x in each if x > toxicity.CLEAR[0]), abs=1e-6)
+
+
 def test_grams_keep_to_words():
     one, _ = toxicity.grams(["Ab c"])
     two, _ = toxicity.grams(["zz ab", "c"])
