@@ -35,7 +35,7 @@ from .graph import components
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands, each of so many components of its own, so bands are independent. At a similarity of 0.8 a pair
-#: misses all bands once in 129,000 times, (1 - 0.8^8)^64, at 0.85 less than once in a billion; at 0.5 one pair in 5 meets.
+#: misses all bands once in 127,000 times, (1 - 0.8^8)^64, at 0.85 about once in 700 million; at 0.5 one pair in 5 meets.
 BANDS, ROWS = 64, 8
 #: Members of a cell on either side: those to compare and those they are compared with.
 CELL = (128, 512)
