@@ -1,24 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models of the characters of words.
 
-Two models, of toxic and of ordinary documents, predict a word's characters from up to five before
-them (within the word; its start and end count as characters). Each class has its own discounted
-counts at the highest order. What the discount takes goes to one model that both share, Kneser-Ney
-over the counts of both, so an expression too rare in either class costs both the same and says
-nothing. A document's evidence is the difference of the two log-likelihoods divided by its length:
-the mean over its characters, and the shares of it that clearly toxic characters make up. A logistic
-curve over these, fitted on labelled documents that taught the models nothing, gives the score.
-Counts come from all labelled documents of the learning part and are joined and summed by Spark. The
-finished table of log-ratios holds the n-grams that a class has more often than its discount; any other
-n-gram says nothing, 0: all it could tell is how far its context backs off, and that follows the classes'
-sizes. The table stays a Spark table. Its most frequent entries, a bounded number
-whatever the input, go to the tasks with their keys; n-grams that may have an entry beyond these are
-counted by document and joined to the table on the exact key, so every n-gram gets its own value.
-
-Words are runs of letters, lower case. Null and empty texts have no characters and score the
-calibrated prior. Without any labelled row of both classes every score is the share of toxic labels,
-or 0. Labels are read from the label table alone; rows whose id is null or has null labels teach
-nothing; where an id has several labels the largest holds. Every document has one row for each of
-its rows. Long texts are scored whole.
+Two models, of toxic and of ordinary documents, predict a word's characters, as bytes of UTF-8, from up
+to five before them (within the word; its start and end count as characters). Each class has its own
+discounted counts at the highest order, weighted so that both classes carry the same total: the larger
+class doesn't know its contexts better only because it is larger. What the discount takes goes to one
+model that both share, Kneser-Ney over the counts of both, so an expression too rare in either class is
+smoothed by the same shared backoff counts. The models are compared by log-likelihood, toxic less
+ordinary, by length: the mean over a document's characters. Two more sums by length, of what exceeds a
+context's backoff clearly, keep a long text's few toxic words from being thinned out. A logistic curve
+over these, fitted on labelled documents that taught the models nothing, gives the score.
+
+The log-ratio of an n-gram is that of its context's backoff weights plus what its own counts add. The
+first is zero exactly where the context has no n-gram above the discount, the second where the n-gram
+isn't above it; so a table of the contexts and n-grams that aren't zero is the whole model. The table is
+a Spark table without a bound. Its most frequent entries, a bounded number whatever the input, go to the
+tasks with their keys; keys that may have an entry beyond these are counted by document and joined to
+the table, so every n-gram gets its own value. Keys are exact: six bytes each.
+
+Words are runs of letters, lower case. Null and empty texts have no characters and score the calibrated
+prior. Without any labelled row of both classes outside the held-out part every score is the share of
+toxic labels there, or 0. Labels are read from the label table alone, never those of held-out ids; rows
+whose id is null or has null labels teach nothing; where an id has several labels the largest holds.
+Every row of docs has a row, rows that repeat and rows with a null id too (held_out is then null). Empty
+tables give no rows. Long texts are scored whole, in blocks.
 """
 
 from __future__ import annotations
@@ -35,80 +39,129 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, mix, slices, stored, table, texts_of
 
 ORDER = 6
-#: Taken from each count of the shared model, and of a class's own counts.
+#: Taken from each count of the shared model, and of a class's own weighted counts.
 DISCOUNT, CLASS_DISCOUNT = 0.75, 3.0
-#: Log-ratios above these count as clearly toxic.
+#: Log-ratios above their context's that exceed these count as clearly toxic.
 CLEAR = (1.0, 2.0)
-#: Slots of the entries that tasks hold (bits), and entries of a slot at most; the table itself has no bound.
+#: Slots of the entries that tasks hold (bits, at most), and entries of a slot at most; the table itself has no bound.
 SLOT_BITS, WAYS = 19, 4
-#: Bits of a character within an n-gram's key; characters above share keys.
-CHAR_BITS = 10
+#: Last byte of a context's key; UTF-8 has no such byte.
+ANY = 0xFF
+#: Bytes of text that a task turns into keys at one time.
+BLOCK_BYTES = 1 << 21
 #: The scores at and above this are labelled toxic.
 THRESHOLD = 0.3
 #: Documents that the calibration is fitted on at most.
 CALIBRATION_ROWS = 50_000
 
 LETTERS = np.zeros(0x110000, dtype=bool)
-LETTERS[[i for i in range(0x3000) if chr(i).isalpha()]] = True
-LETTERS[0x3000:] = [chr(i).isalpha() for i in range(0x3000, 0x110000)]
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-grams of ORDER characters that end in a letter or behind one, and their text."""
-    joined = "\n".join(texts).lower() + "\n"
-    points = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-    chars = np.where(LETTERS[points], (points & ((1 << CHAR_BITS) - 1)) + (points == 0), 0).astype(np.int64)
-    # lower() may lengthen a text, so texts are told apart by the line feed between them; their own count as such too
-    sizes = np.array([len(t.lower()) + 1 for t in texts], dtype=np.int64)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    key, seen = chars.copy(), None
-    for k in range(1, ORDER):
-        before = np.concatenate([np.zeros(k, np.int64), chars[:-k]]) if len(chars) > k else np.zeros(len(chars), np.int64)
-        seen = before if seen is None else np.where(seen != 0, before, 0)
-        key |= seen << (CHAR_BITS * k)
-    real = (chars != 0) | ((key >> CHAR_BITS) & ((1 << CHAR_BITS) - 1) != 0)
-    return key[real], text[real]
+for _at in range(0, 0x110000, 0x1000):
+    LETTERS[_at : _at + 0x1000] = [chr(i).isalpha() for i in range(_at, _at + 0x1000)]
+
+
+def grams(texts: list[str], block: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By blocks: keys of all n-grams of ORDER bytes that end in a letter's byte or right behind a word, and their text."""
+    lower = [t.lower() for t in texts]
+    joined = "\n".join(lower) + "\n"
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(texts)), [len(t.encode("utf-8", "surrogatepass")) + 1 for t in lower]) if len(texts) > 1 else None
+    # where a block begins; back to a character's first byte
+    cuts = [0]
+    while cuts[-1] < len(data):
+        at = min(cuts[-1] + block, len(data))
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+        cuts.append(at)
+    at_char = 0
+    carried = np.zeros(ORDER - 1, dtype=np.uint8)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = data[a:b]
+        first = (own & 0xC0) != 0x80
+        chars = int(np.count_nonzero(first))
+        points = np.frombuffer(joined[at_char : at_char + chars].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        at_char += chars
+        byte = np.concatenate([carried, np.where(LETTERS[points][np.cumsum(first) - 1], own, 0).astype(np.uint8)])
+        carried = byte[-(ORDER - 1) :]
+        key = byte[ORDER - 1 :].astype(np.int64)
+        seen = None
+        for k in range(1, ORDER):
+            before = byte[ORDER - 1 - k : len(byte) - k].astype(np.int64)
+            seen = before if seen is None else np.where(seen != 0, before, 0)
+            key |= seen << (8 * k)
+        real = key > 0
+        text = np.zeros(int(real.sum()), np.int64) if owner is None else owner[a:b][real]
+        yield key[real], text
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """docs (id, text, toxic) to (key, toxic, n): how often each class has each n-gram."""
+    """docs (id, text, toxic) to (key, c0, c1): how often each class has each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 22):
-            key, text = grams(texts_of(batch, "text"))
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-            both, n = np.unique(key << 1 | toxic, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(both & 1), pa.array(n)], names=["key", "toxic", "n"])
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            for key, text in grams(texts_of(batch, "text"), 1 << 22):
+                names, at = np.unique(key, return_inverse=True)
+                n = np.bincount(at * 2 + toxic[text], minlength=2 * len(names)).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["key", "c0", "c1"])
 
-    return docs.mapInArrow(run, "key long, toxic long, n long").groupBy("key", "toxic").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "key long, c0 long, c1 long").groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def suffix(key: Column, order: int) -> Column:
-    """The last order characters of a key."""
-    return key.bitwiseAND(F.lit((1 << (CHAR_BITS * order)) - 1).cast("long"))
+    """The last order bytes of a key."""
+    return key.bitwiseAND(F.lit((1 << (8 * order)) - 1).cast("long"))
+
+
+def in_context(*columns: Column) -> list[Column]:
+    """The columns' values by context: the key but for its last byte. A context has no more n-grams than a byte has values."""
+    return [c.over(Window.partitionBy(F.shiftright("key", 8))) for c in columns]
+
+
+def smoothed(level: DataFrame, order: int, below: DataFrame | None) -> DataFrame:
+    """Adds p to the n-grams of one order, (key, c, total, kinds), from the model of the order below."""
+    kept, spare = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total"), DISCOUNT * F.col("kinds") / F.col("total")
+    if below is None:
+        return level.withColumn("p", kept + spare / F.lit(256.0))
+    low = below.select(F.col("key").alias("low"), F.col("p").alias("q"))
+    return level.withColumn("low", suffix(F.col("key"), order - 1)).join(low, "low").withColumn("p", kept + spare * F.col("q")).drop("low", "q")
 
 
 def shared_model(counts: DataFrame, order: int) -> DataFrame:
     """(key, p): the Kneser-Ney probability of each n-gram of that order, from (key, c). Orders below count how many n-grams one longer end in theirs."""
-    counts = counts.withColumn("context", F.shiftright("key", CHAR_BITS))
-    totals = counts.groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
-    own = counts.join(totals, "context")
-    kept, spare = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total"), DISCOUNT * F.col("kinds") / F.col("total")
-    if order == 1:
-        return own.select("key", (kept + spare / F.lit(float(1 << CHAR_BITS))).alias("p"))
-    shorter = counts.groupBy(suffix(F.col("key"), order - 1).alias("key")).agg(F.count("*").alias("c"))
-    below = shared_model(shorter, order - 1).select(F.col("key").alias("low"), F.col("p").alias("q"))
-    return own.withColumn("low", suffix(F.col("key"), order - 1)).join(below, "low").select("key", (kept + spare * F.col("q")).alias("p"))
+    levels = [counts]
+    for k in range(order - 1, 0, -1):
+        levels.append(stored(continuations(levels[-1], k), f"ngrams-{k}"))
+    model = None
+    for k, level in enumerate(reversed(levels), 1):
+        total, kinds = in_context(F.sum("c"), F.count("*"))
+        model = smoothed(level.select("key", "c", total.alias("total"), kinds.alias("kinds")), k, model)
+    return model
+
+
+def continuations(counts: DataFrame, order: int) -> DataFrame:
+    """(key, c): of n-grams of that order, how many kinds of n-grams one longer end in them."""
+    return counts.groupBy(suffix(F.col("key"), order).alias("key")).agg(F.count("*").alias("c"))
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """(key, value, n): the difference of the classes' log-likelihoods, toxic less ordinary, of every n-gram that one class has more often than its discount."""
-    wide = counts.groupBy("key").agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"c{y}") for y in (0, 1))).withColumn("context", F.shiftright("key", CHAR_BITS))
-    wide = stored(wide, "ngrams")
-    totals = wide.groupBy("context").agg(*(e for y in (0, 1) for e in (F.sum(f"c{y}").alias(f"t{y}"), F.sum(F.least(f"c{y}", F.lit(CLASS_DISCOUNT))).alias(f"s{y}"))))
-    own = wide.filter(F.greatest("c0", "c1") > CLASS_DISCOUNT).join(totals, "context").join(shared_model(wide.select("key", (F.col("c0") + F.col("c1")).alias("c")), ORDER), "key")
-    q = [F.when(F.col(f"t{y}") > 0, (F.greatest(F.col(f"c{y}") - CLASS_DISCOUNT, F.lit(0.0)) + F.col(f"s{y}") * F.col("p")) / F.col(f"t{y}")).otherwise(F.col("p")) for y in (0, 1)]
-    return own.select("key", (F.log(q[1]) - F.log(q[0])).cast("float").alias("value"), (F.col("c0") + F.col("c1")).alias("n"))
+    """(key, value, n): toxic less ordinary log-likelihood. Of contexts (last byte ANY) that of the backoff weights, of n-grams what they add; what is left out is zero."""
+    counts = stored(counts, "ngrams")
+    size = [x or 0 for x in counts.agg(F.sum("c0"), F.sum("c1")).first()]
+    weight = [min(size) / x if min(size) else 1.0 for x in size]
+    both = F.col("c0") + F.col("c1")
+    own = counts.select("key", both.alias("c"), *((F.col(f"c{y}") * weight[y]).alias(f"w{y}") for y in (0, 1)))
+    sums = {"total": F.sum("c"), "kinds": F.count("*"), "most": F.max(F.greatest("w0", "w1"))}
+    for y in (0, 1):
+        sums |= {f"t{y}": F.sum(f"w{y}"), f"s{y}": F.sum(F.least(f"w{y}", F.lit(CLASS_DISCOUNT)))}
+    own = own.withColumns(dict(zip(sums, in_context(*sums.values()), strict=True))).filter(F.col("most") > CLASS_DISCOUNT)
+    own = own.withColumns({f"back{y}": F.when(F.col(f"t{y}") > 0, F.col(f"s{y}") / F.col(f"t{y}")).otherwise(1.0) for y in (0, 1)}).withColumn("back", F.log("back1") - F.log("back0"))
+    own = stored(own, "ngrams-above")
+    contexts = own.groupBy((F.shiftright("key", 8) * 256 + ANY).alias("key")).agg(F.first("back").alias("value"), F.first("total").alias("n"))
+    clear = own.filter(F.greatest("w0", "w1") > CLASS_DISCOUNT)
+    clear = smoothed(clear, ORDER, shared_model(stored(continuations(counts, ORDER - 1), f"ngrams-{ORDER - 1}"), ORDER - 1))
+    q = [F.when(F.col(f"t{y}") > 0, F.greatest(F.col(f"w{y}") - CLASS_DISCOUNT, F.lit(0.0)) / F.col(f"t{y}")).otherwise(0.0) + F.col(f"back{y}") * F.col("p") for y in (0, 1)]
+    adds = clear.select("key", (F.log(q[1]) - F.log(q[0]) - F.col("back")).alias("value"), F.col("c").alias("n"))
+    return contexts.unionByName(adds).filter("value <> 0")
 
 
 def slot_of(key: np.ndarray, bits: int) -> np.ndarray:
@@ -133,8 +186,10 @@ class Held(NamedTuple):
         return value, ~held & self.more[slot]
 
 
-def held(entries: DataFrame, bits: int = SLOT_BITS, ways: int = WAYS) -> Held:
-    """The most frequent entries of each slot. No more rows than slots times (ways + 1) come to the driver."""
+def held(entries: DataFrame, bits: int | None = None, ways: int = WAYS) -> Held:
+    """The most frequent entries of each slot. No more rows than 2^bits (2^SLOT_BITS at most) times (ways + 1) come to the driver."""
+    if bits is None:
+        bits = min(SLOT_BITS, max(8, entries.count().bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +197,10 @@ def held(entries: DataFrame, bits: int = SLOT_BITS, ways: int = WAYS) -> Held:
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *batch.columns], names=["slot", "key", "value", "n"])
 
     order = Window.partitionBy("slot").orderBy(F.desc("n"), "key")
-    rows = entries.select("key", "value", "n").mapInArrow(run, "slot int, key long, value float, n long").withColumn("way", F.row_number().over(order))
+    rows = entries.select("key", "value", "n").mapInArrow(run, "slot int, key long, value double, n long").withColumn("way", F.row_number().over(order))
     got = rows.filter(F.col("way") <= ways + 1).select("slot", "way", "key", "value").toArrow()
     slot, way, key, value = (got.column(c).to_numpy() for c in got.column_names)
-    keys, values, more = np.full((ways, 1 << bits), -1, np.int64), np.zeros((ways, 1 << bits), np.float32), np.zeros(1 << bits, bool)
+    keys, values, more = np.full((ways, 1 << bits), -1, np.int64), np.zeros((ways, 1 << bits)), np.zeros(1 << bits, bool)
     more[slot[way > ways]] = True
     fits = way <= ways
     keys[way[fits] - 1, slot[fits]], values[way[fits] - 1, slot[fits]] = key[fits], value[fits]
@@ -153,41 +208,58 @@ def held(entries: DataFrame, bits: int = SLOT_BITS, ways: int = WAYS) -> Held:
 
 
 def evidence(docs: DataFrame, model: Held, entries: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and, of each text, total, e0 and e1 (sums of log-ratios: all, and those above each of CLEAR) and n (characters predicted)."""
+    """keep and, of each text, total, e0 and e1 (sums of log-ratios: all, and of n-grams those above each of CLEAR) and n (characters predicted)."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
     kept = docs.select("text", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    cuts = (-np.inf, *CLEAR)
     sums = ["total", "e0", "e1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, row = Held(*sent.value), TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            key, text = grams(texts_of(batch, "text"))
-            value, later = table.find(key)
-            by_text = [np.bincount(text, weights=np.where(value > cut, value, 0), minlength=len(batch)) for cut in cuts]
-            order = np.lexsort((key[later], text[later]))
-            key_, text_ = key[later][order], text[later][order]
-            new = np.flatnonzero((np.diff(key_, prepend=-1) != 0) | (np.diff(text_, prepend=-1) != 0))
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(text_[new], minlength=len(batch)))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key_[new], np.diff(np.append(new, len(key_))))]
+            rows = len(batch)
+            seen, n = np.zeros((3, rows)), np.zeros(rows, np.int64)
+            late: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for key, text in grams(texts_of(batch, "text")):
+                n += np.bincount(text, minlength=rows)
+                for names, own in ((key, True), (key | ANY, False)):
+                    value, later = table.find(names)
+                    seen[0] += np.bincount(text, weights=value, minlength=rows)
+                    for c, cut in enumerate(CLEAR if own else ()):
+                        above = value > cut
+                        seen[1 + c] += np.bincount(text[above], weights=value[above], minlength=rows)
+                    if later.any():
+                        late.append(summed(text[later], names[later], np.ones(int(later.sum()), np.int64)))
+            text, key, times = summed(*(np.concatenate(x) for x in zip(*late, strict=True))) if late else (np.zeros(0, np.int64),) * 3
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=rows))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, times)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in by_text), pa.array(np.bincount(text, minlength=len(batch)), pa.int64()), pa.array(np.arange(row, row + len(batch))), *lists],
+                [*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in seen), pa.array(n), pa.array(np.arange(row, row + rows)), *lists],
                 names=[*keep, *sums, "n", "row", "keys", "times"],
             )
-            row += len(batch)
+            row += rows
 
     seen = kept.mapInArrow(run, f"{fields}, total double, e0 double, e1 double, n long, row long, keys array<long>, times array<long>")
     if not model.more.any():
         return seen.drop("row", "keys", "times")
     seen = stored(seen, "evidence")
     waiting = seen.select("row", F.explode(F.arrays_zip("keys", "times")).alias("g")).select("row", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
-    valued = waiting.join(entries.select("key", F.col("value").cast("double").alias("value")), "key")
-    late = valued.groupBy("row").agg(*(F.sum(F.when(F.col("value") > float(cut), F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, cut in zip(sums, cuts, strict=True)))
+    valued = waiting.join(entries.select("key", "value"), "key")
+    own = F.col("key").bitwiseAND(F.lit(ANY).cast("long")) != ANY
+    counts = [F.lit(True), *(own & (F.col("value") > cut) for cut in CLEAR)]
+    late = valued.groupBy("row").agg(*(F.sum(F.when(on, F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, on in zip(sums, counts, strict=True)))
     both = seen.drop("keys", "times").join(late, "row", "left")
     return both.select(*keep, *((F.col(c) + F.coalesce(f"late_{c}", F.lit(0.0))).alias(c) for c in sums), "n")
 
 
+def summed(text: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, key), in order, with the sum of their times."""
+    order = np.lexsort((key, text))
+    text, key, times = text[order], key[order], times[order]
+    new = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    return text[new], key[new], np.add.reduceat(times, new) if len(new) else times
+
+
 def inputs() -> list[Column]:
     """What the calibration sees, all by length: all evidence, clearly toxic evidence, and the logarithm of that."""
     n = F.greatest("n", F.lit(1))
@@ -216,8 +288,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
     """One row per row of docs: id_col, held_out, score, predicted. The models learn from learn_from (docs themselves by default)."""
     bounded_batches(docs.sparkSession)
     texts = lambda df: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
-    taught = texts(learn_from if learn_from is not None else docs).filter(part(F.col("id")) != 2).join(known.hint("merge"), "id")
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (part(F.col(id_col)) != 2)).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
+    taught = texts(learn_from if learn_from is not None else docs).join(known.hint("merge"), "id")
     entries = stored(ratios(counted(taught.filter(part(F.col("id")) != 3))), "ratios")
     model = held(entries)
     seen = evidence(taught.filter(part(F.col("id")) == 3), model, entries, ["id", "toxic"])
