@@ -1,5 +1,8 @@
 """Held-out accuracy of the trained models, edge cases, and the pipeline against its stages."""
 
+import collections
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,29 +49,93 @@ def test_edges(spark, docs, labels):
     assert quality.scores(docs([]), y).count() == 0
 
 
-@pytest.mark.parametrize("bits", [3, 8, 19])
-def test_every_gram_has_its_own_ratio(spark, bits):
-    """However few entries the tasks hold, an n-gram has its own entry's value and no other, else none."""
-    taught = [(t, y) for t, y in (("badword baddest bad", 1), ("goodword goodness badge", 0), ("plain words badly", 0), ("zzz", 1)) for _ in range(7)]
+def bytes_of(text):
+    """Of each place of a text: its byte if a letter's, else 0; a 0 behind the end."""
+    out = []
+    for c in text.lower() + "\n":
+        out += list(c.encode()) if c.isalpha() else [0] * len(c.encode())
+    return out
+
+
+def grams_of(text):
+    out, b = [], bytes_of(text)
+    for i in range(len(b)):
+        own = [b[i]]
+        for k in range(1, toxicity.ORDER):
+            x = b[i - k] if i >= k and (k == 1 or own[0]) else 0
+            own.insert(0, x)
+        if any(own):
+            out.append(tuple(own))
+    return out
+
+
+def kneser_ney(counts):
+    """Probability of an n-gram of the longest order, straight from the definition."""
+    levels = [counts]
+    while len(next(iter(levels[-1]))) > 1:
+        levels.append(collections.Counter(g[1:] for g in levels[-1]))
+
+    def p(level, g):
+        if level == len(levels):
+            return 1 / 256
+        same = [c for x, c in levels[level].items() if x[:-1] == g[:-1]]
+        return (max(levels[level][g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * p(level + 1, g[1:])) / sum(same)
+
+    return lambda g: p(0, g)
+
+
+@pytest.mark.parametrize("bits", [1, 3, None])
+def test_evidence_equals_the_two_models(spark, bits):
+    """However few entries the tasks hold, the evidence is the difference of two Kneser-Ney models' log-likelihoods."""
+    taught = [(t, y) for t, y in (("badword baddest bad", 1), ("goodword goodness badge", 0), ("plain words badly ünder", 0), ("zzz", 1), ("words ünd", 1)) for _ in range(7)]
+    counts = [collections.Counter(g for t, y in taught if y == label for g in grams_of(t)) for label in (0, 1)]
+    shared = kneser_ney(counts[0] + counts[1])
+    size = [sum(c.values()) for c in counts]
+    weighted = [{g: n * min(size) / size[y] for g, n in counts[y].items()} for y in (0, 1)]
+
+    def q(y, g, only_context=False):
+        same = [n for x, n in weighted[y].items() if x[:-1] == g[:-1]]
+        back = sum(min(n, toxicity.CLASS_DISCOUNT) for n in same) / sum(same) if same else 1.0
+        own = max(weighted[y].get(g, 0) - toxicity.CLASS_DISCOUNT, 0) / sum(same) if same else 0.0
+        return back if only_context else own + back * (shared(g) if own else 1)
+
+    def ratio(g):
+        """Toxic less ordinary; where neither class has the n-gram above its discount both have the same shared factor."""
+        rare = all(weighted[y].get(g, 0) <= toxicity.CLASS_DISCOUNT for y in (0, 1))
+        value = [q(y, g, rare) if rare or weighted[y].get(g, 0) > toxicity.CLASS_DISCOUNT else q(y, g) * shared(g) for y in (0, 1)]
+        return np.log(value[1] / value[0]), np.log(value[1] / value[0]) - np.log(q(1, g, True) / q(0, g, True))
+
     entries = toxicity.stored(toxicity.ratios(toxicity.counted(spark.createDataFrame(taught, "text string, toxic int"))), "test-ratios")
-    value = {r.key: r.value for r in entries.collect()}
-    texts = ["badword", "bad goodwill badminton", "unseen wordy plainest zz", "", "badword badword " * 50]
+    texts = ["badword", "bad goodwill badminton", "unseen wordy plainest zz", "", "badword badword " * 50, "Ünder der ünd", "words" * 9]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r.id: r for r in toxicity.evidence(docs, toxicity.held(entries, bits), entries, ["id"]).collect()}
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and any(abs(r.total) > 1 for r in got.values())
     for i, text in enumerate(texts):
-        keys = toxicity.grams([text])[0].tolist()
-        each = [value.get(k, 0.0) for k in keys]
-        assert got[i].n == len(keys)
-        assert got[i].total == pytest.approx(sum(each), abs=1e-6)
-        assert got[i].e0 == pytest.approx(sum(x for x in each if x > toxicity.CLEAR[0]), abs=1e-6)
-
-
-def test_grams_keep_to_words():
-    one, _ = toxicity.grams(["Ab c"])
-    two, _ = toxicity.grams(["zz ab", "c"])
-    assert set(one.tolist()) <= set(two.tolist()) | set(toxicity.grams(["ab"])[0].tolist()) | set(toxicity.grams(["c"])[0].tolist())
-    assert len(toxicity.grams(["", "1 2"])[0]) == 0
+        each = [ratio(g) for g in grams_of(text)]
+        assert got[i].n == len(each)
+        assert got[i].total == pytest.approx(sum(x for x, _ in each), abs=1e-9)
+        for name, cut in zip(("e0", "e1"), toxicity.CLEAR, strict=True):
+            assert got[i][name] == pytest.approx(sum(x for _, x in each if x > cut), abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_grams_in_blocks(block):
+    texts = ["Ab c", "", "zz ab 1 éßü日本 x", "𝔘nicode İstanbul", "a" * 30]
+    got = [(k, t) for key, text in toxicity.grams(texts, block) for k, t in zip(key.tolist(), text.tolist(), strict=True)]
+    assert got == [(int.from_bytes(bytes(g), "big"), i) for i, t in enumerate(texts) for g in grams_of(t)]
+    assert not sum(len(k) for k, _ in toxicity.grams(["", "1 2"], block))
+
+
+def test_held_out_labels_do_not_matter(spark, docs):
+    rows = [(i, f"text {'vile' if i % 3 == 0 else 'kind'} number words {i}") for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    assert any(held(i) for i, _ in rows)
+    for known in (range(60), [i for i, _ in rows if held(i)]):
+        out = []
+        for flip in (0, 1):
+            y = spark.createDataFrame([(i, 1, int(i % 3 == 0) ^ (flip if held(i) else 0)) for i in known], "doc_id long, quality int, toxic int")
+            out.append(sorted(map(tuple, toxicity.scores(docs(rows), y).collect())))
+        assert out[0] == out[1]
 
 
 def test_pipeline_stages(spark):
