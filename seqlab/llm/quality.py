@@ -1,17 +1,27 @@
 """Quality by co-training on two views of a document: its text and its page's metadata.
 
-The views each have a logistic model. Over a few rounds each model labels a pool of unlabelled
-documents, and those it is surest of go, with its label, to the other model's examples. Then each
-view is calibrated on labelled documents that neither learned from, and the two calibrated log-odds
-are combined, again on these. All documents get a score; a document is kept if it reaches a threshold.
-
-The models are fitted on bounded samples of the labelled and of the unlabelled rows, taken by a hash
-of the id (SAMPLE and POOL are the bounds); scoring is a pass over all rows with two small vectors.
-
-A null text is empty; null metadata is a kind of its own. Labels with a null id or value teach
-nothing, and of several labels of an id the largest holds. Without labels of both kinds all
-documents score the share of good ones, or 1. Each row of the input has a row; long texts count
-whole.
+The text view holds what a text says and looks like: how much its words and its pairs of neighbouring
+words are those of good documents (mean log-odds from counts of hashed words), the mix of byte kinds,
+words' lengths, how many words are new. The page view holds the source and the language. They share no
+feature, and neither reads n_chars.
+
+The views each have a logistic model, at first of labelled documents alone. In each round both models
+label all unlabelled documents, and those a model is surest of teach the other one: Spark sums their
+gradient and curvature, a bounded number of values whatever the input, and the other model takes a step
+on these and the labelled documents. Pseudo-labels weigh together no more than the labelled documents.
+Then each view is calibrated on labelled documents that neither learned from, and the two calibrated
+log-odds are combined, again on these. All documents get a score; a document is kept if it reaches a
+threshold.
+
+Word counts come from all labelled documents of the learning part. A document of one half of that part
+is rated by the counts of the other half, so that no document rates itself. SAMPLE bounds the labelled
+documents that the models' first fit, their steps and the calibration see, taken by a hash of the id.
+
+A null text is empty; null metadata is a kind of its own. Labels with a null id or value teach nothing,
+nor do those of held-out ids; of several labels of an id the largest holds. Without labels of both kinds
+all documents score the share of good ones, or 1. Each row of the input has a row, rows that repeat and
+rows with a null id too (held_out is then null); empty tables give no rows. Long texts count whole, and
+extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,20 +30,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, slices, table
+from .common import BASE, Words, bounded_batches, mix, slices, stored, table
 from .toxicity import fitted, part
 
-#: Bounds of the labelled sample and of the unlabelled pool.
-SAMPLE, POOL = 20_000, 20_000
-ROUNDS = 5
-#: Documents of each label that a view hands to the other in a round, and how sure it must be.
-HANDED, SURE = 200, 0.9
+#: Bound of the labelled sample.
+SAMPLE = 20_000
+ROUNDS = 4
+#: How sure a view must be of a label it hands to the other.
+SURE = 0.95
 THRESHOLD = 0.5
+#: Slots of hashed words and of hashed word pairs (bits), and the count added to each label's.
+SLOT_BITS, ADDED = 17, 1.0
 #: Slots of the one-hot coded source and language.
 SOURCES, LANGUAGES = 64, 16
+RIDGE = 1.0
 
 KINDS = {
     "upper": range(0x41, 0x5B), "lower": range(0x61, 0x7B), "digit": range(0x30, 0x3A), "high": range(0x80, 0x100),
@@ -44,8 +57,47 @@ for _k, _bytes in enumerate(KINDS.values()):
     KIND_OF[list(_bytes)] = _k
 
 
-def text_view(column: pa.Array) -> np.ndarray:
-    """Features of texts: the mix of byte kinds, words' lengths, and how many words are new."""
+def slots_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of all words and their texts, then of all pairs of neighbouring words of a text and theirs; pairs have the upper half of the slots."""
+    owner = np.repeat(np.arange(len(words.first) - 1), words.counts())
+    shift = np.uint64(64 - SLOT_BITS)
+    one = (words.hashes >> shift).astype(np.int64)
+    next_to = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else owner
+    pair = (mix(words.hashes[next_to] * np.uint64(BASE) + words.hashes[next_to + 1]) >> shift).astype(np.int64)
+    return one, owner, pair + (1 << SLOT_BITS), owner[next_to]
+
+
+def word_counts(taught: DataFrame) -> np.ndarray:
+    """(2 halves, 2 labels, slots): in how many places each half's documents (id, text, good, half) have each slot's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            kind = batch.column("half").to_numpy(zero_copy_only=False) * 2 + batch.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
+            one, a, pair, b = slots_of(Words(batch.column("text")))
+            names, n = np.unique(np.concatenate([one << 2 | kind[a], pair << 2 | kind[b]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["slot", "n"])
+
+    got = taught.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, 2, 2 << SLOT_BITS))
+    slot = got.column("slot").to_numpy()
+    out[slot >> 1 & 1, slot & 1, slot >> 2] = got.column("n").to_numpy()
+    return out
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """(3, slots): good less bad log-probability of each slot by the counts of half 1 (for half 0), of half 0 (for half 1) and of both."""
+    out = []
+    for c in (counts[1], counts[0], counts.sum(axis=0)):
+        share = []
+        for y in (0, 1):
+            part_ = c[y].reshape(2, -1) + ADDED
+            share.append((part_ / part_.sum(axis=1, keepdims=True)).reshape(-1))
+        out.append(np.log(share[1]) - np.log(share[0]))
+    return np.array(out)
+
+
+def text_view(column: pa.Array, odds: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Features of texts; half (0, 1, or 2: neither) chooses the log-odds that rate a text's words."""
     words = Words(column)
     texts, n = len(column), words.counts()
     wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -60,101 +112,159 @@ def text_view(column: pa.Array) -> np.ndarray:
     order = np.lexsort((words.hashes, owner))
     new = (np.diff(words.hashes[order], prepend=~words.hashes[:1]) != 0) | (np.diff(owner[order], prepend=-1) != 0)
     distinct = np.bincount(owner[order][new], minlength=texts) / np.maximum(n, 1)
-    return np.column_stack([np.ones(texts), np.sqrt(shares) * 4, long / 6, distinct * 2, np.log1p(n) / 3 - 2, (distinct * 2) * (np.log1p(n) / 3 - 2), n == 0])
+    one, a, pair, b = slots_of(words)
+    said = [np.bincount(t, weights=odds[half[t], x], minlength=texts) / np.maximum(np.bincount(t, minlength=texts), 1) for x, t in ((one, a), (pair, b))]
+    return np.column_stack([np.ones(texts), np.sqrt(shares) * 4, long / 6, distinct * 2, np.log1p(n) / 3 - 2, (distinct * 2) * (np.log1p(n) / 3 - 2), n == 0, *(2 * np.tanh(x) for x in said)])
 
 
-def page_view(source: np.ndarray, language: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Features of metadata: slots of source and language, and the length."""
-    size = np.log1p(np.maximum(chars, 0)) / 3 - 2
-    return np.column_stack([np.ones(len(chars)), size, size**2, np.eye(SOURCES)[source], np.eye(LANGUAGES)[language]])
+def page_view(source: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Features of metadata: slots of source and language."""
+    return np.column_stack([np.ones(len(source)), np.eye(SOURCES)[source], np.eye(LANGUAGES)[language]])
 
 
-def viewed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> DataFrame:
-    slot = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(n)).cast("int")
-    return docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        slot(source_col, SOURCES).alias("source"), slot(lang_col, LANGUAGES).alias("language"), F.coalesce(F.col(chars_col).cast("double"), F.lit(0.0)).alias("chars"),
-    )
+def slot(c: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(n)).cast("int")
 
 
-def views_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_view(batch.column("text")), page_view(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("source", "language", "chars")))
+def half_of(id_col: Column) -> Column:
+    """0 or 1 for the two learning parts, else 2."""
+    return F.when(part(id_col) < 2, part(id_col)).otherwise(2).cast("int")
 
 
-def features(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and both views as arrays."""
+def featured(rows: DataFrame, odds: np.ndarray, keep: list[str]) -> DataFrame:
+    """keep (text may be among it) and a, the text view; rows have text and half."""
+    sent = rows.sparkSession.sparkContext.broadcast(odds.astype(np.float32))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    keep = [f.name for f in rows.schema if f.name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(list(v)) for v in views_of(batch))], names=[*keep, "a", "b"])
+            view = text_view(batch.column("text"), sent.value, batch.column("half").to_numpy(zero_copy_only=False))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * view.shape[1], pa.int32()), pa.array(view.reshape(-1), pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, "a"])
 
-    return rows.mapInArrow(run, f"{fields}, a array<double>, b array<double>")
+    return rows.mapInArrow(run, f"{fields}, a array<double>")
 
 
-def dense(lists: pa.ChunkedArray) -> np.ndarray:
+def dense(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Equally long lists as a matrix, without a Python object for each value."""
-    flat = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks)])
+    chunks = lists.chunks if isinstance(lists, pa.ChunkedArray) else [lists]
+    flat = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in chunks)])
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1))
 
 
+def views_of(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [dense(batch.column("a")), page_view(*(batch.column(c).to_numpy(**({} if isinstance(batch, pa.Table) else {"zero_copy_only": False})) for c in ("source", "language")))]
+
+
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
-def co_trained(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> list[np.ndarray]:
-    """Weights of the two views after they have taught each other on the pool."""
-    extra = [(np.zeros((0, v.shape[1])), np.zeros(0)) for v in views]
-    free = np.ones(len(pool[0]), dtype=bool)
-    weights = [fitted(v, y, 1.0) for v in views]
+def slope(x: np.ndarray, y: np.ndarray, w: np.ndarray, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """What a logistic model's step needs of some documents: curvature, gradient and the documents' weight, in a row."""
+    p = probability(x, w)
+    weight = weight * np.ones(len(y))
+    return np.concatenate([((x * (weight * p * (1 - p))[:, None]).T @ x).reshape(-1), x.T @ (weight * (y - p)), [weight.sum()]])
+
+
+def exchanged(views: list[np.ndarray], weights: list[np.ndarray], sure: float = SURE) -> list[np.ndarray]:
+    """For each view the slope() of the documents that the other view is sure of, with the other's labels."""
+    out = []
+    for mine, other in ((0, 1), (1, 0)):
+        p = probability(views[other], weights[other])
+        out.append(slope(views[mine], (p >= 0.5).astype(float), weights[mine], (np.maximum(p, 1 - p) >= sure).astype(float)))
+    return out
+
+
+def pooled(pool: DataFrame, weights: list[np.ndarray], sure: float) -> list[np.ndarray]:
+    """exchanged() of all unlabelled documents, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list = [0.0, 0.0]
+        for batch in batches:
+            sums = [s + x for s, x in zip(sums, exchanged(views_of(batch), weights, sure), strict=True)]
+        for k, s in enumerate(sums):
+            at = np.flatnonzero(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(np.atleast_1d(s)[at])], names=["view", "at", "x"])
+
+    got = pool.mapInArrow(run, "view long, at long, x double").groupBy("view", "at").agg(F.sum("x").alias("x")).toArrow()
+    out = [np.zeros(len(w) * (len(w) + 1) + 1) for w in weights]
+    view, at, x = (got.column(c).to_numpy() for c in ("view", "at", "x"))
+    for k, o in enumerate(out):
+        o[at[view == k]] = x[view == k]
+    return out
+
+
+def stepped(w: np.ndarray, labelled: np.ndarray, taught: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """A Newton step of a view's weights; what the other view taught weighs no more than the labelled documents."""
+    both = labelled + taught * min(1.0, labelled[-1] / taught[-1] if taught[-1] else 1.0)
+    n = len(w)
+    return w + np.linalg.solve(both[: n * n].reshape(n, n) + ridge * np.eye(n), both[n * n : -1] - ridge * w)
+
+
+def co_trained(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> list[np.ndarray]:
+    """Weights of the two views after they have taught each other on the pool (a, source, language)."""
+    weights = [fitted(v, y, RIDGE) for v in views]
     for _ in range(rounds):
-        for mine, other in ((0, 1), (1, 0)):
-            p = probability(pool[mine], weights[mine])
-            for label, certain in ((1, p), (0, 1 - p)):
-                at = np.flatnonzero(free & (certain >= sure))
-                at = at[np.argsort(-certain[at], kind="stable")][:handed]
-                free[at] = False
-                extra[other] = (np.vstack([extra[other][0], pool[other][at]]), np.append(extra[other][1], np.full(len(at), float(label))))
-        weights = [fitted(np.vstack([v, x]), np.append(y, t), 1.0) for v, (x, t) in zip(views, extra, strict=True)]
+        taught = pooled(pool, weights, sure)
+        weights = [stepped(w, slope(v, y, w), t) for w, v, t in zip(weights, views, taught, strict=True)]
     return weights
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id_col, held_out, score_text, score_page, score and keep. Labels of ids with part() 2 are held out."""
+class Judge:
+    """The calibrated, combined views; without weights every score is the share of good labels."""
+
+    def __init__(self, share: float, weights: list[np.ndarray] | None = None, views: list[np.ndarray] | None = None, y: np.ndarray | None = None) -> None:
+        self.share, self.weights = share, weights
+        if weights is not None:
+            odds = [v @ w for v, w in zip(views, weights, strict=True)]
+            self.curves = [fitted(np.column_stack([np.ones(len(o)), o]), y, 1e-3) for o in odds]
+            self.mixed = fitted(np.column_stack([np.ones(len(y)), *(c[0] + c[1] * o for c, o in zip(self.curves, odds, strict=True))]), y, 1e-3)
+
+    def __call__(self, views: list[np.ndarray]) -> list[np.ndarray]:
+        """score_text, score_page and score."""
+        if self.weights is None:
+            return [np.full(len(views[0]), self.share)] * 3
+        z = [c[0] + c[1] * (v @ w) for v, w, c in zip(views, self.weights, self.curves, strict=True)]
+        return [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, self.mixed[0] + self.mixed[1] * z[0] + self.mixed[2] * z[1])]
+
+
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang", threshold: float = THRESHOLD, rounds: int = ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, carry (other columns of docs), held_out, score_text, score_page, score and keep. Labels of ids with part() 2 are held out."""
     bounded_batches(docs.sparkSession)
-    rows = viewed(docs, id_col, text_col, source_col, lang_col, chars_col)
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("double")).alias("good"))
-    order = F.xxhash64("id")
-    chosen = known.filter(part(F.col("id")) != 2).orderBy(order, "id").limit(SAMPLE)
-    others = rows.filter("id is not null").select("id").distinct().join(known, "id", "left_anti").orderBy(order, "id").limit(POOL)
-    wanted = chosen.unionByName(others.withColumn("good", F.lit(-1.0)))
-    sample = features(rows.join(F.broadcast(wanted), "id"), ["id", "good"]).withColumn("part", part(F.col("id"))).toArrow()
-    good, fold = sample.column("good").to_numpy(), sample.column("part").to_numpy()
-    by_id = np.argsort(sample.column("id").to_numpy(), kind="stable")
-    a, b = (dense(sample.column(c))[by_id] for c in ("a", "b"))
-    del sample
-    good, fold = good[by_id], fold[by_id]
-    learn, fit, pool = (good >= 0) & (fold < 2), (good >= 0) & (fold == 3), good < 0
-    both = all(0 < good[m].sum() < m.sum() for m in (learn, fit))
-    if both:
-        weights = co_trained([a[learn], b[learn]], good[learn], [a[pool], b[pool]])
-        odds = [v[fit] @ w for v, w in zip((a, b), weights, strict=True)]
-        curves = [fitted(np.column_stack([np.ones(len(o)), o]), good[fit], 1e-3) for o in odds]
-        calibrated = np.column_stack([np.ones(int(fit.sum())), *(c[0] + c[1] * o for c, o in zip(curves, odds, strict=True))])
-        mixed = fitted(calibrated, good[fit], 1e-3)
-    share = float(good[good >= 0].mean()) if (good >= 0).any() else 1.0
+    others = [c for c in carry if c != id_col]
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), half_of(F.col(id_col)).alias("half"),
+        slot(source_col, SOURCES).alias("source"), slot(lang_col, LANGUAGES).alias("language"), *(F.col(c).alias(f"keep_{k}") for k, c in enumerate(others)),
+    )
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (part(F.col(id_col)) != 2)).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("double")).alias("good"))
+    plain = rows.select("id", "text", "half", "source", "language")
+    taught = plain.filter("half < 2").join(known.hint("merge"), "id")
+    odds = log_odds(word_counts(taught))
+    # all rows' features, some 200 bytes each, in place of their texts
+    seen = stored(featured(plain, odds, ["id", "source", "language"]), "quality-views").join(known.hint("merge"), "id", "left")
+    seen = stored(seen.select("id", "a", "source", "language", "good"), "quality-views")
+    chosen = seen.filter("good is not null").withColumn("part", part(F.col("id"))).orderBy(F.xxhash64("id"), "id", F.xxhash64("a")).limit(SAMPLE)
+    sample = chosen.select("a", "source", "language", "good", "part").toArrow()
+    views, y, fold = views_of(sample), sample.column("good").to_numpy(), sample.column("part").to_numpy()
+    learn, fit = fold < 2, fold == 3
+    judge = Judge(float(y.mean()) if len(y) else 1.0)
+    if all(0 < y[m].sum() < m.sum() for m in (learn, fit)):
+        weights = co_trained([v[learn] for v in views], y[learn], seen.filter("good is null").select("a", "source", "language"), rounds)
+        judge = Judge(judge.share, weights, [v[fit] for v in views], y[fit])
+
+    carried = ["id", *(f"keep_{k}" for k in range(len(others)))]
+    scored = featured(rows, odds, [*carried, "source", "language"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            if both:
-                z = [c[0] + c[1] * (v @ w) for v, w, c in zip(views_of(batch), weights, curves, strict=True)]
-                out = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, mixed[0] + mixed[1] * z[0] + mixed[2] * z[1])]
-            else:
-                out = [np.full(len(batch), share)] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x) for x in out)], names=["id", "score_text", "score_page", "score"])
-
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score_text double, score_page double, score double")
-    return out.select(F.col("id").alias(id_col), (part(F.col("id")) == 2).alias("held_out"), "score_text", "score_page", "score", (F.col("score") >= threshold).alias("keep"))
+        for batch in batches:
+            out = judge(views_of(batch))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *(pa.array(x) for x in out)], names=[*carried, "score_text", "score_page", "score"])
+
+    out = scored.mapInArrow(run, f"{fields}, score_text double, score_page double, score double")
+    return out.select(F.col("id").alias(id_col), *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(others)), (part(F.col("id")) == 2).alias("held_out"), "score_text", "score_page", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def op4_quality_co_training(spark, sf_dir: str) -> DataFrame:
