@@ -21,7 +21,7 @@ Words are runs of letters, lower case. Null and empty texts have no characters a
 prior. Without any labelled row of both classes outside the held-out part every score is the share of
 toxic labels there, or 0. Labels are read from the label table alone, never those of held-out ids; rows
 whose id is null or has null labels teach nothing; where an id has several labels the largest holds.
-Every row of docs has a row, rows that repeat and rows with a null id too (held_out is then null). Empty
+Every row of docs has a row, with its own columns where carry names them, rows that repeat and rows with a null id too (held_out is then null). Empty
 tables give no rows. Long texts are scored whole, in blocks.
 """
 
@@ -284,10 +284,11 @@ def part(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: id_col, held_out, score, predicted. The models learn from learn_from (docs themselves by default)."""
+def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, carry (other columns of docs), held_out, score, predicted. The models learn from learn_from (docs themselves by default)."""
     bounded_batches(docs.sparkSession)
-    texts = lambda df: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = lambda df, *others: df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *others)
+    carried = {f"keep_{k}": c for k, c in enumerate(c for c in carry if c != id_col)}
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (part(F.col(id_col)) != 2)).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("toxic"))
     taught = texts(learn_from if learn_from is not None else docs).join(known.hint("merge"), "id")
     entries = stored(ratios(counted(taught.filter(part(F.col("id")) != 3))), "ratios")
@@ -301,8 +302,9 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         weights = np.append(np.log((share + 1e-6) / (1 - share + 1e-6)), np.zeros(5))
     z = sum((float(w) * x for w, x in zip(weights, inputs(), strict=True)), F.lit(0.0))
-    out = evidence(texts(docs), model, entries, ["id"]).withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.select(F.col("id").alias(id_col), (part(F.col("id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    every = texts(docs, *(F.col(c).alias(k) for k, c in carried.items()))
+    out = evidence(every, model, entries, ["id", *carried]).withColumn("score", 1 / (1 + F.exp(-z)))
+    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in carried.items()), (part(F.col("id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

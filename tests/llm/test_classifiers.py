@@ -161,3 +161,50 @@ def test_pipeline_stages(spark):
     assert {r.doc_id: r.text for r in after.collect()} == {i: cut[i].kept if cut[i].n_removed else whole[i] for i in whole}
     before, after = steps["packing"]
     assert after.agg(F.sum("length")).first()[0] == packing.pieces_of(before).agg(F.sum("length")).first()[0]
+
+
+def test_co_training_round_equals_brute_force(spark):
+    """One exchange on a table equals the same on arrays; the step then zeroes the gradient of the weighted examples."""
+    rng = np.random.default_rng(4)
+    a = np.column_stack([np.ones(400), rng.normal(size=(400, 3))])
+    source, language = rng.integers(0, quality.SOURCES, 400), rng.integers(0, quality.LANGUAGES, 400)
+    y = (a[:60, 1] + (source[:60] > 30) > 0.3).astype(float)
+    views = [a, quality.page_view(source, language)]
+    weights = [quality.fitted(v[:60], y, quality.RIDGE) for v in views]
+    pool = spark.createDataFrame([(x.tolist(), int(s), int(n)) for x, s, n in zip(a[60:], source[60:], language[60:], strict=True)], "a array<double>, source int, language int")
+    got = quality.pooled(pool, weights, 0.7)
+    after = quality.co_trained([v[:60] for v in views], y, pool, rounds=1, sure=0.7)
+    for mine, other in ((0, 1), (1, 0)):
+        x, w = views[mine], weights[mine]
+        want, gradient, taught = np.zeros((len(w), len(w))), np.zeros(len(w)), 0
+        for i in range(60, 400):
+            p = 1 / (1 + np.exp(-views[other][i] @ weights[other]))
+            if max(p, 1 - p) >= 0.7:
+                mean = 1 / (1 + np.exp(-x[i] @ w))
+                want += np.outer(x[i], x[i]) * mean * (1 - mean)
+                gradient += x[i] * (float(p >= 0.5) - mean)
+                taught += 1
+        assert taught and got[mine][-1] == taught
+        assert np.allclose(got[mine], np.concatenate([want.reshape(-1), gradient, [taught]]), atol=1e-9)
+        share = min(1, 60 / taught)
+        for i in range(60):
+            mean = 1 / (1 + np.exp(-x[i] @ w))
+            want = want + np.outer(x[i], x[i]) * mean * (1 - mean) / share
+            gradient = gradient + x[i] * (y[i] - mean) / share
+        step = np.linalg.solve(want * share + quality.RIDGE * np.eye(len(w)), gradient * share - quality.RIDGE * w)
+        assert np.allclose(after[mine], w + step, atol=1e-9)
+
+
+def test_quality_views_and_labels(spark, docs):
+    """Held-out labels don't matter, carried columns stay with their row, and n_chars is in no view."""
+    rows = [(i, f"fine words of row {i} " * 9 if i % 3 else f"junk### words*** of row {i} " * 9) for i in range(90)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    out = []
+    for flip in (0, 1):
+        y = spark.createDataFrame([(i, int(i % 3 > 0) ^ (flip if held(i) else 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+        table_ = docs(rows).withColumn("n_chars", F.col("n_chars") * (1 + 1000 * flip))
+        got = quality.scores(table_, y, carry=("text", "lang")).collect()
+        assert {r.doc_id: r.text for r in got} == dict(rows) and {r.lang for r in got} == {"en"}
+        out.append({r.doc_id: r.score for r in got})
+    assert out[0] == pytest.approx(out[1], abs=1e-9)
+    assert np.mean([(s >= 0.5) == (i % 3 > 0) for i, s in out[0].items()]) > 0.95
