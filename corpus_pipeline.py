@@ -3,6 +3,11 @@ that repeat go, and what is left is packed into training sequences.
 
 STAGES lists (name, function). Each function takes (spark, docs, sf_dir), docs with the columns of
 documents, and returns a DataFrame; each stage's result is written as Parquet and read again.
+
+Decisions are made by row: a null doc_id, or rows that share one, change nothing for toxicity and
+quality. Near copies: rows with a null id are no copies of others; a class is one of ids, so rows that
+share an id stay or go together, and equal rows (id and text) stay once. Null and empty texts stay as
+they are. Columns besides those of documents are dropped; an empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -17,21 +22,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose toxicity score is under the operator's threshold."""
-    scored = toxicity.scores(docs, table(spark, sf_dir, "labels"))
-    return kept(docs, scored.filter("predicted = 1").select("doc_id"))
+    """Keeps documents whose toxicity score is under the operator's threshold. Each row is judged by its own text."""
+    scored = toxicity.scores(docs, table(spark, sf_dir, "labels"), carry=tuple(COLUMNS))
+    return scored.filter("predicted = 0").select(COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier keeps."""
-    scored = quality.scores(docs, table(spark, sf_dir, "labels"))
-    return kept(docs, scored.filter("not keep").select("doc_id"))
+    """Keeps documents that the quality classifier keeps. Each row is judged by its own text and metadata."""
+    scored = quality.scores(docs, table(spark, sf_dir, "labels"), carry=tuple(COLUMNS))
+    return scored.filter("keep").select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near copies."""
+    """Keeps the document with the smallest id of each class of near copies, and of rows that repeat an id and a text one."""
     classes = near_dup.classes(docs)
-    return kept(docs, classes.filter("doc_id <> class_id").select("doc_id"))
+    copies = classes.filter("doc_id <> class_id").select("doc_id")
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +52,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-def kept(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
-
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", drop_poor),
