@@ -44,10 +44,14 @@ NONE = 1 << 40
 CACHED_BYTES = 16
 
 
+def ranks_of(rank_file: str) -> dict[bytes, int]:
+    with open(rank_file, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class ByteBpe:
     def __init__(self, rank_file: str, pattern: str) -> None:
-        with open(rank_file, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.rank = ranks_of(rank_file)
         self.bytes_of = {v: k for k, v in self.rank.items()}
         explicit = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.pieces = regex.compile(explicit).findall

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a task holds as arrays at one time; one longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where the session names none."""
+    """The folder that driver and executors share. Only a session on one machine may name none; it gets a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="seqlab-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="seqlab-shared-")
+        _OWN[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -39,15 +44,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that each holds about limit bytes of the column, at least a row."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches so that each holds about limit bytes of the column and no more than so many rows, at least a row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         at = 0
         while at < len(ends):
             before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + limit, side="right"))))
             yield batch.slice(at, stop - at)
             at = stop
 
@@ -119,11 +124,19 @@ class Words:
         fresh[:n] |= ~inside
         self.end = np.flatnonzero(inside & fresh[1:]) + 1
         self.first = np.searchsorted(self.begin, cuts)
-        if len(_POWERS[0]) <= n:
-            _POWERS[:] = [powers(BASE, n + 1), powers(pow(BASE, -1, 1 << 64), n + 1)]
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], out=sums[1:])
-        self.hashes = mix((sums[self.end] - sums[self.begin]) * _POWERS[1][self.begin])
+        self.hashes = np.zeros(len(self.begin), dtype=np.uint64)
+        at = 0
+        while at < len(self.begin):  # in blocks of words, so that a long text needs no more memory than others
+            low = int(self.begin[at])
+            stop = max(at + 1, int(np.searchsorted(self.end, low + BATCH_BYTES, side="right")))
+            begin, end = self.begin[at:stop] - low, self.end[at:stop] - low
+            size = int(end[-1])
+            if len(_POWERS[0]) < size + 1:
+                _POWERS[:] = [powers(BASE, max(size, BATCH_BYTES) + 1), powers(pow(BASE, -1, 1 << 64), max(size, BATCH_BYTES) + 1)]
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum((self.data[low : low + size].astype(np.uint64) + np.uint64(1)) * _POWERS[0][:size], out=sums[1:])
+            self.hashes[at:stop] = mix((sums[end] - sums[begin]) * _POWERS[1][begin])
+            at = stop
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 64, 8
 #: Members of a cell on either side: those to compare and those they are compared with.
 CELL = (128, 512)
+#: Texts whose signatures a task holds at one time.
+SKETCHED = 1024
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,7 +126,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", rows=SKETCHED):
             out, starts = shingles(Words(batch.column("text")), size)
             n = np.diff(starts)
             some = n > 0

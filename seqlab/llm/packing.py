@@ -1,18 +1,19 @@
 """Best-fit packing of token sequences: bounded-space, online.
 
-Documents are tokenised where they lie; only lengths move. Each task gets its own share of the short
-pieces and packs them in one pass: a piece goes to the open bin with the least free space that holds
-it, found in a bitset keyed by free space. There is a fixed number of open bins; when all are in use,
-the fullest closes first. Pieces come longest first, and a share is no larger than the number of
-open bins, so that a share wastes about one bin.
+Documents are tokenised where they lie; only lengths move. Spark spreads the pieces evenly over tasks by
+their size in bytes, in no order of length, and each task packs its share in one pass: a piece goes to
+the open bin with the least free space that holds it, found in a bitset keyed by free space. There is a
+fixed number of open bins, however many pieces a task has; when all are in use, the fullest closes first.
+A task looks a bounded number of pieces ahead and places the longest of these first.
 
 A text's ids are those of the tokenizers library for the same vocabulary without a template: the
 strings of its added tokens have ids of their own, and what lies between them is encoded by itself.
 
 A document's ids are cut from the end: full pieces behind a first piece that may be shorter. Full
 pieces are sequences by themselves. Null texts are empty; every document has at least its end token,
-so each has at least one piece. Rows that repeat are packed as often as they come; an empty table
-gives no rows. Null ids are packed like any other.
+so each has at least one piece. Rows that repeat are packed as often as they come and need not meet in
+a task; an empty table gives no rows. Null ids are packed like any other. Columns besides id and text
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -30,32 +32,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ByteBpe, default_ranks
+from .bpe import default_ranks, ranks_of
 from .common import slices, table, texts_of
 
 #: Tokens of a sequence.
 CAPACITY = 1024
-#: Bins a task holds open.
-OPEN_BINS = 4096
+#: Bins a task holds open, and pieces it looks ahead.
+OPEN_BINS, LOOK_AHEAD = 4096, 8192
 #: Id behind each document.
 END_ID = 2
 #: The vocabulary as the tokenizers library has it; its added tokens are read from here.
 VOCABULARY = "byte_bpe_50k.json"
 
 
-class RankTokens(ByteBpe):
-    """The chunk cache over a library's encoder; ids as the tokenizers library gives them for the same vocabulary to ordinary text."""
+class RankTokens:
+    """A library's encoder over a rank file."""
 
     def __init__(self, rank_file: str, pattern: str) -> None:
-        self.library = None
-        super().__init__(rank_file, pattern)
-        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.rank, special_tokens={})
-        self.line_feed = self.of_chunk("\n")
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks_of(rank_file), special_tokens={})
 
-    def of_chunk(self, chunk: str) -> bytes:
-        if self.library is None:
-            return b""
-        return self.library.encode_to_numpy(chunk, disallowed_special=()).astype("<u4").tobytes()
+    def encode(self, text: str) -> bytes:
+        """Ids of ordinary text as little-endian unsigned 32-bit integers."""
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 class AddedTokens:
@@ -150,13 +148,14 @@ class BestFit:
         return name
 
 
-def pack(pieces: DataFrame, shares: int, id_col: str = "doc_id", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Adds sequence_id and offset to pieces; shares is the number of tasks that pack."""
+def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, look_ahead: int = LOOK_AHEAD) -> DataFrame:
+    """Adds sequence_id and offset to pieces. Tasks are as many as the session deals the pieces to by size, whatever the open bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(capacity, open_bins)
         first = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (b.slice(at, look_ahead) for b in batches for at in range(0, len(b), look_ahead)):
+            batch = batch.take(pa.array(np.argsort(-batch.column("length").to_numpy(), kind="stable")))
             placed = [fit.place(x) for x in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())],
@@ -164,14 +163,13 @@ def pack(pieces: DataFrame, shares: int, id_col: str = "doc_id", capacity: int =
             )
 
     rows = pieces.select(F.col(id_col).alias("id"), "piece", "start", "length", "ids_crc32")
-    dealt = rows.repartition(shares, "id", "start").sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
+    dealt = rows.hint("rebalance").sortWithinPartitions(F.xxhash64("id", "start", "ids_crc32"), "id", "piece", "ids_crc32")
     return dealt.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID) -> DataFrame:
-    """Packs all documents; a document has at most one piece that isn't full, so there are no more of them than documents."""
-    shares = max(1, -(-docs.count() // open_bins))
-    return pack(pieces_of(docs, id_col, text_col, capacity, end_id), shares, id_col, capacity, open_bins)
+    """Packs all documents."""
+    return pack(pieces_of(docs, id_col, text_col, capacity, end_id), id_col, capacity, open_bins)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -48,7 +48,9 @@ SLOT_BITS, WAYS = 19, 4
 #: Last byte of a context's key; UTF-8 has no such byte.
 ANY = 0xFF
 #: Bytes of text that a task turns into keys at one time.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+#: The same where n-grams are counted.
+COUNT_BYTES = 1 << 20
 #: The scores at and above this are labelled toxic.
 THRESHOLD = 0.3
 #: Documents that the calibration is fitted on at most.
@@ -97,9 +99,9 @@ def counted(docs: DataFrame) -> DataFrame:
     """docs (id, text, toxic) to (key, c0, c1): how often each class has each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 22):
+        for batch in slices(batches, "text", COUNT_BYTES):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            for key, text in grams(texts_of(batch, "text"), 1 << 22):
+            for key, text in grams(texts_of(batch, "text"), COUNT_BYTES):
                 names, at = np.unique(key, return_inverse=True)
                 n = np.bincount(at * 2 + toxic[text], minlength=2 * len(names)).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["key", "c0", "c1"])

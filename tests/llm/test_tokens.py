@@ -85,3 +85,52 @@ def test_fullest_bin_closes_first():
     assert [fit.place(n) for n in (7, 4, 9)] == [(0, 0), (1, 0), (2, 0)]
     assert fit.place(6) == (1, 4)  # bin 0, the fuller one, was closed for bin 2
     assert fit.place(1) == (2, 9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=120), st.integers(1, 6))
+def test_best_fit_equals_a_plain_search(lengths, most):
+    """Against a list of open bins searched from end to end: the tightest that holds the piece, of equals the one that got there last."""
+    fit, open_, made = packing.BestFit(20, most), [], 0
+    for length in lengths:
+        holds = [b for b in open_ if b["free"] >= length]
+        if holds:
+            own = min(reversed(holds), key=lambda b: b["free"])
+            open_.remove(own)
+        else:
+            if len(open_) >= most:
+                open_.remove(min(reversed(open_), key=lambda b: b["free"]))
+            own = {"name": made, "free": 20}
+            made += 1
+        want = (own["name"], 20 - own["free"])
+        own["free"] -= length
+        if own["free"]:
+            open_.append(own)
+        assert fit.place(length) == want
+        assert fit.count == len(open_) <= most
+
+
+def test_few_open_bins_still_pack_everything(spark, docs):
+    rows = [(i % 5, "word " * (i * 37 % 700)) for i in range(300)]
+    got = packing.packed(docs(rows), open_bins=2).toPandas()
+    assert got.length.sum() == sum(len(BPE.encode(t)) // 4 + 1 for _, t in rows)
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert list(own.offset) == [0, *np.cumsum(own.length)[:-1]] and own.length.sum() <= 1024
+
+
+def test_packing_of_a_whole_table(spark):
+    """Pieces against the library at its defaults, and at most 1 % more sequences than the tokens need."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.packed(table).toPandas()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = {i: p.sort_values("piece") for i, p in got.groupby("doc_id")}
+    rows = table.select("doc_id", "text").collect()
+    assert len(own) == len(rows)
+    for r in rows:
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
+        at = 0
+        for p in own[r.doc_id].itertuples():
+            assert (p.start, p.ids_crc32) == (at, zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    assert got.sequence_id.nunique() <= got.length.sum() / 1024 * 1.01 + 1
