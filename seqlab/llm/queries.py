@@ -8,7 +8,7 @@ from .licenses import OP7_SQL, op7_license_scan
 from .near_dup import op6_minhash_near_dedup
 from .packing import op9_best_fit_packing
 from .quality import op4_quality_co_training
-from .substring import op8_substring_dedup
+from .substring import OP8_SQL, op8_substring_dedup
 from .topk import OP1_SQL, op1_exact_top_k
 from .toxicity import op3_toxicity
 from .warc import OP10_SQL, op10_warc_zip
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_warc_zip": op10_warc_zip,
 }
 
-ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_license_scan": OP7_SQL, "op10_warc_zip": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_license_scan": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL}

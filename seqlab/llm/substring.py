@@ -1,24 +1,27 @@
-"""Substring dedup: a suffix tree of all documents' words, cut at 50 words and spread by prefix.
-
-A node of the tree is the word sequence that leads to it, held as a 64-bit hash; its leaves are
-(document, position). A repeat is a node of depth 50 or more with leaves in several documents. The
-tree is built level by level, each level a groupBy on prefixes, and only nodes that can still hold
-a branch go on to longer prefixes:
-
-1. Every window of 50 words has an anchor, its smallest 16-word prefix by hash (the leftmost). Equal
-   windows have the same anchor at the same place, so the suffixes that start at anchors stand for
-   all. Windows in a row with one anchor are a run.
-2. Runs group by (anchor, digest of their windows): one owner each, the smallest document.
-3. Below an anchor with a single kind of run nothing branches. Where there are several kinds, the
-   owners' windows go on with their full 50-word prefix: those nodes are the repeats, and each has
-   the smallest document as its owner.
-
-A document drops the words of the windows it has and doesn't own. Owners, not occurrences, are sent
-back to documents, so a passage in a third of all documents costs one row a task and one row back.
-
-Null texts have no words, empty texts neither. Documents of fewer than 50 words lose nothing. Rows
-with a null id take no part and lose nothing. Rows with the same id are one document to this
-operator: none removes the other's words. Equal texts under different ids leave the smallest id.
+"""Substring dedup: prefix-partitioned suffix trees of all documents' words, read at a depth of 50 words.
+
+A suffix starts at each word with at least 50 words left in its document. Two suffixes repeat each other
+if they meet in a node of depth 50 or more. Trees are built from groups of suffixes with a common prefix:
+
+1. Equal texts are one text, of the smallest id that has it; rows of larger ids lose all that 50-word
+   windows cover, which is everything.
+2. Every window has an anchor, its smallest 16-word part by hash (the leftmost). Equal windows have equal
+   anchors at the same place. Windows in a row with one anchor are a run. Anchors that only one document
+   has lead to no repeat and end here: a count by anchor, combined before its shuffle, tells.
+3. The suffixes of an anchor are a group. A group of at most GROUP suffixes is dealt to one task as the
+   words of its runs; its subtree is built there in memory: places are named by their first 1, 2, 4, ...
+   words, names of names, down to 50 words. What has one name at that depth is below one internal node,
+   and words themselves are compared, not digests of windows.
+4. A group that is larger is dealt by longer prefixes, as long as the windows: each of these is a node by
+   itself, named by 128 bits, of which only the smallest document is kept, combined before the shuffle.
+   So a passage in a third of all documents costs a row for each window and task.
+
+A document gets back the windows it loses (3) or the nodes it owns (4), never other documents' windows.
+
+Null texts have no words, empty texts neither. Documents of fewer than 50 words lose nothing. Rows with a
+null id take no part and lose nothing. Rows with the same id are one document to this operator: none
+removes the other's words. Equal texts under different ids leave the smallest id. Long texts are taken
+whole, and keep may name columns of any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,42 +37,49 @@ from .common import Words, bounded_batches, mix, rolled, slices, stored, table
 
 WINDOW = 50
 ANCHOR = 16
+#: Suffixes of a group whose subtree is built in memory, at most; about 3 words, or 20 bytes, each.
+GROUP = 16_384
+#: Words whose anchors are looked for at one time, and runs whose words are sent at one time.
+BLOCK, SENT = 1 << 20, 2048
 
 
 class Runs:
-    """Runs of windows in a batch: text, begin (first window), count, anchor and digest of each; windows: every window's hash."""
+    """Runs of windows of a batch: text, begin (first window), count and anchor of each."""
 
     def __init__(self, words: Words, window: int, anchor: int) -> None:
-        n = len(words.hashes)
-        self.windows = mix(rolled(words.hashes, window))
         stop = np.repeat(words.first[1:], words.counts())
-        place = np.arange(n)
-        at = np.flatnonzero(place + window <= stop)
-        prefix = mix(rolled(words.hashes, anchor))
-        low = np.uint64(24 if n < 1 << 24 else 40)
-        least = (prefix >> low << low) | place.astype(np.uint64)
-        span, width = 1, window - anchor + 1
-        while 2 * span <= width:
-            least = np.minimum(least, ahead(least, span))
-            span *= 2
-        least = np.minimum(least, ahead(least, width - span))
-        where = (least[at] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
-        new = np.flatnonzero((np.diff(where, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
-        self.begin = at[new]
-        self.count = np.diff(np.append(new, len(at)))
+        parts: list[list[np.ndarray]] = [[], [], []]
+        n, width, bits = len(words.hashes), window - anchor + 1, np.uint64(24)
+        for low in range(0, n, BLOCK):
+            own = words.hashes[low : low + BLOCK + window - 1]
+            place = np.arange(len(own))
+            at = np.flatnonzero((place + low + window <= stop[low : low + len(own)]) & (place < BLOCK))
+            prefix = mix(rolled(own, anchor))
+            least, span = (prefix >> bits << bits) | place.astype(np.uint64), 1
+            while 2 * span <= width:
+                least = np.minimum(least, ahead(least, span))
+                span *= 2
+            least = np.minimum(least, ahead(least, width - span))
+            where = (least[at] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+            new = np.flatnonzero((np.diff(where, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+            for out, x in zip(parts, (at[new] + low, np.diff(np.append(new, len(at))), prefix[where[new]]), strict=True):
+                out.append(x)
+        self.begin, self.count, self.anchor = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(parts, (np.int64, np.int64, np.uint64), strict=True))
         self.text = np.searchsorted(words.first, self.begin, side="right") - 1
-        self.anchor = prefix[where[new]]
-        self.digest = mix(np.add.reduceat(mix(self.windows[at] ^ np.uint64(0x5851F42D4C957F2D)), new)) if len(new) else np.zeros(0, np.uint64)
 
     def starts(self, chosen: np.ndarray) -> np.ndarray:
         """Places of the windows of the chosen runs."""
-        count = self.count[chosen]
-        return np.repeat(self.begin[chosen] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return spread(self.begin[chosen], self.count[chosen])
 
     def texts(self, chosen: np.ndarray) -> np.ndarray:
         return np.repeat(self.text[chosen], self.count[chosen])
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, in a row."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def ahead(x: np.ndarray, by: int) -> np.ndarray:
     return np.concatenate([x[by:], np.full(min(by, len(x)), np.iinfo(np.uint64).max, dtype=np.uint64)]) if by else x
 
@@ -78,72 +88,179 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def nodes_of(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of the windows at starts."""
+    return mix(rolled(words.hashes, window))[starts], mix(rolled(mix(words.hashes ^ np.uint64(0xD6E8FEB86659FD93)), window))[starts]
+
+
 def listed(column: pa.Array, texts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each (text, value) is in that text's list of the column."""
+    """Whether each (text, value) is in that text's list of the column; a null list is empty."""
     if not len(values):
         return np.zeros(0, dtype=bool)
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64).view(np.uint64)
-    owner = np.repeat(np.arange(len(column)), np.diff(offsets))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    owner = np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0)))
     salt = np.uint64(0xD1342543DE82EF95)
     return np.isin(mix(values + texts.astype(np.uint64) * salt), mix(flat + owner.astype(np.uint64) * salt))
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
+def segments(words: Words, runs: Runs, chosen: np.ndarray, window: int) -> pa.Array:
+    """The bytes of the chosen runs, from their first window's first word to their last one's last."""
+    low, high = words.begin[runs.begin[chosen]], words.end[runs.begin[chosen] + runs.count[chosen] + window - 2]
+    data = words.data[spread(low, high - low)]
+    return pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(np.append(0, np.cumsum(high - low)).astype(np.int32)), pa.py_buffer(data)])
+
+
+def named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Names of pairs of names, in the pairs' order."""
+    return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
+
+
+def depth_names(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a batch of texts with at least so many words, as places of their first words, and the name of each one's node of that depth."""
+    stop = np.repeat(words.first[1:], words.counts())
+    place = np.arange(len(stop))
+    name, span = np.unique(words.hashes, return_inverse=True)[1], 1
+    while 2 * span <= window:
+        at = np.flatnonzero(place + 2 * span <= stop)
+        longer = np.zeros(len(place), dtype=np.int64)
+        longer[at] = named(name[at], name[at + span])
+        name, span = longer, 2 * span
+    at = np.flatnonzero(place + window <= stop)
+    return at, named(name[at], name[at + window - span]) if len(at) else at
+
+
+def lost_in(batch: pa.Table, window: int) -> pa.RecordBatch:
+    """Of whole groups of runs (key, id, at, segment): ranges of windows, (key, start, count), whose node a smaller id has too."""
+    words = Words(batch.column("segment").combine_chunks())
+    at, node = depth_names(words, window)
+    run = np.searchsorted(words.first, at, side="right") - 1
+    ids = np.unique(batch.column("id").to_numpy(), return_inverse=True)[1][run]
+    least = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, ids)
+    lost = least[node] < ids
+    at, run = at[lost], run[lost]
+    new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(run, prepend=-1) != 0))
+    start = at[new] - words.first[run[new]] + batch.column("at").to_numpy()[run[new]]
+    keys = batch.column("key").combine_chunks().take(pa.array(run[new]))
+    return pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int64()), pa.array(np.diff(np.append(new, len(at))), pa.int64())], names=["key", "start", "count"])
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
     """One row per input row: id_col, keep, n_words, n_removed, kept (the words left, one space between them)."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    carried = [f"keep_{k}" for k in range(len(keep))]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), key.alias("key"), *(F.col(c).alias(k) for k, c in zip(carried, keep, strict=True)))
     id_type = rows.schema["id"].dataType.simpleString()
+    known = rows.filter("id is not null").select("id", "key", "text")
+    reps = known.groupBy("key").agg(F.min("id").alias("id"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             runs = Runs(Words(batch.column("text")), window, anchor)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(runs.text)), signed(runs.anchor), signed(runs.digest)], names=["id", "anchor", "digest"])
-
-    found = rows.filter("id is not null").select("id", "text").mapInArrow(find, f"id {id_type}, anchor long, digest long")
-    owned = found.groupBy("anchor", "digest").agg(F.min("id").alias("id"))
-    branching = owned.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor", F.lit(True).alias("branches"))
-    fates = owned.join(branching, "anchor", "left").groupBy("id").agg(
-        F.collect_list(F.when(F.col("branches").isNull(), F.col("digest"))).alias("own"),
-        F.collect_list(F.when(F.col("branches"), F.col("digest"))).alias("open"),
+            text = pa.array(runs.text)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(text), batch.column("key").take(text), signed(runs.anchor), pa.array(runs.count)], names=["id", "key", "anchor", "n"])
+
+    # a text's runs of one anchor are one row; n counts the windows of all its copies
+    found = known.mapInArrow(find, f"id {id_type}, key binary, anchor long, n long").groupBy("anchor", "key").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+    found = stored(found, "suffix-groups")
+    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n")).filter("low < high").select("anchor", (F.col("n") > group).alias("large"))
+    groups = found.select("anchor", "key", "id").join(shared, "anchor").groupBy("key", "id").agg(
+        F.collect_list(F.when(~F.col("large"), F.col("anchor"))).alias("small"),
+        F.collect_list(F.when(F.col("large"), F.col("anchor"))).alias("large"),
     )
-    fates = stored(fates, "suffix-fates")
-    judged = rows.join(fates, "id", "left").withColumns({c: F.coalesce(c, F.expr("array(cast(0 as bigint))").cast("array<bigint>")) for c in ("own", "open")})
+    groups = stored(groups, "suffix-groups")
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of runs in small groups; names of windows in large ones."""
+        names = ["id", "key", "anchor", "at", "segment", "other"]
         for batch in slices(batches, "text"):
-            runs = Runs(Words(batch.column("text")), window, anchor)
-            branch = listed(batch.column("open"), runs.text, runs.digest)
-            starts, texts = runs.starts(branch), runs.texts(branch)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(texts)), signed(runs.windows[starts])], names=["id", "node"])
+            words = Words(batch.column("text"))
+            runs = Runs(words, window, anchor)
+            small = np.flatnonzero(listed(batch.column("small"), runs.text, runs.anchor))
+            for low in range(0, len(small), SENT):
+                own = small[low : low + SENT]
+                text = pa.array(runs.text[own])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(text), batch.column("key").take(text), signed(runs.anchor[own]), pa.array(runs.begin[own] - words.first[runs.text[own]]), segments(words, runs, own, window), pa.nulls(len(own), pa.int64())],
+                    names=names,
+                )
+            large = listed(batch.column("large"), runs.text, runs.anchor)
+            one, two = nodes_of(words, window, runs.starts(large))
+            text, n = pa.array(runs.texts(large)), len(one)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(text), pa.nulls(n, pa.binary()), signed(one), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), signed(two)], names=names)
 
-    deep = rows.select("id", "text").join(fates.filter("size(open) > 0").select("id", "open"), "id").mapInArrow(descend, f"id {id_type}, node long")
-    nodes = deep.groupBy("node").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("node").alias("nodes"))
-    judged = judged.join(nodes, "id", "left").withColumn("nodes", F.coalesce("nodes", F.expr("array(cast(0 as bigint))")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    deep = known.join(groups.hint("merge"), ["key", "id"]).select("id", "key", "text", "small", "large")
+    deep = stored(deep.mapInArrow(descend, f"id {id_type}, key binary, anchor long, at long, segment binary, other long"), "suffixes")
+
+    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in slices(batches, "segment"):
+            anchors = batch.column("anchor").to_numpy()
+            if held and held[-1].column("anchor")[-1].as_py() != anchors[0]:
+                yield lost_in(pa.Table.from_batches(held), window)
+                held = []
+            whole = int(np.searchsorted(anchors, anchors[-1]))  # the last group may go on in the next batch
+            if whole:
+                yield lost_in(pa.Table.from_batches([*held, batch.slice(0, whole)]), window)
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield lost_in(pa.Table.from_batches(held), window)
+
+    small = deep.filter("segment is not null").select("id", "key", "anchor", "at", "segment")
+    lost = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(subtrees, "key binary, start long, count long")
+    lost = lost.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    owned = deep.filter("segment is null").groupBy("anchor", "other").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("anchor").alias("nodes"))
+
+    fate = reps.withColumn("first", F.lit(True)).join(groups.select("key", "id", "large"), ["key", "id"], "left").join(lost, "key", "left").join(owned, "id", "left")
+    fate = stored(fate, "suffix-fates")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in carried)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             runs = Runs(words, window, anchor)
-            known = batch.column("id").is_valid().to_numpy(zero_copy_only=False)[runs.text] if len(batch) else np.zeros(0, bool)
-            own, branch = listed(batch.column("own"), runs.text, runs.digest), listed(batch.column("open"), runs.text, runs.digest)
-            lost = runs.starts(known & ~own & ~branch)
-            maybe, texts = runs.starts(known & branch), runs.texts(known & branch)
-            lost = np.concatenate([lost, maybe[~listed(batch.column("nodes"), texts, runs.windows[maybe])]])
-            n = len(words.hashes)
-            covered = np.cumsum(np.bincount(lost, minlength=n + 1)[: n + 1] - np.bincount(lost + window, minlength=n + 1)[: n + 1])[:n] > 0
-            gone = np.append(0, np.cumsum(covered))[words.first]
+            valid = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            copy = valid & ~batch.column("first").fill_null(False).to_numpy(zero_copy_only=False)
+            starts, counts = (batch.column(c) for c in ("starts", "counts"))
+            texts = np.repeat(np.arange(len(batch)), np.asarray(starts.value_lengths().fill_null(0)))
+            begin, count = (np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=np.int64) for c in (starts, counts))
+            gone = [runs.starts(copy[runs.text]), spread(words.first[texts] + begin, count)]
+            large = listed(batch.column("large"), runs.text, runs.anchor)
+            maybe, texts = runs.starts(large), runs.texts(large)
+            if len(maybe):
+                gone.append(maybe[~listed(batch.column("nodes"), texts, nodes_of(words, window, maybe)[0])])
+            at, n = np.concatenate(gone), len(words.hashes)
+            covered = np.cumsum(np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + window, minlength=n + 1)[: n + 1])[:n] > 0
+            upto = np.append(0, np.cumsum(covered))[words.first]
             kept = [x.decode() for x in words.joined(~covered)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(batch.column(c) for c in keep), pa.array(words.counts(), pa.int64()), pa.array(np.diff(gone), pa.int64()), pa.array(kept, pa.string())],
-                names=["id", *keep, "n_words", "n_removed", "kept"],
+                [batch.column("id"), *(batch.column(c) for c in carried), pa.array(words.counts(), pa.int64()), pa.array(np.diff(upto), pa.int64()), pa.array(kept, pa.string())],
+                names=["id", *carried, "n_words", "n_removed", "kept"],
             )
 
-    schema = f"id {id_type}, {fields + ', ' if keep else ''}n_words long, n_removed long, kept string"
-    return judged.select("id", "text", *keep, "own", "open", "nodes").mapInArrow(judge, schema).withColumnRenamed("id", id_col)
+    judged = rows.join(fate.hint("merge"), ["key", "id"], "left").select("id", "text", *carried, "first", "large", "starts", "counts", "nodes")
+    out = judged.mapInArrow(judge, f"id {id_type}, {fields}n_words long, n_removed long, kept string")
+    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in zip(carried, keep, strict=True)), "n_words", "n_removed", "kept")
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = removed(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) as j from d where len(w) >= 50),
+s as (select doc_id, j, sha256(array_to_string(w[j : j + 49], ' ')) as s from p),
+o as (select s, min(doc_id) as owner from s group by s),
+lost as (select doc_id, j from s join o using (s) where owner < doc_id),
+gone as (select distinct doc_id, unnest(range(j, j + 50)) as i from lost),
+words as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d where doc_id in (select doc_id from lost)),
+g as (select doc_id, count(*) filter (gone.i is not null) as n, string_agg(x, ' ' order by words.i) filter (gone.i is null) as kept from words left join gone using (doc_id, i) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(g.n, 0) as bigint) as n_removed,
+  sha256(case when g.doc_id is null then array_to_string(w, ' ') else coalesce(kept, '') end) as kept_sha256
+from d left join g using (doc_id)
+"""

@@ -5,11 +5,13 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqlab.llm import graph, near_dup, substring
-from seqlab.llm.common import mix
+from seqlab.llm.common import Words, mix
 
 
 def planted(seed=0):
@@ -116,9 +118,11 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
-def test_substrings(spark, docs):
+@pytest.mark.parametrize("group", [0, 150, substring.GROUP])
+def test_substrings(spark, docs, group):
+    """With all groups dealt by whole windows, with some, and with none."""
     rows = planted(5)
-    got = {r.doc_id: r for r in substring.removed(docs(rows, True)).collect()}
+    got = {r.doc_id: r for r in substring.removed(docs(rows, True), group=group).collect()}
     assert len(got) == len(rows)
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     first = {}
@@ -139,3 +143,33 @@ def test_rows_with_one_id_do_not_remove_each_other(spark, docs):
     text = " ".join(f"w{i}" for i in range(80))
     got = substring.removed(docs([(1, text), (1, text), (2, text)])).collect()
     assert sorted(r.n_removed for r in got) == [0, 0, 80]
+
+
+def test_anchors_do_not_depend_on_blocks(monkeypatch):
+    rnd = random.Random(1)
+    words = Words(pa.array([" ".join(rnd.choice("abcd") for _ in range(n)) for n in (0, 400, 49, 50, 51, 300)] + [None]))
+    seen = []
+    for block in (1 << 20, 1, 7, 64):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        runs = substring.Runs(words, 50, 16)
+        every = np.arange(len(runs.begin))
+        seen.append(dict(zip(runs.starts(every).tolist(), np.repeat(runs.anchor, runs.count).tolist(), strict=True)))
+    assert len(seen[0]) == 351 + 1 + 2 + 251 and all(x == seen[0] for x in seen)
+
+
+def test_substrings_equal_their_sql(spark):
+    got = substring.op8_substring_dedup(spark, "/root/testdata/sf0.01").toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(substring.OP8_SQL).df().sort_values("doc_id").reset_index(drop=True)
+    assert list(got.columns) == list(want.columns) and got.equals(want)
+
+
+@pytest.mark.parametrize("where", [0, 40_000])
+def test_long_texts_share_a_passage(spark, docs, where):
+    rnd = random.Random(2)
+    passage = " ".join(rnd.choice("xyz") * rnd.randint(1, 9) for _ in range(80))
+    filler = [" ".join(f"{k}w{i}" for i in range(n)) for k, n in (("a", 60_000), ("b", 30), ("c", where + 10))]
+    rows = [(1, f"{filler[0]} {passage} {filler[1]}"), (2, f"{filler[2]} {passage}"), (3, passage)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.removed(docs(rows)).collect()}
+    assert got == {1: (60_110, 0), 2: (where + 90, 80), 3: (80, 80)}
