@@ -37,8 +37,8 @@ from .common import Words, bounded_batches, mix, rolled, slices, stored, table
 
 WINDOW = 50
 ANCHOR = 16
-#: Suffixes of a group whose subtree is built in memory, at most; about 3 words, or 20 bytes, each.
-GROUP = 16_384
+#: Suffixes of a group whose subtree is built in memory, at most: some 400,000 words, of 60 bytes each in arrays.
+GROUP = 1 << 17
 #: Words whose anchors are looked for at one time, and runs whose words are sent at one time.
 BLOCK, SENT = 1 << 20, 2048
 
