@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import os
+import textwrap
 import zipfile
 import zlib
 
@@ -128,3 +130,40 @@ def test_licenses(spark, docs):
     got = [(r.doc_id, r.licence, r.notices) for r in licenses.scan(docs(rows, True)).collect()]
     assert sorted(got, key=str) == sorted([(1, None, ""), (2, None, ""), (3, "MIT", ""), (4, "ISC", ""), (5, None, "MIT"), (6, None, ""), (3, None, "")], key=str)
     assert licenses.scan(docs([])).count() == 0
+
+
+WRAPPED = {name: "\n".join("\n".join(textwrap.wrap(x, 62)) or "" for x in text.split("\n")) for name, text in licenses.KNOWN if len(text) > 500}
+
+
+def test_licences_in_the_forms_that_files_have(spark, docs):
+    """Wrapped, commented, with headings, holders and rights; lines that only begin with the word copyright stay."""
+    heads = [
+        "", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n", "The MIT License (MIT)\n\nCopyright © 2011-2020 Some Org\nCopyright 2021 Other\nAll rights reserved.\n\n", "Copyright (c) <year> <holder>. All rights reserved.\n\n",
+        "Copyright The Example Authors.\n\n", "Copyright Jane Doe and others\n\n", "BSD 3-Clause \"New\" or \"Revised\" License\n\n",
+    ]
+    rows, want = [], {}
+    for name, whole in WRAPPED.items():
+        for head in heads:
+            text = whole.partition("\n\n")[2] if head and len(whole.partition("\n\n")[0]) < 60 else whole
+            for lead in ("", "// ", " * "):
+                want[len(rows)] = name
+                rows.append((len(rows), "".join(f"{lead}{x}\n" for x in (head + text).split("\n"))))
+    want[len(rows)] = None
+    rows.append((len(rows), WRAPPED["ISC"].replace("notice appear", "notice may appear")))
+    assert any(x.lower().startswith("copyright") for t in WRAPPED.values() for x in t.split("\n"))
+    got = {r.doc_id: r.licence for r in licenses.scan(docs(rows)).collect()}
+    assert got == want
+
+
+def test_registry_of_callers(spark, docs):
+    own = licenses.registry_of(spark.createDataFrame([("House-1.0", "You may use this at home.", 0), ("Zz", "YOU MAY USE THIS AT HOME", 0), (None, "x", 0), ("Empty", None, 0)], "licence string, text string, text_digest int"))
+    got = {r.doc_id: r.licence for r in licenses.scan(docs([(1, "Copyright 2020 Me\nyou may use\nthis, at home"), (2, licenses.MIT), (3, "x"), (4, None)]), registry=own).collect()}
+    assert got == {1: "House-1.0", 2: "MIT", 3: None, 4: "Empty"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the distribution's licence texts are not here")
+def test_long_licences(spark, docs):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = {v: open(f"/usr/share/common-licenses/{k}", encoding="utf-8").read() for k, v in names.items()}
+    rows = [(i, t if i % 2 else " ".join(t.split(" ")).replace("\n", "\r\n")) for i, t in enumerate(texts.values())]
+    assert [r.licence for r in licenses.scan(docs(rows)).orderBy("doc_id").collect()] == list(texts)
