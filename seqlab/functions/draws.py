@@ -37,3 +37,25 @@ def numbered(df: DataFrame, key: str, keys: list[str] | None = None, name: str =
     block = F.shiftright(F.col(key), 10) if df.schema[key].dataType.typeName() in ("long", "integer", "short") else F.substring(F.col(key).cast("string"), 1, 8)
     marked = df.withColumns({"_one": F.lit(1).cast("long"), "_block": block})
     return running_total(marked, "_one", "_block", [F.col(key)], keys, name).withColumn(name, F.col(name) - 1).drop("_one", "_block")
+
+
+def ranked(df: DataFrame, value: str, ties: list[str], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Adds a row's place from 0 by (a 32-bit draw, ties), in two levels: 4,096 ranges of draws, then within a range."""
+    marked = df.withColumns({"_one": F.lit(1).cast("long"), "_range": F.shiftright(F.col(value), 20)})
+    return running_total(marked, "_one", "_range", [F.col(value), *map(F.col, ties)], keys, name).withColumn(name, F.col(name) - 1).drop("_one", "_range")
+
+
+def lowest(df: DataFrame, n: int, value: str, ties: list[str], keys: list[str] | None = None) -> DataFrame:
+    """The n rows with the lowest (32-bit draw, ties), by keys if any; all where there are fewer.
+
+    Rows are counted by range of draws, 4,096 rows by keys at most. Ranges that fit are taken whole; only the one range that the n-th row lies in is sorted.
+    """
+    keys = keys or []
+    marked = df.withColumn("_range", F.shiftright(F.col(value), 20))
+    sizes = marked.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    upto = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(upto.orderBy("_range")) - F.col("_size")).filter(F.col("_before") < n)
+    near = marked.join(sizes, [*keys, "_range"])
+    whole, edge = near.filter(F.col("_before") + F.col("_size") <= n), near.filter(F.col("_before") + F.col("_size") > n)
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(value, *ties))
+    return whole.unionByName(edge.withColumn("_place", place).filter(F.col("_place") <= n - F.col("_before")).drop("_place")).drop("_range", "_size", "_before")

@@ -40,7 +40,7 @@ def pending(conditions: DataFrame, seeds: DataFrame, finished: DataFrame) -> Dat
 
 def ordered_lookup(df: DataFrame, order: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the fixed display list, with its rank and group."""
-    return df.join(F.broadcast(order), key).orderBy("rank", key)
+    return df.join(order, key).orderBy("rank", key)
 
 
 def compare_predictions(a: DataFrame, b: DataFrame, keys: list[str], threshold: float, tolerance: float) -> DataFrame:
@@ -64,6 +64,14 @@ def pick_winner(arms: DataFrame, order: str, arm: str = "arm", val: str = "val",
     return best.select(*(keys or []), f"b.{arm}", f"b.{val}", f"b.{test}")
 
 
+def accept_winner(arms: DataFrame, order: str, base: str, gain: float, arm: str = "arm", val: str = "val", test: str = "test") -> DataFrame:
+    """The winner by validation, the base arm's scores, the gain on validation and whether it reaches the least gain; the arm to use is the base where it doesn't."""
+    best = pick_winner(arms, order, arm, val, test)
+    own = arms.filter(F.col(arm) == base).select(F.col(val).alias("base_val"), F.col(test).alias("base_test"))
+    both = best.crossJoin(own).withColumn("gain", F.col(val) - F.col("base_val")).withColumn("accepted", F.col("gain") >= gain)
+    return both.select("*", F.when(F.col("accepted"), F.col(arm)).otherwise(F.lit(base)).alias("use"), F.when(F.col("accepted"), F.col(test)).otherwise(F.col("base_test")).alias("use_test"))
+
+
 def seed_spread(runs: DataFrame, metric: str, base: str, condition: str = "condition") -> DataFrame:
     """Each condition against the base: difference of means, Welch's t, and whether it exceeds the base's range."""
     s = runs.groupBy(condition).agg(F.avg(metric).alias("mean"), F.stddev(metric).alias("std"), F.count("*").alias("n"), (F.max(metric) - F.min(metric)).alias("range"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, numbered
@@ -16,18 +16,44 @@ def replicates(clusters: DataFrame, n_boot: int, seed: int, keys: list[str], sta
     """Sums of the statistics over clusters drawn with replacement: keys, rep and stats. The data are read once; a replicate joins the small cluster table on a number."""
     placed = numbered(clusters, cluster, keys, "_i")
     sizes = clusters.groupBy(*keys).agg(F.count("*").alias("_m")) if keys else clusters.agg(F.count("*").alias("_m"))
-    drawn = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
-    drawn = drawn.withColumn("_i", draw(seed, "boot", "rep", "_slot") % F.col("_m"))
-    return drawn.join(placed, [*keys, "_i"]).groupBy(*keys, "rep").agg(*(F.sum(s).alias(s) for s in stats))
+    return drawn(sizes, n_boot, seed, keys).join(placed, [*keys, "_i"]).groupBy(*keys, "rep").agg(*(F.sum(s).alias(s) for s in stats))
+
+
+def drawn(sizes: DataFrame, n_boot: int, seed: int, keys: list[str]) -> DataFrame:
+    """keys, rep and _i, a drawn number below _m, as often as _m, for every replicate; replicates are spread over tasks before their draws are made."""
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(tasks, *keys, "rep")
+    return reps.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).withColumn("_i", draw(seed, "boot", "rep", "_slot") % F.col("_m"))
 
 
 def cluster_counts(df: DataFrame, threshold: Column, cluster: str, keys: list[str]) -> DataFrame:
     return confusion_counts(df, F.col("prob") >= threshold, [*keys, cluster])
 
 
+RANKING = ["auroc", "auprc"]
+
+
+def ranking_replicates(df: DataFrame, n_boot: int, seed: int, keys: list[str], cluster: str = "seq_id") -> DataFrame:
+    """keys, rep, auroc, auprc, pos and n of every replicate, from clusters' histograms of scores weighted by how often the cluster was drawn."""
+    hist = df.groupBy(*keys, cluster, "prob").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("q"))
+    placed = numbered(df.select(*keys, cluster).distinct(), cluster, keys, "_i")
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_m"))
+    times = drawn(sizes, n_boot, seed, keys).groupBy(*keys, "rep", "_i").agg(F.count("*").alias("_times")).join(placed, [*keys, "_i"])
+    bins = times.join(hist, [*keys, cluster]).groupBy(*keys, "rep", "prob").agg(F.sum(F.col("p") * F.col("_times")).alias("p"), F.sum(F.col("q") * F.col("_times")).alias("q"))
+    w = Window.partitionBy(*keys, "rep").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumns({"_p": F.sum("p").over(w), "_q": F.sum("q").over(w)})
+    p, q = F.sum("p"), F.sum("q")
+    area, steps = F.sum(F.col("q") * (F.col("_p") - 0.5 * F.col("p"))), F.sum(F.col("p") * F.col("_p") / (F.col("_p") + F.col("_q")))
+    return bins.groupBy(*keys, "rep").agg(F.when((p > 0) & (q > 0), area / (p * q)).alias("auroc"), F.when(p > 0, steps / p).alias("auprc"), p.alias("pos"), (p + q).alias("n"))
+
+
 def bootstrap_ci(df: DataFrame, threshold: Column, metric: str, n_boot: int, seed: int, keys: list[str] | None = None, cluster: str = "seq_id") -> DataFrame:
-    """keys, low and high (2.5 and 97.5 percentiles) and n_used: replicates of one class are left out; nulls if all are."""
+    """keys, low and high (2.5 and 97.5 percentiles) and n_used of a metric by name, of confusion_metrics() or RANKING; replicates of one class are left out; nulls if all are."""
     keys = keys or []
+    if metric in RANKING:
+        reps = ranking_replicates(df, n_boot, seed, keys, cluster).filter(F.col("pos").between(1, F.col("n") - 1))
+        q = F.percentile(metric, F.array(F.lit(0.025), F.lit(0.975)))
+        return reps.groupBy(*keys).agg(q[0].alias("low"), q[1].alias("high"), F.count("*").alias("n_used"))
     reps = confusion_metrics(replicates(cluster_counts(df, threshold, cluster, keys), n_boot, seed, keys, COUNTS, cluster))
     used = reps.filter("tp + fn > 0 and fp + tn > 0")
     q = F.percentile(metric, F.array(F.lit(0.025), F.lit(0.975)))

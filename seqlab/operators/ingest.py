@@ -33,10 +33,15 @@ def reject_scalar_column(labels: DataFrame, seq: str, label: str) -> DataFrame:
     return per.crossJoin(kinds).withColumn("usable", (F.col("labels_per_sequence") >= 1.5) & (F.col("distinct_labels") > 1))
 
 
-def decode_codes(df: DataFrame, table: DataFrame, split: str, raw: str, zero_background: bool = True) -> DataFrame:
-    """Adds class by (split, raw code) from a code table (split, code, class); 0 is background; null for unknown codes."""
-    named = df.join(F.broadcast(table.select(F.col("split").alias(split), F.col("code").alias(raw), "class")), [split, raw], "left")
-    return named.withColumn("class", F.when(F.col(raw) == 0, 0).otherwise(F.col("class"))) if zero_background else named
+def decode_codes(df: DataFrame, table: DataFrame, split: str, raw: str, zero_background: bool = True, strict: bool = False) -> DataFrame:
+    """Adds class by (split, raw code) from a code table (split, code, class); 0 is background; unknown codes are null or, if strict, an error."""
+    named = df.join(table.select(F.col("split").alias(split), F.col("code").alias(raw), "class"), [split, raw], "left")
+    if zero_background:
+        named = named.withColumn("class", F.when(F.col(raw) == 0, 0).otherwise(F.col("class")))
+    if strict:
+        what = F.concat(F.lit("unknown code "), F.coalesce(F.col(raw).cast("string"), F.lit("null")), F.lit(" in "), F.coalesce(F.col(split).cast("string"), F.lit("null")))
+        named = named.withColumn("class", F.when(F.col("class").isNull(), F.raise_error(what).cast("int")).otherwise(F.col("class")))
+    return named
 
 
 def unknown_codes(decoded: DataFrame, split: str, raw: str) -> DataFrame:
@@ -77,8 +82,9 @@ def label_conflicts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def dedupe_labels(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row by key, the first in the given order."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    """One row by key, the first in the given order, ascending; copies combine before the shuffle."""
+    first = df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def label_items(items: DataFrame, labels: DataFrame, keys: list[str], marker: str | None = None) -> DataFrame:

@@ -61,7 +61,13 @@ def sequence_metrics(df: DataFrame, threshold: Column, keys: list[str], seq: str
     )
 
 
-OBJECTIVES = ["macro_f1", "balanced_accuracy", "f1"]
+#: Objectives by name: an expression over the columns of confusion_metrics(). objective() adds to them.
+OBJECTIVES: dict[str, str] = {"macro_f1": "macro_f1", "balanced_accuracy": "balanced_accuracy", "f1": "f1"}
+
+
+def objective(name: str, expression: str) -> None:
+    """Registers an objective, a SQL expression over the columns of confusion_metrics()."""
+    OBJECTIVES[name] = expression
 
 
 def threshold_curve(df: DataFrame, keys: list[str], label: str = "label", prob: str = "prob") -> DataFrame:
@@ -69,7 +75,7 @@ def threshold_curve(df: DataFrame, keys: list[str], label: str = "label", prob:
     guess = F.floor(F.col(prob) * 100)
     exact = F.when(F.col(prob) >= (guess + 1) / F.lit(100.0), guess + 1).when(F.col(prob) >= guess / F.lit(100.0), guess).otherwise(guess - 1)
     bins = df.groupBy(*keys, F.greatest(F.lit(0), F.least(F.lit(99), exact)).cast("int").alias("bin")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    totals = bins.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    totals = bins.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q")).filter("all_p is not null")  # no rows, no curve
     grid = totals.select(*keys, "all_p", "all_q", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("k"))
     above = bins.filter("bin >= 1").select(*keys, "p", "q", F.explode(F.sequence(F.lit(1), F.col("bin"))).alias("k")).groupBy(*keys, "k").agg(F.sum("p").alias("tp"), F.sum("q").alias("fp"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
@@ -78,11 +84,12 @@ def threshold_curve(df: DataFrame, keys: list[str], label: str = "label", prob:
 
 
 def pick_threshold(df: DataFrame, keys: list[str], objective: str = "macro_f1") -> DataFrame:
-    """keys, threshold and the objective there; the lowest threshold wins ties."""
+    """keys, threshold and the objective there; the lowest threshold wins ties. Without keys an empty input has the threshold 0.5 and no objective."""
     if objective not in OBJECTIVES:
-        raise ValueError(f"objective is one of {OBJECTIVES}")
-    best = threshold_curve(df, keys).groupBy(*keys).agg(F.max_by(F.struct("k", objective), F.struct(F.col(objective), -F.col("k"))).alias("b"))
-    return best.select(*keys, (F.col("b.k") / 100.0).alias("threshold"), F.col(f"b.{objective}").alias(objective))
+        raise ValueError(f"objective is one of {list(OBJECTIVES)}")
+    curve = threshold_curve(df, keys).withColumn("_value", F.expr(OBJECTIVES[objective]))
+    best = curve.groupBy(*keys).agg(F.max_by(F.struct("k", "_value"), F.struct(F.col("_value"), -F.col("k"))).alias("b"))
+    return best.select(*keys, F.coalesce(F.col("b.k") / 100.0, F.lit(0.5)).alias("threshold"), F.col("b._value").alias(objective))
 
 
 def evaluate_all(df: DataFrame, threshold: Column, keys: list[str], seq: str = "seq_id") -> DataFrame:
@@ -105,18 +112,27 @@ def dice(parts: DataFrame, group: str, klass: str) -> DataFrame:
     return parts.groupBy(group, klass).agg(size(both).alias("both"), size(p).alias("n_pred"), size(g).alias("n_truth")).withColumn("dice", F.when(F.col("n_truth") > 0, 2 * F.col("both") / (F.col("n_pred") + F.col("n_truth"))))
 
 
+def dice_means(scores: DataFrame, klass: str, background: int = 0) -> DataFrame:
+    """From dice(): by class the mean over the groups that have it, and as class null the mean of the classes besides the background. Groups may be items, or batches whose parts were pooled."""
+    means = scores.groupBy(klass).agg(F.avg("dice").alias("dice"), F.count("dice").alias("groups"))
+    front = means.filter(F.col(klass) != background).agg(F.lit(None).cast(scores.schema[klass].dataType).alias(klass), F.avg("dice").alias("dice"), F.sum("groups").alias("groups"))
+    return means.unionByName(front)
+
+
 def concentration_ratio(df: DataFrame, keys: list[str], value: str, flag: str) -> DataFrame:
     """Share of the value inside the flagged region over the region's share of the area; null for an empty region or no value."""
     total, inside, n, m = F.sum(value), F.sum(F.when(F.col(flag), F.col(value)).otherwise(0.0)), F.count("*"), F.sum(F.col(flag).cast("long"))
     return df.groupBy(*keys).agg(F.when((total > 0) & (m > 0), (inside / total) / (m / n)).alias("ratio"))
 
 
-def null_safe_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def null_safe_summary(df: DataFrame, keys: list[str], value: str, reasons: dict[str, Column] | None = None) -> DataFrame:
+    """Summary of the values that are there, and how many are not; for each named reason how many nulls it holds for."""
     v = F.col(value)
     std = F.when(F.count(v) > 0, F.coalesce(F.stddev(v), F.lit(0.0)))
     return df.groupBy(*keys).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), std.alias("std"), F.avg((v > 1.5).cast("double")).alias("share_above"),
         F.avg((v < 1.1).cast("double")).alias("share_below"), F.sum(v.isNull().cast("long")).alias("n_null"),
+        *(F.sum((v.isNull() & F.coalesce(c, F.lit(False))).cast("long")).alias(f"n_{name}") for name, c in (reasons or {}).items()),
     )
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw, running_total
+from ..functions.draws import draw, lowest, running_total
 from .sequence import runs, with_ordinal
 
 
@@ -62,8 +62,8 @@ def stride_sample(df: DataFrame, stride: int, seq: str = "seq_id", pos: str = "p
 
 
 def budget_items(df: DataFrame, budget: int, seed: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:
-    """Exactly budget random items (all, if fewer): a distributed top-n by draw."""
-    return df.withColumn("_h", draw(seed, "budget", seq, pos)).orderBy("_h", seq, pos).limit(budget).drop("_h")
+    """Exactly budget random items (all, if fewer): those with the lowest draws."""
+    return lowest(df.withColumn("_h", draw(seed, "budget", seq, pos)), budget, "_h", [seq, pos]).drop("_h")
 
 
 def sequence_shares(df: DataFrame, budget: int, seed: int, keys: list[str] | None = None, budgets: DataFrame | None = None, seq: str = "seq_id") -> DataFrame:
@@ -71,7 +71,7 @@ def sequence_shares(df: DataFrame, budget: int, seed: int, keys: list[str] | Non
     keys = keys or []
     sizes = df.groupBy(*keys, seq).agg(F.count("*").alias("n")).withColumn("_h", draw(seed, "order", seq)).withColumn("_bucket", F.shiftright("_h", 20))
     total = running_total(sizes, "n", "_bucket", [F.col("_h"), F.col(seq)], keys, "_upto")
-    total = total.join(F.broadcast(budgets), keys) if budgets is not None else total.withColumn("_budget", F.lit(budget))
+    total = total.join(budgets, keys) if budgets is not None else total.withColumn("_budget", F.lit(budget))
     left = F.col("_budget") - (F.col("_upto") - F.col("n"))
     return total.withColumn("take", F.least(F.col("n"), left)).filter("take > 0").select(*keys, seq, "n", "take")
 
@@ -96,6 +96,13 @@ def budget_and_prior(df: DataFrame, budget: int, rate: float, seed: int, seq: st
     return chunk(df, shares, seed, seq, pos)
 
 
+def budget_report(picked: DataFrame, budget: int, rate: float | None = None, tolerance: float = 0.02) -> DataFrame:
+    """One row: rows, budget, short (fewer rows than asked for), pos_rate and off_prior (further from the wanted rate than the tolerance; null without one)."""
+    n, p = F.count("*"), F.avg(F.col("label").cast("double"))
+    off = F.lit(None).cast("boolean") if rate is None else F.abs(F.coalesce(p, F.lit(0.0)) - rate) > tolerance
+    return picked.agg(n.alias("rows"), F.lit(budget).cast("long").alias("budget"), (n < budget).alias("short"), p.alias("pos_rate"), off.alias("off_prior"))
+
+
 @dataclass(frozen=True)
 class Condition:
     """A named sampling setting."""
@@ -149,8 +156,8 @@ def describe(df: DataFrame, seq: str = "seq_id") -> DataFrame:
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:
-    w = Window.partitionBy("label").orderBy("_h", seq, pos)
-    return df.withColumn("_h", draw(seed, "balanced", seq, pos)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n // 2).drop("_h", "_r")
+    """n // 2 random items of each label (all, if fewer)."""
+    return lowest(df.withColumn("_h", draw(seed, "balanced", seq, pos)), n // 2, "_h", [seq, pos], ["label"]).drop("_h")
 
 
 def even_rows(df: DataFrame, n: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:
@@ -164,9 +171,12 @@ def even_rows(df: DataFrame, n: int, seq: str = "seq_id", pos: str = "pos") -> D
     return rows.withColumn("_place", F.col("_before") + F.col("ordinal")).join(F.broadcast(picks), "_place", "left_semi").drop("_place", "_before", "ordinal", "n")
 
 
-def first_last(df: DataFrame, qualifies, klass: str, order: str) -> DataFrame:
-    """First and last qualifying row of each class; null where there are fewer than two."""
+def first_last(df: DataFrame, qualifies, klass: str, order: str, strict: bool = False) -> DataFrame:
+    """First and last qualifying row of each class; where there are fewer than two, null or, if strict, an error."""
     ok = df.filter(qualifies)
+    if strict:
+        few = F.when(F.count("*") < 2, F.raise_error(F.lit("a class has fewer than two rows that qualify")).cast("long")).otherwise(F.count("*"))
+        return ok.groupBy(klass).agg(few.alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
     return ok.groupBy(klass).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last")).withColumns({c: F.when(F.col("n") >= 2, F.col(c)) for c in ("first", "last")})
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import clip_logit
-from ..functions.draws import draw
+from ..functions.draws import draw, numbered
 
 
 def ordered(seq: str | list[str] = "seq_id", pos: str = "pos"):
@@ -71,25 +74,35 @@ def median_filter(value: str, width: int, seq: str = "seq_id", pos: str = "pos")
 def viterbi(df: DataFrame, stay: float, value: str = "prob", seq: str = "seq_id", pos: str = "pos", name: str = "state") -> DataFrame:
     """Adds the two-state most probable path (0 or 1) with a symmetric probability to stay, at least 1/2; ties go to 0.
 
-    The lead of state 1 over state 0 is a walk that saturates at the log-odds of staying: forward one
-    aggregate over the sequence's array, backward the next decided state.
+    The lead of state 1 over state 0 is a walk that saturates at the log-odds of staying. Forward, rows
+    stream in order and the state is one number; backward, a state is the next decided one. Both are
+    linear in a sequence's length and hold no sequence. A null value is no evidence.
     """
     if stay < 0.5:
         raise ValueError("stay is at least 1/2")
     limit = math.log(stay / (1 - stay))
-    w = ordered(seq, pos)
-    logit = df.withColumn("_z", clip_logit(F.col(value)))
-    paths = logit.groupBy(seq).agg(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col("_z")))).alias("_p"))
-    walk = F.aggregate("_p", F.array().cast("array<double>"), lambda acc, p: F.concat(acc, F.array(F.greatest(F.lit(-limit), F.least(F.lit(limit), F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))) + p["_z"])))
-    # a walk's first step starts even
-    steps = paths.select(seq, F.posexplode(F.arrays_zip(F.col("_p").alias("p"), walk.alias("d")))).select(seq, F.col(f"col.p.{pos}").alias(pos), F.col("col.d").alias("_d"))
-    last = F.row_number().over(Window.partitionBy(seq).orderBy(F.desc(pos))) == 1
-    sure = F.when(last, (F.col("_d") > 0).cast("int")).when(F.col("_d") > limit, 1).when(F.col("_d") <= -limit, 0)
-    states = steps.withColumn("_sure", sure).withColumn(name, F.first("_sure", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return df.join(states.select(seq, pos, name), [seq, pos])
-
-
-#: Settings to try, in order: (name, kind, parameter).
+    rows = df.withColumn("_z", clip_logit(F.col(value))).repartition(seq).sortWithinPartitions(seq, pos)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, d = None, 0.0
+        for batch in batches:
+            leads = []
+            for s, z in zip(batch.column(seq).to_pylist(), batch.column("_z").to_pylist(), strict=True):
+                # a walk's first step starts even
+                d = (max(-limit, min(limit, d)) if (s,) == own else 0.0) + (z or 0.0)
+                own = (s,)
+                leads.append(d)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leads, pa.float64())], names=[*batch.schema.names, "_d"])
+
+    steps = rows.mapInArrow(walk, StructType([*rows.schema.fields, StructField("_d", DoubleType())]))
+    back = Window.partitionBy(seq).orderBy(F.desc(pos))
+    sure = F.when(F.row_number().over(back) == 1, (F.col("_d") > 0).cast("int")).when(F.col("_d") > limit, 1).when(F.col("_d") <= -limit, 0)
+    # from the end, so that the frame grows by a row at a time
+    state = F.last("_sure", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("_sure", sure).withColumn(name, state).drop("_z", "_d", "_sure")
+
+
+# Settings to try, in order: (name, kind, parameter).
 SMOOTHERS = [("none", "none", 1.0), *[(f"movavg_{w}", "movavg", float(w)) for w in (3, 5, 9, 15, 25)], *[(f"median_{w}", "median", float(w)) for w in (3, 5, 9, 15, 25)], *[(f"viterbi_{s}", "viterbi", s) for s in (0.90, 0.95, 0.98, 0.99)]]
 
 
@@ -119,7 +132,11 @@ def clip_windows(df: DataFrame, size: int, stride: int, dilation: int = 1, seq:
 def centred_window(items: DataFrame, targets: DataFrame, size: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:
     """For each target (seq, target) size items around the first item at or behind it, kept within the sequence; a short sequence repeats its last item."""
     rows = with_ordinal(items, seq, pos).select(seq, pos, "ordinal", "n")
-    before = rows.join(targets, seq).groupBy(seq, "target").agg(F.sum((F.col(pos) < F.col("target")).cast("int")).alias("at"), F.first("n").alias("n"))
+    # targets stand among the items, before those of their own position, and count what lies before them
+    both = rows.select(seq, F.col(pos).alias("_at"), F.lit(1).alias("_item")).unionByName(targets.select(seq, F.col("target").alias("_at"), F.lit(0).alias("_item")).distinct())
+    w = Window.partitionBy(seq)
+    counted = both.withColumns({"at": F.sum("_item").over(w.orderBy("_at", "_item").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_item").over(w)})
+    before = counted.filter("_item = 0 and n > 0").select(seq, F.col("_at").alias("target"), "at", "n")
     start = F.greatest(F.lit(0), F.least(F.col("at") - size // 2, F.col("n") - size))
     slots = before.select(seq, "target", "n", start.cast("int").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
     slots = slots.withColumn("ordinal", F.least(F.col("start") + F.col("slot"), F.col("n") - 1).cast("int"))
@@ -139,9 +156,10 @@ def partner(windows: DataFrame, candidates: DataFrame, seed: int, same_session:
 
     Candidates (seq, label, session) are numbered by (session, label) and by label, and a draw picks a number, so both joins are on equal keys.
     """
-    local = candidates.select(F.col(seq).alias("near"), (1 - F.col("label")).alias("label"), "session", (F.row_number().over(Window.partitionBy("session", "label").orderBy(seq)) - 1).cast("long").alias("pick"))
+    ones = candidates.select(seq, "label", "session")
+    local = numbered(ones, seq, ["session", "label"], "pick").select(F.col(seq).alias("near"), (1 - F.col("label")).alias("label"), "session", "pick")
     local_n = candidates.groupBy("session", (1 - F.col("label")).alias("label")).agg(F.count("*").alias("n_near"))
-    any_ = candidates.select(F.col(seq).alias("far"), (1 - F.col("label")).alias("label"), (F.row_number().over(Window.partitionBy("label").orderBy(seq)) - 1).cast("long").alias("pick_far"))
+    any_ = numbered(ones, seq, ["label"], "pick_far").select(F.col(seq).alias("far"), (1 - F.col("label")).alias("label"), "pick_far")
     any_n = candidates.groupBy((1 - F.col("label")).alias("label")).agg(F.count("*").alias("n_far"))
     w = windows.join(local_n, ["session", "label"], "left").join(F.broadcast(any_n), "label", "left")
     w = w.withColumn("pick", F.when(F.col("n_near") > 0, draw(seed, "near", "window_id") % F.col("n_near"))).withColumn("pick_far", draw(seed, "far", "window_id") % F.col("n_far")).withColumn("_same", draw(seed, "same", "window_id") < int(same_session * 2**32))

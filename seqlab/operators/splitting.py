@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, ranked
 from .sequence import sequence_table
 
 
@@ -61,10 +61,11 @@ def strata(sequences: DataFrame, rate: str = "pos_rate", bins: int = 4, least: i
 def split_regrouped(sequences: DataFrame, seed: int, test: float = 0.2, val: float = 0.2, seq: str = "seq_id", rate: str = "pos_rate") -> DataFrame:
     """(seq, split): within each stratum sequences are dealt in drawn order, one share to test, then one share of the rest to val."""
     labelled = strata(sequences, rate)
-    w = Window.partitionBy("stratum").orderBy("_h", seq)
     folds = lambda x: max(2, round(1 / x))
-    first = labelled.withColumn("_h", draw(seed, "split", seq)).withColumn("_fold", (F.row_number().over(w) - 1) % folds(test))
-    rest = first.filter("_fold <> 0").withColumn("_h", draw(seed + 1, "split", seq)).withColumn("_fold", (F.row_number().over(w) - 1) % folds(val / (1 - test)))
+    first = labelled.withColumn("_h", draw(seed, "split", seq))
+    first = ranked(first, "_h", [seq], ["stratum"], "_place").withColumn("_fold", F.col("_place") % folds(test))
+    rest = first.filter("_fold <> 0").drop("_place").withColumn("_h", draw(seed + 1, "split", seq))
+    rest = ranked(rest, "_h", [seq], ["stratum"], "_place").withColumn("_fold", F.col("_place") % folds(val / (1 - test)))
     return first.filter("_fold = 0").select(seq, F.lit("test").alias("split")).unionByName(rest.select(seq, F.when(F.col("_fold") == 0, "val").otherwise("train").alias("split")))
 
 

@@ -33,9 +33,9 @@ def s3(spark, d):
     return files.contributions(files.union_label_files(parts))
 
 
-@R.add("s5_manifest", "select s_suppkey, coalesce(n, 0)::bigint as n_items from supplier left join (select l_suppkey, count(*) as n from lineitem where l_quantity > 49 group by 1) on l_suppkey = s_suppkey")
+@R.add("s5_manifest", "select s_suppkey, coalesce(n, 0)::bigint as n_items from supplier left join (select l_suppkey, count(*) as n from lineitem group by 1) on l_suppkey = s_suppkey")
 def s5(spark, d):
-    items = load(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    items = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"))
     return ingest.manifest(items, load(spark, d, "supplier"), "s_suppkey")
 
 
@@ -68,10 +68,16 @@ def s11(spark, d):
     return files.list_annotations([layout(0, "masks/"), layout(1, "extra/")], known)[1]
 
 
-@R.add("s12_conditions_rows")
+_NAMED = ", ".join(f"('{c.name}', {'null' if c.k is None else c.k})" for c in sampling.CONDITIONS)
+
+
+@R.add("s12_conditions_rows", f"with {B.STUDY}, c(name, k) as (values {_NAMED}), s as (select seq_id, count(*) as n from study where orig_split = 'train' group by 1) select name, cast(k as integer) as k, count(*) as sequences, sum(n)::bigint as available, sum(least(n, coalesce(k, n)))::bigint as at_most from c, s group by 1, 2")
 def s12(spark, d):
-    sizes = study(spark, d).filter("orig_split = 'train'").agg(F.count("*").alias("available"))
-    return files.conditions_table(spark, sampling.CONDITIONS).crossJoin(sizes)
+    """What each condition's density leaves of the train split at most, from a histogram of lengths."""
+    lengths = study(spark, d).filter("orig_split = 'train'").groupBy("seq_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("m"))
+    settings = F.array(*(F.struct(F.lit(c.name).alias("name"), F.lit(c.k).cast("int").alias("k")) for c in sampling.CONDITIONS))
+    rows = lengths.select("n", "m", F.explode(settings).alias("c"))
+    return rows.groupBy("c.name", "c.k").agg(F.sum("m").alias("sequences"), F.sum(F.col("n") * F.col("m")).alias("available"), F.sum(F.least(F.col("n"), F.coalesce("c.k", "n")) * F.col("m")).alias("at_most"))
 
 
 # --- projections and scalar functions ------------------------------------------------------------
@@ -189,17 +195,17 @@ def p14(spark, d):
     return images(spark, d).select("vec_id", C.has_content(F.col("x"), 40, 60, 0.22).alias("content"))
 
 
-@R.add("p15_activation_map", f"""with {IMAGES}, m as (select vec_id, [greatest(0.5 * x[i] - 0.75 * x[i + 16] + 0.25 * x[i + 32], 0) for i in range(1, 17)] as c from images)
+@R.add("p15_activation_map", f"""with {IMAGES}, m as (select vec_id, [greatest(0.5 * x[i] - 0.75 * x[i + 16] + 0.25 * x[i + 32] + 0.5 * x[i + 48], 0) for i in range(1, 17)] as c from images)
 select vec_id, list_sum([(v - list_min(c)) / (case when list_max(c) = list_min(c) then 1 else list_max(c) - list_min(c) end) for v in c]) as mass, list_position(c, list_max(c)) - 1 as peak from m""", "mass")
 def p15(spark, d):
-    maps = F.array(*(F.slice("x", 1 + 16 * i, 16) for i in range(3)))
-    cam = images(spark, d).select("vec_id", C.activation_map(maps, F.array(F.lit(0.5), F.lit(-0.75), F.lit(0.25))).alias("c"))
+    maps = F.array(*(F.slice("x", 1 + 16 * i, 16) for i in range(4)))
+    cam = images(spark, d).select("vec_id", C.activation_map(maps, F.array(F.lit(0.5), F.lit(-0.75), F.lit(0.25), F.lit(0.5))).alias("c"))
     return cam.select("vec_id", C.array_sum(F.col("c")).alias("mass"), C.argmax(F.col("c")).alias("peak"))
 
 
-@R.add("p16_softmax_argmax", "with e as (select vec_id, [exp(cast(v as double) - list_max([cast(w as double) for w in embedding[1:10]])) for v in embedding[1:10]] as p, [cast(w as double) for w in embedding[1:10]] as x from embeddings) select vec_id, list_max(p) / list_sum(p) as top, cast(list_position(x, list_max(x)) - 1 as integer) as klass from e", "top")
+@R.add("p16_softmax_argmax", "with e as (select vec_id, [exp(cast(v as double) - list_max([cast(w as double) for w in embedding])) for v in embedding] as p, [cast(w as double) for w in embedding] as x from embeddings) select vec_id, list_max(p) / list_sum(p) as top, cast(list_position(x, list_max(x)) - 1 as integer) as klass from e", "top")
 def p16(spark, d):
-    x = load(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double")).alias("x"))
+    x = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return x.select("vec_id", F.array_max(C.softmax(F.col("x"))).alias("top"), C.argmax(F.col("x")).alias("klass"))
 
 

@@ -276,11 +276,11 @@ def a23(spark, d):
     return metrics.agreement(s, "prob", "prob_b")
 
 
-@R.add("a27_ensemble_average", """with m as (select vec_id, member, i - 1 as klass, cast(embedding[i + 10 * member] as double) as p from embeddings, range(1, 11) a(i), range(3) b(member)), a as (select vec_id, klass, avg(p) as p from m group by 1, 2),
+@R.add("a27_ensemble_average", """with m as (select vec_id, member, i - 1 as klass, cast(embedding[i + 16 * member] as double) as p from embeddings, range(1, 17) a(i), range(4) b(member)), a as (select vec_id, klass, avg(p) as p from m group by 1, 2),
 r as (select *, row_number() over (partition by vec_id order by p desc, klass) as r from a) select vec_id, cast(klass as integer) as winner, p from r where r = 1""", "p")
 def a27(spark, d):
-    e = load(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 30)).alias("i", "p"))
-    return metrics.ensemble_average(e.select("vec_id", (F.col("i") % 10).alias("klass"), F.col("p").cast("double").alias("p")), "vec_id", "klass", "p")
+    e = load(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "p"))
+    return metrics.ensemble_average(e.select("vec_id", (F.col("i") % 16).alias("klass"), F.col("p").cast("double").alias("p")), "vec_id", "klass", "p")
 
 
 # --- windows and smoothing ------------------------------------------------------------------------
@@ -533,11 +533,11 @@ def k15(spark, d):
     return sampling.top1_per_sequence(study(spark, d))
 
 
-@R.add("k16_distinct_head", "select distinct l_suppkey, l_linenumber from lineitem where l_quantity > 45 order by 1, 2 limit 5")
+@R.add("k16_distinct_head", "select distinct l_suppkey, l_linenumber from lineitem order by 1, 2 limit 5")
 def k16(spark, d):
     from ..operators.ingest import distinct_head
 
-    return distinct_head(load(spark, d, "lineitem").filter("l_quantity > 45"), ["l_suppkey", "l_linenumber"])
+    return distinct_head(load(spark, d, "lineitem"), ["l_suppkey", "l_linenumber"])
 
 
 # --- splitting ------------------------------------------------------------------------------------
@@ -587,7 +587,7 @@ def a18(spark, d):
 
 # --- training history -----------------------------------------------------------------------------
 
-HISTORY = f"{STUDY}, history as (select seq_id as run, pos as epoch, round(prob, 3) as metric from study where seq_id % 10 = 9)"
+HISTORY = f"{STUDY}, history as (select seq_id as run, pos as epoch, round(prob, 3) as metric from study)"
 
 
 @R.add("a32_best_epoch", f"""with {HISTORY}, b as (select *, max(metric) over (partition by run order by epoch rows between unbounded preceding and 1 preceding) as before from history),
@@ -595,7 +595,7 @@ f as (select *, max(case when before is null or metric > before then epoch end)
 t as (select f.run, epoch, metric, coalesce(stop, (select max(epoch) from f g where g.run = f.run)) as stop from f left join s using (run))
 select run, arg_max(epoch, metric * 1e6 - epoch) as best_epoch, max(metric) as best_metric, any_value(stop) as stop_epoch from t where epoch <= stop group by 1""", "best_metric")
 def a32(spark, d):
-    h = study(spark, d).filter("seq_id % 10 = 9").select(F.col("seq_id").alias("run"), F.col("pos").alias("epoch"), F.round("prob", 3).alias("metric"))
+    h = study(spark, d).select(F.col("seq_id").alias("run"), F.col("pos").alias("epoch"), F.round("prob", 3).alias("metric"))
     return metrics.best_epoch(h, ["run"])
 
 
@@ -638,6 +638,11 @@ def m2(spark, d):
     return metrics.confusion_metrics(metrics.confusion_counts(scored_rows, F.col("predicted") == 1, ["condition", "seed"]))
 
 
+@R.add("x5_bootstrap_auroc_rows")
+def x5(spark, d):
+    return inference.bootstrap_ci(study(spark, d), F.lit(0.5), "auroc", N_BOOT, SEED, ["orig_split"])
+
+
 # --- streams, run over what there is and compared with the batch form in tests ---------------------
 
 
@@ -650,17 +655,26 @@ def stream_of(spark, batch, name):
     return spark.readStream.schema(batch.schema).parquet(f"{path}/in"), path
 
 
-@R.add("t1_stream_sessions_rows")
+def last_row(batch, **values):
+    """A row a year behind the last one, with values for its other columns."""
+    late = batch.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts"))
+    return late.select(*((F.col("ts") if c == "ts" else F.lit(values[c]).cast(t)).alias(c) for c, t in batch.dtypes))
+
+
+@R.add("t1_stream_sessions_rows", """with s as (select *, sum(f) over (partition by user_id order by ts, event_id) as session from (select *, coalesce(cast(epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) >= 28800000000 as integer), 0) as f from events))
+select user_id, epoch_us(min(ts)) as start, epoch_us(max(ts)) as last, count(*) as n from s group by user_id, session""")
 def t1(spark, d):
-    s, path = stream_of(spark, load(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "t1")
-    return causal.drained(causal.stream_sessions(s, 8 * 3600 * 1_000_000), "sessions", path)
+    e = load(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    s, path = stream_of(spark, e, "t1")
+    out = causal.drained(causal.stream_sessions(s, 8 * 3600 * 1_000_000), "sessions", path, closing=last_row(e, user_id=-1), source=f"{path}/in")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n")
 
 
-@R.add("t2_stream_dedupe_rows")
+@R.add("t2_stream_dedupe_rows", "select event_id, epoch_us(ts) as ts from events")
 def t2(spark, d):
     e = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     s, path = stream_of(spark, e.unionByName(e.filter("event_id % 3 = 0")), "t2")
-    return causal.drained(causal.stream_dedupe(s, ["event_id"]), "dedupe", path)
+    return causal.drained(causal.stream_dedupe(s, ["event_id"]), "dedupe", path).select("event_id", F.unix_micros("ts").alias("ts"))
 
 
 @R.add("t3_stream_transitions", f"with {LAGGED} select seq_id, cast(pos as bigint) as pos, is_transition::bigint as is_transition from lagged")
@@ -676,10 +690,12 @@ def t4(spark, d):
     return causal.drained(causal.stream_walk(s, math.log(0.9 / 0.1)), "walk", path)
 
 
-@R.add("t5_stream_detection_alarm_rows")
+@R.add("t5_stream_detection_alarm_rows", f"with {STUDY} select seq_id as user_id, epoch_us(date_trunc('day', ts)) as start, count(*) as hits from study where prob >= 0.8 group by all")
 def t5(spark, d):
-    s, path = stream_of(spark, study(spark, d).select(F.col("seq_id").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "prob"), "t5")
-    return causal.drained(causal.stream_alarms(s, 0.8), "alarms", path)
+    e = study(spark, d).select(F.col("seq_id").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "prob")
+    s, path = stream_of(spark, e, "t5")
+    out = causal.drained(causal.stream_alarms(s, 0.8), "alarms", path, closing=last_row(e, user_id=-1, prob=1.0), source=f"{path}/in")
+    return out.select("user_id", F.unix_micros("start").alias("start"), "hits")
 
 
 # --- flagship -------------------------------------------------------------------------------------

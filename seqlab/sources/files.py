@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,10 @@ ENCODINGS = [("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"),
 RUN_SCHEMA = "run string, condition struct<name:string,n_train:bigint>, seed int, model_type string, results map<string, map<string, double>>, history array<struct<epoch:int,metric:double>>"
 
 
+# The manifest's columns.
+MANIFEST = "video_id, stem, split, source, n_frames"
+
+
 def items_of_paths(files: DataFrame, path: str = "path") -> DataFrame:
     """path, split, raw (the folder), seq_id (canonical) and pos of .../split/sequence/NNNNNN.jpg; other paths are left out."""
     pattern = r"([^/]+)/([^/]+)/(\d+)\.(?:jpg|jpeg|png)$"
@@ -40,21 +48,24 @@ def read_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding of the list that the file's bytes are valid in."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    if raw.select(F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf")).first()[0]:
-        return "utf-8-sig"
-    if raw.select(F.is_valid_utf8(F.col("content").cast("string"))).first()[0]:
-        return "utf-8"
-    head = bytes(raw.select(F.substring("content", 1, 1 << 20)).first()[0])
-    for name, _ in ENCODINGS[2:]:
+    """The first encoding of the list that all of the file's bytes are valid in; an executor looks, the driver gets the name."""
+    names = [name for name, _ in ENCODINGS if not name.startswith("utf-8")]
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column("content").to_pylist():
+                found.append("utf-8-sig" if raw.startswith(b"\xef\xbb\xbf") else next(name for name in ["utf-8", *names] if decodes(raw, name)))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["encoding"])
+
+    def decodes(raw: bytes, name: str) -> bool:
         try:
-            head.decode(name)
-            return name
-        except UnicodeDecodeError as e:
-            if len(head) == 1 << 20 and e.start > len(head) - 8:
-                return name
-    return "latin-1"
+            raw.decode(name)
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(fitting, "encoding string").first()[0]
 
 
 def read_labels_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
@@ -85,12 +96,32 @@ def write_index(index: DataFrame, path: str) -> None:
     index.repartitionByRange("seq_id", "pos").sortWithinPartitions("seq_id", "pos").write.partitionBy("orig_split").parquet(path)
 
 
-def write_splits(splits: DataFrame, path: str) -> None:
-    splits.select("seq_id", "split").write.parquet(path)
+def write_splits(splits: DataFrame, path: str, scheme: str | None = None, seed: int | None = None, diagnostics: DataFrame | None = None) -> None:
+    """The table of splits under path/splits; with diagnostics, a profile by split, also these with the scheme and the seed under path/diagnostics."""
+    splits.select("seq_id", "split").write.parquet(f"{path}/splits")
+    if diagnostics is not None:
+        named = diagnostics.withColumns({"scheme": F.lit(scheme).cast("string"), "seed": F.lit(seed).cast("int")})
+        named.coalesce(1).write.json(f"{path}/diagnostics")
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("seq_id", "split")
+    return spark.read.parquet(f"{path}/splits").select("seq_id", "split")
+
+
+def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(f"{path}/diagnostics")
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A manifest (video_id, stem, split, source, n_frames) as CSV."""
+    manifest.select(*MANIFEST.split(", ")).write.option("header", "true").csv(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A manifest with its types; an error for a row without an id or with a count that is no number."""
+    rows = spark.read.option("header", "true").csv(path).withColumn("_n", F.col("n_frames").try_cast("long"))
+    sound = F.when(F.col("video_id").isNull() | F.col("_n").isNull(), F.raise_error(F.lit("a manifest row lacks an id or a count")).cast("boolean")).otherwise(True)
+    return rows.filter(sound).select("video_id", "stem", "split", "source", F.col("_n").alias("n_frames"))
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -138,3 +169,17 @@ def list_annotations(layouts: list[DataFrame], known: DataFrame) -> tuple[DataFr
 def conditions_table(spark: SparkSession, conditions: list[Condition]) -> DataFrame:
     rows = [(c.name, c.k, c.strategy, c.stride, c.budget, c.budget_unit, c.target_pos_rate) for c in conditions]
     return spark.createDataFrame(rows, "name string, k int, strategy string, stride int, budget int, budget_unit string, target_pos_rate double")
+
+
+def load_conditions(spark: SparkSession, path: str) -> list[Condition]:
+    """Conditions from JSON, a list of objects, each with a name and any of the other fields; an error for unknown fields, a missing name or a name that repeats."""
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect())  # a setting, a file of some lines
+    known = set(Condition.__dataclass_fields__)
+    out: list[Condition] = []
+    for entry in json.loads(text):
+        if extra := set(entry) - known:
+            raise IngestError(f"conditions have no {sorted(extra)}")
+        if not entry.get("name") or entry["name"] in {c.name for c in out}:
+            raise IngestError(f"a condition's name is missing or repeats: {entry}")
+        out.append(Condition(**entry))
+    return out

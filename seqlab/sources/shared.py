@@ -9,9 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under a local one where the session names none."""
+    """A new folder under spark.checkpoint.dir. Only a session on one machine may name none; it gets a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="seqlab-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

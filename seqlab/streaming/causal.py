@@ -36,7 +36,7 @@ class Transitions(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("label", IntegerType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")  # of one micro-batch
         before = self.last.get()[0] if self.last.exists() else None
         labels = batch["label"].tolist()
         changed = [int(b is not None and a != b) for a, b in zip(labels, [before, *labels[:-1]], strict=True)]
@@ -84,8 +84,20 @@ def stream_walk(items: DataFrame, limit: float) -> DataFrame:
     return _stateful(items.select("seq_id", "pos", "logit"), Walk(limit), "lead", DoubleType())
 
 
-def drained(stream: DataFrame, name: str, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns the result as a table; path is a new folder in shared storage."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+def drained(stream: DataFrame, name: str, path: str, mode: str = "append", closing: DataFrame | None = None, source: str | None = None) -> DataFrame:
+    """Runs a stream over what there is and returns the result as a table; path is a new folder in shared storage.
+
+    closing is a row of the source, later than all others by more than any window and delay, that ends the
+    input: written to the source's folder when the rest has been read, it moves the watermark on, so that
+    windows that are still open come out. Its own window stays open and is no part of the result.
+    """
+
+    def run() -> None:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    if closing is not None:
+        closing.write.mode("append").parquet(source)
+        run()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/{name}")
