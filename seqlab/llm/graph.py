@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Rounds at most; they grow with the logarithm of a component's size, so this many are never needed.
+ROUNDS = 64
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of each linked node's component. Links in any direction, repeats and loops are fine.
 
@@ -16,7 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "links")
-    while True:
+    for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,3 +31,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             repeated = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
             if repeated.isEmpty():
                 return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components are not done after {ROUNDS} rounds")

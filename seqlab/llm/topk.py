@@ -4,16 +4,17 @@ Vectors are floored to integers. A cell holds some candidates and some queries.
 component is a list of the candidates, sorted by value; a query reads every list from the end that
 serves its sign, a stretch at a time. Of a candidate it then knows the sum of what it has read and,
 for each list where the candidate has not come up, that the value lies between the list's far end
-and the place reached: a lower and an upper bound of the score. Reading stops when no outsider, seen
-or unseen, below the k-th lower bound can still qualify and few are left in doubt; their scores are
-then resolved exactly in integers. At equal bounds a candidate stays, so ties are whole.
+and the place reached: a lower and an upper bound of the score. Queries of a cell read in step, so that
+the bounds of all candidates for all of them are a few matrix products. A query stops reading when no
+outsider, seen or unseen, below the k-th lower bound can still qualify and few are left in doubt; their
+scores are then resolved exactly in integers. At equal bounds a candidate stays, so ties are whole.
 
 Each cell gives its k best for a query, and the k best of these are the answer. Cells are dealt by a
 hash of the id, candidates once for every block of queries and queries once for every cell: blocks
 of a stated query set against all rows.
 
 Vectors that are null, or hold a null, NaN or infinity, take no part; shorter vectors count as if
-zeros followed. Components must stay within 2^31 / 1024. Rows that repeat an id are candidates each;
+zeros followed. Where numbers are so large that the bounds would not be exact, all scores are resolved. Rows that repeat an id are candidates each;
 of equal scores the smaller id comes first. Null ids take no part.
 """
 
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Candidates of a cell and queries of a block, about.
-CELL, BLOCK = 1024, 512
-#: Share of each list that is read before bounds are looked at, each time.
-STRETCH = 8
+#: Candidates of a cell and queries of a block, about; cells are no fewer than CELLS.
+CELL, BLOCK, CELLS = 8192, 4096, 24
+#: Stretches of a list; bounds are looked at after each.
+STRETCHES = 4
+#: Queries of a cell that read in step.
+STEP = 64
+#: Integers below this are exact as floats.
+EXACT = 2.0**53
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -47,50 +52,54 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T
-        self.values = np.sort(self.vectors, axis=0).T.astype(np.float64)
         self.n, self.width = self.vectors.shape
-        self.bit = np.arange(self.width)[:, None]
-
-    def best(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best besides the id own (all, if fewer), ties to smaller ids."""
-        n, stretch = self.n, -(-self.n // STRETCH)
-        lists = np.flatnonzero(query)
-        weight = query[lists].astype(np.float64)
-        up = weight > 0
-        order = self.order[lists]
-        value = self.values[lists] * weight[:, None]
-        order[up], value[up] = order[up][:, ::-1], value[up][:, ::-1]
-        foreign = self.ids != own
-        known, missing = np.zeros(n), np.ones((n, len(lists)), dtype=bool)
-        least = value[:, -1] if n else value.sum(axis=1)
-        doubt = np.flatnonzero(foreign)
-        at = 0
-        while at < n and len(doubt) > k:
-            stop = min(n, at + stretch)
-            part = order[:, at:stop]
-            known += np.bincount(part.reshape(-1), weights=value[:, at:stop].reshape(-1), minlength=n)
-            missing[part, np.arange(len(lists))[:, None]] = False
-            at = stop
-            if at == n:
-                break
-            gaps = missing[doubt]
-            lower = known[doubt] + gaps @ least
-            upper = known[doubt] + gaps @ value[:, at - 1]
-            bound = np.partition(lower, len(lower) - k)[len(lower) - k]
-            doubt = doubt[upper >= bound]
-            if len(doubt) <= max(4 * k, n // 16):
-                break
-        scores = self.vectors[doubt] @ query
-        top = np.lexsort((self.ids[doubt], -scores))[:k]
-        return self.ids[doubt][top], scores[top]
+        self.floats = self.vectors.astype(np.float64)
+        self.values = np.sort(self.floats, axis=0)
+        order = np.argsort(self.vectors, axis=0, kind="stable")
+        #: Each candidate's place in each list, from the low end.
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], axis=0)
+        self.largest = float(np.abs(self.floats).max(initial=0))
+
+    def bounds(self, up: np.ndarray, down: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (candidates x queries) when so much of each list is read: from the high end for the positive parts of queries, up, from the low end for the negative ones, down."""
+        high, low = self.place >= self.n - read, self.place < read
+        known = np.where(high, self.floats, 0.0) @ up.T + np.where(low, self.floats, 0.0) @ down.T
+        not_high, not_low = (~high).astype(np.float64), (~low).astype(np.float64)
+        ends = [not_high @ (up * a).T + not_low @ (down * b).T for a, b in ((self.values[0], self.values[-1]), (self.values[self.n - read], self.values[read - 1]))]
+        return known + ends[0], known + ends[1]
+
+    def best(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the ids and scores of the k best besides its id own (all, if fewer), ties to smaller ids."""
+        doubt: list = [np.flatnonzero(self.ids != o) for o in own]
+        few = max(4 * k, self.n // 16)
+        if self.largest * float(np.abs(queries.astype(np.float64)).sum(axis=1).max(initial=0)) < EXACT:
+            for at in range(0, len(queries), STEP):
+                live = np.arange(at, min(at + STEP, len(queries)))
+                for turn in range(1, STRETCHES):
+                    live = live[[len(doubt[q]) > few for q in live]]
+                    read = -(-self.n * turn // STRETCHES)
+                    if not len(live) or read >= self.n:
+                        break
+                    part = queries[live].astype(np.float64)
+                    lower, upper = self.bounds(np.maximum(part, 0), np.minimum(part, 0), read)
+                    for column, q in enumerate(live):
+                        at_least = lower[doubt[q], column]
+                        cut = len(at_least) - k
+                        doubt[q] = doubt[q][upper[doubt[q], column] >= np.partition(at_least, cut)[cut]]
+        out = []
+        for q, rest in zip(queries, doubt, strict=True):
+            scores = self.vectors[rest] @ q
+            top = np.lexsort((self.ids[rest], -scores))[:k]
+            out.append((self.ids[rest][top], scores[top]))
+        return out
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
     """query_id, rank, vec_id, score: for every query its k best candidates besides its own id. Vectors are arrays of integers."""
     named = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("vector")).filter("id is not null and vector is not null")
     q, c = named(queries), named(candidates)
-    cells, blocks = max(24, -(-c.count() // CELL)), max(1, -(-q.count() // BLOCK))
+    cells, blocks = max(CELLS, -(-c.count() // CELL)), max(1, -(-q.count() // BLOCK))
     dealt = c.select(F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "vector")
     asked = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vector")
 
@@ -101,8 +110,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
             width = max(a.shape[1], b.shape[1])
             a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
             lists = SortedLists(left.column("id").to_numpy(), a)
-            found = [(own, *lists.best(query, k, own)) for own, query in zip(right.column("id").to_pylist(), b, strict=True)]
-            out = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
+            own = right.column("id").to_numpy()
+            found = lists.best(b, k, own)
+            out = [np.repeat(own, [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
         return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
     near = dealt.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
