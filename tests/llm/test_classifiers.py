@@ -208,3 +208,17 @@ def test_quality_views_and_labels(spark, docs):
         out.append({r.doc_id: r.score for r in got})
     assert out[0] == pytest.approx(out[1], abs=1e-9)
     assert np.mean([(s >= 0.5) == (i % 3 > 0) for i, s in out[0].items()]) > 0.95
+
+
+def test_pipeline_edges(spark, docs, tmp_path):
+    """Nulls, repeats and clashing columns pass all stages; an empty table gives no sequences."""
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, "lost words"), (None, text), (5, text.replace("w1 ", "x1 ")), (6, "other words here")]
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for given, want in ((rows, [(None, "lost words"), (None, text), (1, text), (3, None), (4, ""), (6, "other words here")]), ([], [])):
+        table = docs(given, True)
+        for name, stage in corpus_pipeline.STAGES:
+            table = corpus_pipeline.stored(stage(spark, table, f"file://{tmp_path}"), f"edges-{name}")
+            if name == "substrings":
+                assert sorted(((r.doc_id, r.text) for r in table.collect()), key=str) == sorted(want, key=str)
+        assert sorted((r.doc_id for r in table.collect()), key=str) == sorted((i for i, _ in want), key=str)
