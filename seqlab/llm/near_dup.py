@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
 
 
 def multisets(docs: DataFrame, size: int) -> DataFrame:
-    """id and bag: the sorted 32-bit names of (shingle, which occurrence of it), a set that stands for the multiset."""
+    """id and bag: the sorted 64-bit names of (shingle, which occurrence of it), a set that stands for the multiset."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def multisets(docs: DataFrame, size: int) -> DataFrame:
             same = np.arange(len(out))
             new = (np.diff(out, prepend=~out[:1]) != 0) | (np.diff(text, prepend=-1) != 0)
             turn = same - np.maximum.accumulate(np.where(new, same, 0))
-            name = (mix(out + turn.astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype("<u4")
+            name = mix(out + turn.astype(np.uint64) * GOLDEN).astype("<u8", copy=False)
             bags = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 name[a:b].sort()
@@ -178,7 +178,7 @@ def similar(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 z = np.concatenate([p, q])
                 z.sort()
                 shared = int(np.count_nonzero(z[1:] == z[:-1]))
@@ -196,11 +196,11 @@ def links_in_cells(waiting: DataFrame, members: DataFrame, least: float) -> Data
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            bags = [np.frombuffer(y, "<u4") for y in right.column("other").to_pylist()]
+            bags = [np.frombuffer(y, "<u8") for y in right.column("other").to_pylist()]
             size = np.array([len(y) for y in bags])
             every, start, ids = np.concatenate(bags), np.cumsum(size) - size, right.column("member").to_numpy()
             for own, bag in zip(left.column("id").to_pylist(), left.column("bag").to_pylist(), strict=True):
-                x = np.frombuffer(bag, "<u4")
+                x = np.frombuffer(bag, "<u8")
                 hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
                 shared = np.add.reduceat(hit.astype(np.int64), start)
                 linked = ids[(shared >= least * (size + len(x) - shared)) & (ids != own)]
