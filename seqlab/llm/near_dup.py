@@ -220,14 +220,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     same = stored(same, "copies")
     spread = same.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "size")
-    members = stored(spread.join(crowded, "key"), "buckets")
+    # aggregates by bucket are tables before a join, so that Spark can split a large bucket there
+    members = stored(spread.join(stored(crowded, "crowded"), "key"), "buckets")
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
     bags = stored(multisets(texts.filter("id is not null").join(met.select("id").hint("merge"), "id", "left_semi"), size), "bags")
 
     members = stored(members.join(met, "id"), "buckets")
     rank = lambda: F.struct(F.col("met"), -F.col("id"))
     centre = members.groupBy("key").agg(F.max_by("id", rank()).alias("centre"))
-    joined = members.join(centre, "key")
+    joined = members.join(stored(centre, "centres"), "key")
     pairs = stored(ordered_pairs(joined.filter("centre <> id"), "centre", "id"), "pairs")
     found = stored(similar(pairs, bags, least), "found")
     roots = components(found)
@@ -237,7 +238,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     known = known.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("main")), "centre", "left")
     known = stored(known.select("key", "id", "size", (F.col("root") != F.coalesce("main", "centre")).alias("waits")), "buckets")
     open_ = known.groupBy("key").agg(F.count_if(F.col("waits")).alias("n")).filter("n > 0")
-    cells = known.join(open_, "key").join(bags.hint("merge"), "id").withColumns({"wide": F.ceil(F.col("n") / CELL[0]), "deep": F.ceil(F.col("size") / CELL[1])})
+    cells = known.join(stored(open_, "open"), "key").join(bags.hint("merge"), "id").withColumns({"wide": F.ceil(F.col("n") / CELL[0]), "deep": F.ceil(F.col("size") / CELL[1])})
     slot, every = lambda c: F.pmod(F.xxhash64("id"), F.col(c)), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     waiting = cells.filter("waits").select("key", slot("wide").alias("w"), every("deep").alias("x"), "id", "bag")
     members = cells.select(F.col("key").alias("k"), every("wide").alias("u"), slot("deep").alias("v"), F.col("id").alias("member"), F.col("bag").alias("other"))
