@@ -15,16 +15,17 @@ ROUNDS = 64
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of each linked node's component. Links in any direction, repeats and loops are fine.
 
-    Each round is a minimum by node (combined before the shuffle) and a join that may be split on hot
-    nodes; the links between rounds lie in the shared folder. Ends when all links lead to roots.
+    Each round is a minimum by node (combined before the shuffle) and a join that Spark may split on hot
+    nodes, as both sides are tables in the shared folder, where the links between rounds lie too. Ends when all links lead to roots.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "links")
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stored(small.filter("u <> v").distinct(), "links")
         if edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
