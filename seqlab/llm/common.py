@@ -95,6 +95,8 @@ def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: The bytes of a chunk of so many.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: Bytes that end a word.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -104,7 +106,8 @@ class Words:
     """Words [^\x20\x09-\x0D]+ of a batch's texts (null: none), found in the Arrow bytes.
 
     data: the texts' bytes in a row. begin, end: of each word. first: of each text, its first word,
-    with one more entry than texts. hashes: 64 bits by word, a polynomial of its bytes.
+    with one more entry than texts. hashes: 64 bits by word, of its chunks of eight bytes, each mixed with
+    its place, and its length; equal hashes are no proof of equal words.
     """
 
     def __init__(self, column: pa.Array) -> None:
@@ -125,22 +128,45 @@ class Words:
         self.end = np.flatnonzero(inside & fresh[1:]) + 1
         self.first = np.searchsorted(self.begin, cuts)
         self.hashes = np.zeros(len(self.begin), dtype=np.uint64)
+        padded = np.zeros(n + 8, dtype=np.uint8)
+        padded[:n] = self.data
+        eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
         at = 0
-        while at < len(self.begin):  # in blocks of words, so that a long text needs no more memory than others
-            low = int(self.begin[at])
-            stop = max(at + 1, int(np.searchsorted(self.end, low + BATCH_BYTES, side="right")))
-            begin, end = self.begin[at:stop] - low, self.end[at:stop] - low
-            size = int(end[-1])
-            if len(_POWERS[0]) < size + 1:
-                _POWERS[:] = [powers(BASE, max(size, BATCH_BYTES) + 1), powers(pow(BASE, -1, 1 << 64), max(size, BATCH_BYTES) + 1)]
-            sums = np.zeros(size + 1, dtype=np.uint64)
-            np.cumsum((self.data[low : low + size].astype(np.uint64) + np.uint64(1)) * _POWERS[0][:size], out=sums[1:])
-            self.hashes[at:stop] = mix((sums[end] - sums[begin]) * _POWERS[1][begin])
+        while at < len(self.begin):  # in blocks of words, so that many words need no more memory than few
+            stop = max(at + 1, int(np.searchsorted(self.end, self.begin[at] + BATCH_BYTES, side="right")))
+            begin, size = self.begin[at:stop], self.end[at:stop] - self.begin[at:stop]
+            for low in range(0, int(size[0]) if stop == at + 1 else 1, BATCH_BYTES):  # one long word in parts
+                part = np.minimum(size - low, BATCH_BYTES) if stop == at + 1 else size
+                chunks = (part + 7) // 8
+                first = np.cumsum(chunks) - chunks
+                turn = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
+                left = np.minimum(np.repeat(part, chunks) - 8 * turn, 8)
+                chunk = eight[np.repeat(begin + low, chunks) + 8 * turn] & MASKS[left]
+                turn = (turn + low // 8 + 1).astype(np.uint64) * np.uint64(BASE)
+                self.hashes[at:stop] += np.add.reduceat(mix(mix(chunk) + turn), first)
+            self.hashes[at:stop] = mix(self.hashes[at:stop] + size.astype(np.uint64))
             at = stop
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def spaced(self, at: np.ndarray) -> bytes:
+        """The words at these places, one space between them."""
+        begin, size = self.begin[at], self.end[at] - self.begin[at] + 1
+        stop = np.cumsum(size)
+        if not len(at):
+            return b""
+        out = self.data[np.minimum(np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1])), len(self.data) - 1)]
+        out[stop - 1] = 0x20
+        return out[:-1].tobytes()
+
+    def of(self, at: np.ndarray) -> list[bytes]:
+        """The words at these places."""
+        whole = self.data.tobytes() if len(at) > 1024 else None
+        if whole is None:
+            return [self.data[a:b].tobytes() for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)]
+        return [whole[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist(), strict=True)]
+
     def joined(self, keep: np.ndarray) -> list[bytes]:
         """Of each text the words that keep marks, with one space between them."""
         begin, size = self.begin[keep], (self.end - self.begin)[keep] + 1
@@ -152,15 +178,6 @@ class Words:
         return [whole[a : max(a, b - 1)] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)]
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes as well as rows, unless the session says otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -7,7 +7,9 @@ from .jpeg import op5_media_jpeg
 from .licenses import OP7_SQL, op7_license_scan
 from .near_dup import op6_minhash_near_dedup
 from .packing import op9_best_fit_packing
+from .periodic import op12_periodic_runs
 from .quality import op4_quality_co_training
+from .simhash import op11_simhash_near_dedup
 from .substring import OP8_SQL, op8_substring_dedup
 from .topk import OP1_SQL, op1_exact_top_k
 from .toxicity import op3_toxicity
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_warc_zip": op10_warc_zip,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_license_scan": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL}
