@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .jpeg import op5_media_jpeg
+from .lexical import OP13_SQL, op13_lexical_search
 from .licenses import OP7_SQL, op7_license_scan
 from .near_dup import op6_minhash_near_dedup
 from .packing import op9_best_fit_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_warc_zip": op10_warc_zip,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_license_scan": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op7_license_scan": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op10_warc_zip": OP10_SQL, "op13_lexical_search": OP13_SQL}
