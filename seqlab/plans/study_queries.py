@@ -679,15 +679,16 @@ def t2(spark, d):
 
 @R.add("t3_stream_transitions", f"with {LAGGED} select seq_id, cast(pos as bigint) as pos, is_transition::bigint as is_transition from lagged")
 def t3(spark, d):
-    s, path = stream_of(spark, study(spark, d).select("seq_id", F.col("pos").cast("long").alias("pos"), "label"), "t3")
-    return causal.drained(causal.stream_transitions(s), "transitions", path)
+    rows = study(spark, d).select("seq_id", F.col("pos").cast("long").alias("pos"), "label", F.col("ts").cast("timestamp").alias("ts"))
+    s, path = stream_of(spark, rows, "t3")
+    return causal.drained(causal.stream_transitions(s, width="30 days", idle="300 days"), "transitions", path, closing=last_row(rows, seq_id=-1, pos=0, label=0), source=f"{path}/in")
 
 
 @R.add("t4_stream_trailing_smoother", f"with recursive {VITERBI} select seq_id, cast(pos as bigint) as pos, d as lead from walk", "lead")
 def t4(spark, d):
-    rows = study(spark, d).select("seq_id", F.col("pos").cast("long").alias("pos"), C.clip_logit(F.col("prob")).alias("logit"))
+    rows = study(spark, d).select("seq_id", F.col("pos").cast("long").alias("pos"), C.clip_logit(F.col("prob")).alias("logit"), F.col("ts").cast("timestamp").alias("ts"))
     s, path = stream_of(spark, rows, "t4")
-    return causal.drained(causal.stream_walk(s, math.log(0.9 / 0.1)), "walk", path)
+    return causal.drained(causal.stream_walk(s, math.log(0.9 / 0.1), width="30 days", idle="300 days"), "walk", path, closing=last_row(rows, seq_id=-1, pos=0, logit=0.0), source=f"{path}/in")
 
 
 @R.add("t5_stream_detection_alarm_rows", f"with {STUDY} select seq_id as user_id, epoch_us(date_trunc('day', ts)) as start, count(*) as hits from study where prob >= 0.8 group by all")

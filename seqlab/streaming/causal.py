@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
+
+from ..functions import walks
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,59 +32,114 @@ def stream_alarms(events: DataFrame, threshold: float, width: str = "1 day", key
     return hits.groupBy(key, F.window(ts, width)).agg(F.count("*").alias("hits")).select(key, F.col("window.start").alias("start"), "hits")
 
 
-class Transitions(StatefulProcessor):
-    """Whether an item's label differs from the one before it; the state is the last label."""
+class InOrder(StatefulProcessor):
+    """Holds a key's rows back until the watermark has passed them, then hands them on in the order of (time, pos).
+
+    Rows that wait are kept by stretch of time, width long, so a release reads and sorts one stretch at a time
+    and no others; one timer for each key, at the end of its earliest stretch, makes releases happen. What is
+    carried from row to row (last) has a time to live: a row at least idle behind the one before starts anew,
+    and when the watermark is that far the carried state is removed by a timer. Both go by event time, so the
+    result depends on the rows alone, not on batches. A null value is one that differs from none.
+    """
+
+    def __init__(self, width_micros: int, idle_micros: int) -> None:
+        self.width, self.idle = width_micros, idle_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("label", IntegerType())]))
+        self.handle = handle
+        stretch = [StructField("stretch", LongType())]
+        self.parts = handle.getMapState("parts", StructType(stretch), StructType([StructField("n", IntegerType())]))
+        self.rows = handle.getMapState("rows", StructType([*stretch, StructField("part", IntegerType())]), StructType([StructField("data", BinaryType())]))
+        self.last = handle.getValueState("last", StructType([StructField("micros", LongType()), StructField("carried", DoubleType())]))
+
+    def wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")  # of one micro-batch
-        before = self.last.get()[0] if self.last.exists() else None
-        labels = batch["label"].tolist()
-        changed = [int(b is not None and a != b) for a, b in zip(labels, [before, *labels[:-1]], strict=True)]
-        self.last.update((int(labels[-1]),))
-        yield pd.DataFrame({"seq_id": batch["seq_id"], "pos": batch["pos"], "is_transition": changed})
+        for chunk in rows:
+            data = np.stack([chunk["micros"].to_numpy(np.int64), chunk["pos"].to_numpy(np.int64), chunk["value"].to_numpy(np.float64).view(np.int64)])
+            stretch = data[0] // self.width
+            for at in np.unique(stretch).tolist():
+                n = self.parts.getValue((at,))[0] if self.parts.containsKey((at,)) else 0
+                self.rows.updateValue((at, n), (data[:, stretch == at].tobytes(),))
+                self.parts.updateValue((at,), (n + 1,))
+            self.wake((int(stretch.min()) + 1) * self.width)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((at[0], n[0]) for at, n in self.parts.iterator())
+        due = [(at, n) for at, n in waiting if (at + 1) * self.width <= now]
+        for at, n in due:
+            data = np.concatenate([np.frombuffer(self.rows.getValue((at, k))[0], np.int64).reshape(3, -1) for k in range(n)], axis=1)
+            micros, pos, value = data[:, np.lexsort((data[1], data[0]))]
+            before = self.last.get() if self.last.exists() else None
+            fresh = np.diff(micros, prepend=before[0] if before else micros[0] - self.idle) >= self.idle
+            out, carried = self.step(value.view(np.float64), fresh, before[1] if before else float("nan"))
+            self.last.update((int(micros[-1]), float(carried)))
+            for k in range(n):
+                self.rows.removeKey((at, k))
+            self.parts.removeKey((at,))
+            yield pd.DataFrame({"seq_id": key[0], "pos": pos, "out": out})
+        if len(due) < len(waiting):
+            self.wake((waiting[len(due)][0] + 1) * self.width)
+        elif self.last.exists():
+            ends = self.last.get()[0] + self.idle
+            if ends <= now:
+                self.last.clear()
+            else:
+                self.wake(ends)
+
+    def step(self, value: np.ndarray, fresh: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
+        """Results of rows in order, and what the next row has to know."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class Walk(StatefulProcessor):
-    """The forward half of the two-state smoother; the state is one number."""
+class Transitions(InOrder):
+    """Whether an item's label differs from the one before it; the last label is carried."""
 
-    def __init__(self, limit: float) -> None:
-        self.limit = limit
+    def step(self, value: np.ndarray, fresh: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
+        before = np.append(carried, value[:-1])
+        return ((before != value) & ~fresh & ~np.isnan(before) & ~np.isnan(value)).astype(np.int64), value[-1]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lead = handle.getValueState("lead", StructType([StructField("d", DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        d = self.lead.get()[0] if self.lead.exists() else 0.0
-        out = []
-        for z in batch["logit"]:
-            d = max(-self.limit, min(self.limit, d)) + z
-            out.append(d)
-        self.lead.update((float(d),))
-        yield pd.DataFrame({"seq_id": batch["seq_id"], "pos": batch["pos"], "lead": out})
+class Walk(InOrder):
+    """The forward half of the two-state smoother; one number is carried."""
 
-    def close(self) -> None:
-        pass
+    def __init__(self, width_micros: int, idle_micros: int, limit: float) -> None:
+        super().__init__(width_micros, idle_micros)
+        self.limit = int(walks.fixed(limit))
+
+    def step(self, value: np.ndarray, fresh: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
+        d, end = walks.leads(walks.fixed(value), fresh, self.limit, 0 if np.isnan(carried) else int(carried))
+        return d / walks.UNIT, float(end)  # below 2^53, so exact
 
 
-def _stateful(items: DataFrame, processor: StatefulProcessor, name: str, kind) -> DataFrame:
-    items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    schema = StructType([StructField("seq_id", LongType()), StructField("pos", LongType()), StructField(name, kind)])
-    return items.groupBy("seq_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+def _stateful(items: DataFrame, value: str, processor: InOrder, name: str, kind: str, ts: str, late: str) -> DataFrame:
+    rows = items.select("seq_id", "pos", F.col(value).cast("double").alias("value"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
+    schema = StructType([items.schema["seq_id"], StructField("pos", LongType()), StructField("out", LongType() if kind == "long" else DoubleType())])
+    out = rows.groupBy("seq_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return out.withColumnRenamed("out", name)
 
 
-def stream_transitions(items: DataFrame) -> DataFrame:
-    return _stateful(items.select("seq_id", "pos", "label"), Transitions(), "is_transition", LongType())
+def micros(length: str) -> int:
+    return round(pd.Timedelta(length).total_seconds() * 1_000_000)
 
 
-def stream_walk(items: DataFrame, limit: float) -> DataFrame:
-    return _stateful(items.select("seq_id", "pos", "logit"), Walk(limit), "lead", DoubleType())
+def stream_transitions(items: DataFrame, ts: str = "ts", late: str = "1 hour", width: str = "1 hour", idle: str = "30 days") -> DataFrame:
+    """seq_id, pos and is_transition of items (seq_id, pos, label, ts): rows in any order up to late, results as the watermark passes.
+
+    A row later than that is dropped, as streams do. A sequence whose next item is at least idle behind starts anew, and its state is gone by then.
+    """
+    return _stateful(items, "label", Transitions(micros(width), micros(idle)), "is_transition", "long", ts, late)
+
+
+def stream_walk(items: DataFrame, limit: float, ts: str = "ts", late: str = "1 hour", width: str = "1 hour", idle: str = "30 days") -> DataFrame:
+    """seq_id, pos and lead of items (seq_id, pos, logit, ts): the forward half of the smoother, with the rules of stream_transitions."""
+    return _stateful(items, "logit", Walk(micros(width), micros(idle), limit), "lead", "double", ts, late)
 
 
 def drained(stream: DataFrame, name: str, path: str, mode: str = "append", closing: DataFrame | None = None, source: str | None = None) -> DataFrame:
@@ -92,6 +150,8 @@ def drained(stream: DataFrame, name: str, path: str, mode: str = "append", closi
     windows that are still open come out. Its own window stays open and is no part of the result.
     """
 
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
     def run() -> None:
         query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-state").trigger(availableNow=True).start()
         query.awaitTermination()
