@@ -32,13 +32,6 @@ def running_total(df: DataFrame, value: str, bucket: str, order: list[Column], k
     return joined.withColumn(name, F.col("_before") + F.sum(value).over(within)).drop("_before")
 
 
-def numbered(df: DataFrame, key: str, keys: list[str] | None = None, name: str = "number") -> DataFrame:
-    """Adds a row's place from 0 in the order of key (unique by keys), in two levels: blocks of neighbouring keys, then within a block."""
-    block = F.shiftright(F.col(key), 10) if df.schema[key].dataType.typeName() in ("long", "integer", "short") else F.substring(F.col(key).cast("string"), 1, 8)
-    marked = df.withColumns({"_one": F.lit(1).cast("long"), "_block": block})
-    return running_total(marked, "_one", "_block", [F.col(key)], keys, name).withColumn(name, F.col(name) - 1).drop("_one", "_block")
-
-
 def ranked(df: DataFrame, value: str, ties: list[str], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Adds a row's place from 0 by (a 32-bit draw, ties), in two levels: 4,096 ranges of draws, then within a range."""
     marked = df.withColumns({"_one": F.lit(1).cast("long"), "_range": F.shiftright(F.col(value), 20)})

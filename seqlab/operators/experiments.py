@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .inference import bootstrap_ci
+from .metrics import confusion_counts, confusion_metrics, ranking_metrics
+
 METRICS = ["macro_f1", "balanced_accuracy", "f1", "auroc", "auprc"]
 
 
@@ -65,10 +68,10 @@ def pick_winner(arms: DataFrame, order: str, arm: str = "arm", val: str = "val",
 
 
 def accept_winner(arms: DataFrame, order: str, base: str, gain: float, arm: str = "arm", val: str = "val", test: str = "test") -> DataFrame:
-    """The winner by validation, the base arm's scores, the gain on validation and whether it reaches the least gain; the arm to use is the base where it doesn't."""
+    """The winner by validation, the base arm's scores, the gain on validation and whether it is above the least gain (0: any gain, but a tie is none); the arm to use is the base where it doesn't."""
     best = pick_winner(arms, order, arm, val, test)
     own = arms.filter(F.col(arm) == base).select(F.col(val).alias("base_val"), F.col(test).alias("base_test"))
-    both = best.crossJoin(own).withColumn("gain", F.col(val) - F.col("base_val")).withColumn("accepted", F.col("gain") >= gain)
+    both = best.crossJoin(own).withColumn("gain", F.col(val) - F.col("base_val")).withColumn("accepted", F.col("gain") > gain)
     return both.select("*", F.when(F.col("accepted"), F.col(arm)).otherwise(F.lit(base)).alias("use"), F.when(F.col("accepted"), F.col(test)).otherwise(F.col("base_test")).alias("use_test"))
 
 
@@ -81,6 +84,17 @@ def seed_spread(runs: DataFrame, metric: str, base: str, condition: str = "condi
     return s.filter(F.col(condition) != base).crossJoin(b).select(condition, "mean", "std", "n", diff.alias("diff"), F.when(error > 0, diff / error).alias("t"), (F.abs(diff) > F.col("base_range")).alias("resolved"))
 
 
+def group_scores(df: DataFrame, threshold: Column, keys: list[str], metric: str, n_boot: int, seed: int, cluster: str = "seq_id", exam: str | None = None) -> DataFrame:
+    """keys (run and group), item and ranking metrics, how many clusters and examinations there are, and the metric's interval (low, high).
+
+    Replicates draw examinations where there are any: the items of one share a patient, a session and a machine, so drawing clusters alone makes the interval too narrow.
+    """
+    unit = exam or cluster
+    counts = [F.countDistinct(cluster).alias("clusters"), *([F.countDistinct(exam).alias("exams")] if exam else [])]
+    out = confusion_metrics(confusion_counts(df, F.col("prob") >= threshold, keys)).join(ranking_metrics(df, keys), keys).join(df.groupBy(*keys).agg(*counts), keys)
+    return out.join(bootstrap_ci(df, threshold, metric, n_boot, seed, keys, unit).drop("n_used"), keys, "left")
+
+
 def group_gap(scores: DataFrame, run: str, group: str, metric: str, first: str, second: str) -> DataFrame:
     """Over runs: mean, median, least and greatest of (second - first) and in how many it is positive."""
     wide = scores.groupBy(run).pivot(group, [first, second]).agg(F.first(metric))

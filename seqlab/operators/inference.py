@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw, numbered
+from ..functions.draws import draw
+from ..sources.shared import stored
 from .metrics import confusion_counts, confusion_metrics, threshold_curve
-from .sequence import SMOOTHERS, smooth
+from .ordering import by_keys, numbered
+from .sequence import SMOOTHERS, smooth_all
 
+#: Items whose replicates a task has as arrays at one time.
+ITEMS = 4096
 COUNTS = ["tp", "fp", "fn", "tn"]
 
 
@@ -33,25 +39,94 @@ def cluster_counts(df: DataFrame, threshold: Column, cluster: str, keys: list[st
 RANKING = ["auroc", "auprc"]
 
 
-def ranking_replicates(df: DataFrame, n_boot: int, seed: int, keys: list[str], cluster: str = "seq_id") -> DataFrame:
-    """keys, rep, auroc, auprc, pos and n of every replicate, from clusters' histograms of scores weighted by how often the cluster was drawn."""
-    hist = df.groupBy(*keys, cluster, "prob").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("q"))
-    placed = numbered(df.select(*keys, cluster).distinct(), cluster, keys, "_i")
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_m"))
-    times = drawn(sizes, n_boot, seed, keys).groupBy(*keys, "rep", "_i").agg(F.count("*").alias("_times")).join(placed, [*keys, "_i"])
-    bins = times.join(hist, [*keys, cluster]).groupBy(*keys, "rep", "prob").agg(F.sum(F.col("p") * F.col("_times")).alias("p"), F.sum(F.col("q") * F.col("_times")).alias("q"))
-    w = Window.partitionBy(*keys, "rep").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumns({"_p": F.sum("p").over(w), "_q": F.sum("q").over(w)})
-    p, q = F.sum("p"), F.sum("q")
-    area, steps = F.sum(F.col("q") * (F.col("_p") - 0.5 * F.col("p"))), F.sum(F.col("p") * F.col("_p") / (F.col("_p") + F.col("_q")))
-    return bins.groupBy(*keys, "rep").agg(F.when((p > 0) & (q > 0), area / (p * q)).alias("auroc"), F.when(p > 0, steps / p).alias("auprc"), p.alias("pos"), (p + q).alias("n"))
-
-
-def bootstrap_ci(df: DataFrame, threshold: Column, metric: str, n_boot: int, seed: int, keys: list[str] | None = None, cluster: str = "seq_id") -> DataFrame:
-    """keys, low and high (2.5 and 97.5 percentiles) and n_used of a metric by name, of confusion_metrics() or RANKING; replicates of one class are left out; nulls if all are."""
+def ranking_replicates(df: DataFrame, n_boot: int, seed: int, keys: list[str], cluster: str = "seq_id", bins: int | None = None) -> DataFrame:
+    """keys, rep, auroc, auprc, pos and n of every replicate.
+
+    Items are dealt to tasks by ranges of scores, each with the numbers of the replicates that drew its cluster
+    (as often as they did). A range is summed up by replicate as positives and negatives; with those of the
+    higher ranges known, each range gives its part of the area and of the precision steps as vectors over
+    replicates, and parts are added. So what is moved is the items once, not once for each replicate.
+
+    Items of a cluster with one score are one. bins, if any, rounds scores down to that many equal steps of
+    [0, 1]: fewer different scores, and an approximate result.
+    """
+    score = F.floor(F.col("prob") * bins) / bins if bins else F.col("prob")
+    hist = df.groupBy(*keys, cluster, score.alias("_s")).agg(F.sum((F.col("label") == 1).cast("long")).alias("_p"), F.sum((F.col("label") != 1).cast("long")).alias("_q"))
+    placed = stored(numbered(df.select(*keys, cluster).distinct(), cluster, keys, "_i"), "clusters")
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_m")) if keys else placed.agg(F.count("*").alias("_m"))
+    times = by_keys(drawn(sizes, n_boot, seed, keys).groupBy(*keys, "_i").agg(F.collect_list(F.col("rep").cast("short")).alias("_reps")), placed, [*keys, "_i"])
+    rows = by_keys(hist, times.drop("_i", "_m"), [*keys, cluster]).withColumn("_down", -F.col("_s")).select(*keys, "_down", "_p", "_q", "_reps")
+    # equal scores lie in one range
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(rows.repartitionByRange(parts, *keys, "_down").withColumn("_range", F.spark_partition_id()), "ranges")
+    vectors = "_range int, _sum_p array<long>, _sum_q array<long>"
+    named = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keys)
+
+    def weighted(part: pa.RecordBatch | pa.Table) -> np.ndarray:
+        """(rows, n_boot): how often each replicate has each row."""
+        lists = part.column("_reps")
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        return np.bincount(row * n_boot + lists.flatten().to_numpy(), minlength=len(lists) * n_boot).reshape(len(lists), n_boot)
+
+    def head(part: pa.Table, names: list[str]) -> list:
+        return [part.column(c).combine_chunks().slice(0, 1) for c in names]
+
+    def summed(part: pa.Table) -> pa.Table:
+        p, q = np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64)
+        for chunk in part.to_batches(max_chunksize=ITEMS):
+            w = weighted(chunk)
+            p += chunk.column("_p").to_numpy() @ w
+            q += chunk.column("_q").to_numpy() @ w
+        return pa.table([*head(part, [*keys, "_range"]), pa.array([p.tolist()]), pa.array([q.tolist()])], names=[*keys, "_range", "_sum_p", "_sum_q"])
+
+    sums = stored(rows.groupBy(*keys, "_range").applyInArrow(summed, named + vectors), "ranges")
+    added = lambda c: F.aggregate(F.collect_list(c).over(higher), F.array_repeat(F.lit(0).cast("long"), n_boot), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
+    higher = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_range", added("_sum_p").alias("_above_p"), added("_sum_q").alias("_above_q"))
+
+    def measured(part: pa.Table, above: pa.Table) -> pa.Table:
+        area, steps = np.zeros(n_boot), np.zeros(n_boot)
+        p, q = (np.array(above.column(c)[0].as_py(), dtype=np.int64) for c in ("_above_p", "_above_q"))
+        part = part.sort_by("_down")
+        chunks = part.to_batches(max_chunksize=ITEMS)
+        tie = (None, np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64))  # a score that may go on
+        for k in range(len(chunks) + 1):
+            if k < len(chunks):
+                s, w = chunks[k].column("_down").to_numpy(), weighted(chunks[k])
+                new = np.flatnonzero(np.diff(s, prepend=s[0] - 1) != 0)
+                own_p, own_q = (np.add.reduceat(chunks[k].column(c).to_numpy()[:, None] * w, new, axis=0) for c in ("_p", "_q"))
+                scores = s[new]
+            else:
+                scores, own_p, own_q = np.zeros(0), np.zeros((0, n_boot), np.int64), np.zeros((0, n_boot), np.int64)
+            if tie[0] is not None:
+                if len(scores) and scores[0] == tie[0]:
+                    own_p[0] += tie[1]
+                    own_q[0] += tie[2]
+                else:
+                    own_p, own_q = np.vstack([tie[1], own_p]), np.vstack([tie[2], own_q])
+            if k < len(chunks):
+                tie, own_p, own_q = (scores[-1], own_p[-1], own_q[-1]), own_p[:-1], own_q[:-1]
+            cum_p, cum_q = p + np.cumsum(own_p, axis=0), q + np.cumsum(own_q, axis=0)
+            area += (own_q * (cum_p - 0.5 * own_p)).sum(axis=0)
+            steps += np.where(own_p > 0, own_p * cum_p / np.maximum(cum_p + cum_q, 1), 0.0).sum(axis=0)
+            if len(cum_p):
+                p, q = cum_p[-1], cum_q[-1]
+        return pa.table([*head(part, keys), pa.array([area.tolist()]), pa.array([steps.tolist()])], names=[*keys, "_area", "_steps"])
+
+    cells = rows.groupBy(*keys, "_range").cogroup(before.groupBy(*keys, "_range")).applyInArrow(measured, named + "_area array<double>, _steps array<double>")
+    each = cells.select(*keys, F.posexplode(F.arrays_zip("_area", "_steps")).alias("rep", "_x")).groupBy(*keys, "rep").agg(F.sum("_x._area").alias("_area"), F.sum("_x._steps").alias("_steps"))
+    totals = sums.select(*keys, F.posexplode(F.arrays_zip("_sum_p", "_sum_q")).alias("rep", "_x")).groupBy(*keys, "rep").agg(F.sum("_x._sum_p").alias("pos"), F.sum("_x._sum_q").alias("_neg"))
+    p, q = F.col("pos"), F.col("_neg")
+    out = by_keys(each, totals, [*keys, "rep"])
+    return out.select(*keys, "rep", F.when((p > 0) & (q > 0), F.col("_area") / (p * q)).alias("auroc"), F.when(p > 0, F.col("_steps") / p).alias("auprc"), "pos", (p + q).alias("n"))
+
+
+def bootstrap_ci(df: DataFrame, threshold: Column, metric: str, n_boot: int, seed: int, keys: list[str] | None = None, cluster: str = "seq_id", bins: int | None = None) -> DataFrame:
+    """keys, low and high (2.5 and 97.5 percentiles) and n_used of a metric by name, of confusion_metrics() or RANKING; replicates of one class are left out; nulls if all are. bins: of ranking_replicates."""
     keys = keys or []
     if metric in RANKING:
-        reps = ranking_replicates(df, n_boot, seed, keys, cluster).filter(F.col("pos").between(1, F.col("n") - 1))
+        reps = ranking_replicates(df, n_boot, seed, keys, cluster, bins).filter(F.col("pos").between(1, F.col("n") - 1))
         q = F.percentile(metric, F.array(F.lit(0.025), F.lit(0.975)))
         return reps.groupBy(*keys).agg(q[0].alias("low"), q[1].alias("high"), F.count("*").alias("n_used"))
     reps = confusion_metrics(replicates(cluster_counts(df, threshold, cluster, keys), n_boot, seed, keys, COUNTS, cluster))
@@ -104,10 +179,9 @@ def gap_ci(df: DataFrame, threshold: Column, metric: str, group: str, first: str
 def tune_smoother(df: DataFrame, settings: list[tuple[str, str, float]] | None = None, objective: str = "macro_f1") -> DataFrame:
     """The first best of all smoothers x thresholds: smoother, threshold and the objective."""
     settings = settings or SMOOTHERS
-    wide = df.select("seq_id", "pos", "label", "prob")
-    for name, kind, parameter in settings:
-        wide = smooth(wide, kind, parameter, f"s_{name}".replace(".", "_"))
-    parts = ", ".join(f"{i}, `s_{name.replace('.', '_')}`" for i, (name, _, _) in enumerate(settings))
+    columns = [(f"s_{name}".replace(".", "_"), kind, parameter) for name, kind, parameter in settings]
+    wide = smooth_all(df.select("seq_id", "pos", "label", "prob"), columns)
+    parts = ", ".join(f"{i}, `{column}`" for i, (column, _, _) in enumerate(columns))
     long = wide.selectExpr("label", f"stack({len(settings)}, {parts}) as (setting, prob)")
     curve = threshold_curve(long, ["setting"])
     best = curve.agg(F.max_by(F.struct("setting", "k", objective), F.struct(F.col(objective), -F.col("setting"), -F.col("k"))).alias("b"))

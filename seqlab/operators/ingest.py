@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import expand_index_list
+from .ordering import quantiles
 
 
 class IngestError(ValueError):
@@ -136,7 +137,9 @@ def granularity(labelled: DataFrame, split: str, seq: str) -> DataFrame:
 
 def length_profile(labelled: DataFrame, seq: str) -> DataFrame:
     per = labelled.groupBy(seq).agg(F.count("*").alias("n"), F.max("label").alias("top"))
-    return per.agg(F.min("n").alias("min_rows"), F.median("n").alias("median_rows"), F.max("n").alias("max_rows"), F.sum((F.col("top") > 0).cast("long")).alias("with_positive"))
+    rest = per.agg(F.min("n").alias("min_rows"), F.max("n").alias("max_rows"), F.sum((F.col("top") > 0).cast("long")).alias("with_positive"))
+    median = quantiles(per, "n", [0.5]).select(F.col("quantiles")[0].alias("median_rows"))
+    return rest.crossJoin(F.broadcast(median)).select("min_rows", "median_rows", "max_rows", "with_positive")
 
 
 def unique_ids(paths: DataFrame, path: str = "path") -> DataFrame:

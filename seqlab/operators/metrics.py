@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import running_total
+from .ordering import by_keys, quantiles
 
 
 def share(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -129,11 +130,13 @@ def null_safe_summary(df: DataFrame, keys: list[str], value: str, reasons: dict[
     """Summary of the values that are there, and how many are not; for each named reason how many nulls it holds for."""
     v = F.col(value)
     std = F.when(F.count(v) > 0, F.coalesce(F.stddev(v), F.lit(0.0)))
-    return df.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), std.alias("std"), F.avg((v > 1.5).cast("double")).alias("share_above"),
+    out = df.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), std.alias("std"), F.avg((v > 1.5).cast("double")).alias("share_above"),
         F.avg((v < 1.1).cast("double")).alias("share_below"), F.sum(v.isNull().cast("long")).alias("n_null"),
         *(F.sum((v.isNull() & F.coalesce(c, F.lit(False))).cast("long")).alias(f"n_{name}") for name, c in (reasons or {}).items()),
     )
+    middle = quantiles(df, value, [0.5], keys).withColumn("median", F.col("quantiles")[0]).drop("quantiles")
+    return (by_keys(out, middle, keys, "left") if keys else out.join(middle, how="left")).select(*keys, "n", "mean", "median", *(c for c in out.columns if c not in (*keys, "n", "mean")))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

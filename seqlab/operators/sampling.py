@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, lowest, running_total
+from .ordering import numbered, quantiles
 from .sequence import runs, with_ordinal
 
 
@@ -152,7 +153,7 @@ def compute_budgets(df: DataFrame, conditions: list[Condition], seed: int = 0) -
 
 def describe(df: DataFrame, seq: str = "seq_id") -> DataFrame:
     per = df.groupBy(seq).agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("p"))
-    return per.agg(F.sum("n").alias("rows"), F.count("*").alias("sequences"), (F.sum("p") / F.sum("n")).alias("pos_rate"), F.median("n").alias("median_rows"))
+    return per.agg(F.sum("n").alias("rows"), F.count("*").alias("sequences"), (F.sum("p") / F.sum("n")).alias("pos_rate")).crossJoin(F.broadcast(quantiles(per, "n", [0.5]).select(F.col("quantiles")[0].alias("median_rows"))))
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:
@@ -161,14 +162,13 @@ def balanced_sample(df: DataFrame, n: int, seed: int, seq: str = "seq_id", pos:
 
 
 def even_rows(df: DataFrame, n: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:
-    """n rows at truncated even places over the whole table in (seq, pos) order, with ordinals from sequence sizes and no global window over rows."""
-    sizes = df.groupBy(seq).agg(F.count("*").alias("_size"))
-    sizes = sizes.withColumn("_bucket", F.substring(F.lpad(F.col(seq).cast("string"), 20, "0"), 1, 18))
-    before = running_total(sizes, "_size", "_bucket", [F.lpad(F.col(seq).cast("string"), 20, "0")], None, "_upto")
-    total = F.broadcast(sizes.agg(F.sum("_size").alias("_all")))
-    rows = with_ordinal(df, seq, pos).join(before.select(seq, (F.col("_upto") - F.col("_size")).alias("_before")), seq)
-    picks = total.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_all") - 1) / F.lit(max(n - 1, 1)))))).alias("_place"))
-    return rows.withColumn("_place", F.col("_before") + F.col("ordinal")).join(F.broadcast(picks), "_place", "left_semi").drop("_place", "_before", "ordinal", "n")
+    """n rows at truncated even places over the whole table in (seq, pos) order. A row knows by its own place whether it is one of them."""
+    total = df.agg(F.count("*").alias("_all"))
+    rows = numbered(df, [seq, pos], name="_place").crossJoin(F.broadcast(total))
+    step = (F.col("_all") - 1) / F.lit(max(n - 1, 1))
+    near = F.floor(F.col("_place") / step)
+    hit = lambda i: (i >= 0) & (i < n) & (F.floor(i * (F.col("_all") - 1) / F.lit(max(n - 1, 1))) == F.col("_place"))
+    return rows.filter(F.when(F.col("_all") <= 1, F.lit(n > 0)).otherwise(hit(near) | hit(near + 1) | hit(near + 2))).drop("_place", "_all")
 
 
 def first_last(df: DataFrame, qualifies, klass: str, order: str, strict: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, ranked
+from .ordering import quantiles
 from .sequence import sequence_table
 
 
@@ -36,8 +37,8 @@ def strata(sequences: DataFrame, rate: str = "pos_rate", bins: int = 4, least: i
     Strata under the least size go to the next, the last to the one before.
     """
     inner = sequences.filter(f"{rate} > 0 and {rate} < 1")
-    edges = inner.agg(F.percentile(rate, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
+    found = quantiles(inner, rate, [i / bins for i in range(1, bins)]).first()
+    edges = sorted(set(found["quantiles"] if found else []))
     bin_of = F.lit(2)
     for e in edges:
         bin_of = bin_of + (F.col(rate) > e).cast("int")

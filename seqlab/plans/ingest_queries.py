@@ -108,7 +108,7 @@ def p4(spark, d):
     return load(spark, d, "pages").select("page_id", C.canonical_id(F.when(F.col("page_id") % 2 == 0, F.concat(host, F.lit("__"), host)).otherwise(host)).alias("host"))
 
 
-@R.add("p5_resolve_column_rows")
+@R.add("p5_resolve_column_rows", "select user_id as seq_id, count(*) as n from events group by 1")
 def p5(spark, d):
     e = load(spark, d, "events")
     found = ingest.resolve_column(e.columns, ["video", "USER_ID", "user"], ("event_id",))

@@ -108,7 +108,7 @@ def boot_sql(clusters: str, stats: str, keys: str = "") -> str:
     """Replicate sums from clusters(keys, cluster, stats...)."""
     part = f"partition by {keys} " if keys else ""
     on = " and ".join(f"a.{k} = b.{k}" for k in keys.split(", ") if k) or "true"
-    k = f"b.{keys}, " if keys else ""
+    k = "".join(f"b.{x}, " for x in keys.split(", ") if x)
     sizes = f"select {keys + ', ' if keys else ''}count(*) as m from {clusters}{' group by ' + keys if keys else ''}"
     draws = draw_sql(SEED, "boot", "rep", "slot")
     return f"""select {k}rep, {', '.join(f'sum({s}) as {s}' for s in stats.split())} from (select *, row_number() over ({part}order by seq_id) - 1 as i from {clusters}) b
@@ -313,17 +313,17 @@ def a28(spark, d):
 
 @R.add("w1_with_ordinal", f"with {STUDY} select seq_id, event_id, row_number() over (partition by seq_id order by ts, event_id) - 1 as ordinal, count(*) over (partition by seq_id) as n from study")
 def w1(spark, d):
-    return sequence.with_ordinal(study(spark, d)).select("seq_id", "event_id", F.col("ordinal").cast("long").alias("ordinal"), "n")
+    return sequence.with_ordinal(study(spark, d), spread=True).select("seq_id", "event_id", F.col("ordinal").cast("long").alias("ordinal"), "n")
 
 
 @R.add("w2_transitions", "select conv_id, turn, coalesce(cast(lag(role) over (partition by conv_id order by turn) <> role as integer), 0) as is_transition from conversations")
 def w2(spark, d):
-    return sequence.transitions(load(spark, d, "conversations"), "role", "conv_id", "turn").select("conv_id", "turn", "is_transition")
+    return sequence.transitions(load(spark, d, "conversations"), "role", "conv_id", "turn", spread=True).select("conv_id", "turn", "is_transition")
 
 
 @R.add("w3_runs", f"with {LAGGED}, r as (select *, sum(is_transition) over (partition by seq_id order by pos) as run from lagged) select seq_id, run::bigint as run, any_value(label) as value, min(pos) as start, max(pos) as \"end\", max(pos) - min(pos) + 1 as length, cast((min(pos) + max(pos)) // 2 as integer) as centre from r group by 1, 2")
 def w3(spark, d):
-    return sequence.runs(study(spark, d))
+    return sequence.runs(study(spark, d), spread=True)
 
 
 PADDED = """padded as (select seq_id, pos, n, prob, first(prob) over s as f, last(prob) over s as l from (select *, count(*) over (partition by seq_id) as n from study) window s as (partition by seq_id order by pos rows between unbounded preceding and unbounded following))"""
@@ -338,11 +338,11 @@ def window_values(width: int) -> str:
 for _w in (4, 5):
     @R.add(f"w4_moving_average_{_w}", f"with {STUDY}, {PADDED} select seq_id, pos, list_avg(v) as smoothed from ({window_values(_w)})", "smoothed")
     def w4(spark, d, w=_w):
-        return study(spark, d).select("seq_id", "pos", sequence.moving_average("prob", w).alias("smoothed"))
+        return sequence.smooth(study(spark, d), "movavg", w).select("seq_id", "pos", "smoothed")
 
     @R.add(f"w5_median_filter_{_w}", f"with {STUDY}, {PADDED} select seq_id, pos, list_median(v) as smoothed from ({window_values(_w)})", "smoothed")
     def w5(spark, d, w=_w):
-        return study(spark, d).select("seq_id", "pos", sequence.median_filter("prob", w).alias("smoothed"))
+        return sequence.smooth(study(spark, d), "median", w).select("seq_id", "pos", "smoothed")
 
 
 _L = math.log(0.9 / 0.1)
@@ -371,11 +371,37 @@ def w8(spark, d):
     return inference.tune_smoother(split_of(spark, d, "val"), _FEW)
 
 
-@R.add("w8_tune_smoother_full_rows")
+def walks_sql(stays: list[float]) -> str:
+    """CTEs of the walks and states of several probabilities to stay: states(k, seq_id, pos, state), k from 0."""
+    limits = ", ".join(f"({k}, {math.log(s / (1 - s))}::double)" for k, s in enumerate(stays))
+    return f"""zs as (select seq_id, pos, ln(q / (1 - q)) as z, count(*) over (partition by seq_id) as n from (select seq_id, pos, greatest(1e-6::double, least(1 - 1e-6::double, prob)) as q from study)),
+many as (select k, lim, seq_id, pos, n, z as d from zs, (values {limits}) as l(k, lim) where pos = 0 union all select w.k, w.lim, zs.seq_id, zs.pos, zs.n, greatest(-w.lim, least(w.lim, w.d)) + zs.z from many w join zs on zs.seq_id = w.seq_id and zs.pos = w.pos + 1),
+states as (select k, seq_id, pos, cast(d > 0 as integer) as state from many where pos = n - 1 union all select w.k, w.seq_id, w.pos, case when w.d > w.lim then 1 when w.d <= -w.lim then 0 else b.state end from states b join many w on w.k = b.k and w.seq_id = b.seq_id and w.pos = b.pos - 1)"""
+
+
+_WIDTHS, _STAYS = (3, 5, 9, 15, 25), [p for _, kind, p in sequence.SMOOTHERS if kind == "viterbi"]
+_SMOOTHED = " union all ".join(
+    ["select 0 as setting, seq_id, pos, prob from study"]
+    + [f"select {1 + i}, seq_id, pos, list_sum(v) / {w} from ({window_values(w)})" for i, w in enumerate(_WIDTHS)]
+    + [f"select {6 + i}, seq_id, pos, list_median(v) from ({window_values(w)})" for i, w in enumerate(_WIDTHS)]
+    + ["select 11 + k, seq_id, pos, state::double from states"]
+)
+
+
+@R.add("w8_tune_smoother_full_rows", f"""with recursive {STUDY}, {walks_sql(_STAYS)}, {PADDED}, s as ({_SMOOTHED}),
+j as (select setting, s.prob, t.label from s join study t using (seq_id, pos) where t.orig_split = 'val'), c as ({curve_sql('j', 'setting')})
+select {[n for n, _, _ in sequence.SMOOTHERS]}[setting + 1] as smoother, t as threshold, m as macro_f1 from c order by round(m, 9) desc, setting, k limit 1""", "threshold macro_f1")
 def w8b(spark, d):
     return inference.tune_smoother(split_of(spark, d, "val"))
 
 
+@R.add("w8_all_settings", f"with recursive {STUDY}, {walks_sql(_STAYS)}, {PADDED}, s as ({_SMOOTHED}) select setting::integer as setting, seq_id, pos, prob as smoothed from s", "smoothed")
+def w8c(spark, d):
+    columns = [(f"c{i}", kind, parameter) for i, (_, kind, parameter) in enumerate(sequence.SMOOTHERS)]
+    wide = sequence.smooth_all(study(spark, d).select("seq_id", "pos", "prob"), columns)
+    return wide.selectExpr("seq_id", "pos", f"stack({len(columns)}, {', '.join(f'{i}, {c}' for i, (c, _, _) in enumerate(columns))}) as (setting, smoothed)")
+
+
 SPLICE = f"""{STUDY}, win as (select seq_id * 1000 + "window" as window_id, seq_id, "window" as start from ({windows_sql(16, 16, 1, "study", "seq_id")}) where slot = 0 and seq_id % 10 < 6),
 cand as (select seq_id, any_value(label) as label, cast(seq_id % 4 as integer) as session from study where orig_split = 'train' group by 1),
 near as (select seq_id as near, 1 - label as label, session, row_number() over (partition by session, label order by seq_id) - 1 as pick from cand), near_n as (select session, 1 - label as label, count(*) as n_near from cand group by 1, 2),
@@ -414,6 +440,36 @@ def w11(spark, d):
     return sequence.session_ids(load(spark, d, "events"), 8 * 3600, ["user_id"]).select("event_id", "session")
 
 
+EXAMS = f"""{STUDY}, timed as (select *, sum(f) over (order by ts, event_id) as session from (select *, coalesce(cast(epoch_us(ts) - lag(epoch_us(ts)) over (order by ts, event_id) >= 600000000 as integer), 0) as f from study where event_type not in ('purchase', 'signup'))),
+exams as (select event_id, 'session' || cast(session + 1 as bigint) as exam from timed union all select event_id, cast(seq_id as varchar) from study where event_type in ('purchase', 'signup'))"""
+
+
+def examined(s):
+    """Rows of one campaign are named by user and item number, those of the other lie on one time line."""
+    named = F.concat(F.col("seq_id").cast("string"), F.lit("I"), (F.col("pos") % 6 + 1).cast("string"))
+    return sequence.exam_ids(s.withColumn("_name", named), 600, ~F.col("event_type").isin("purchase", "signup"), "_name").drop("_name")
+
+
+@R.add("w11_exam_ids", f"with {EXAMS} select event_id, exam from exams")
+def w11b(spark, d):
+    return examined(study(spark, d)).select("event_id", "exam")
+
+
+@R.add("w11_global_sessions", "select event_id, (sum(f) over (order by ts, event_id))::bigint as session from (select *, coalesce(cast(epoch_us(ts) - lag(epoch_us(ts)) over (order by ts, event_id) >= 600000000 as integer), 0) as f from events)")
+def w11c(spark, d):
+    return sequence.session_ids(load(spark, d, "events"), 600, []).select("event_id", "session")
+
+
+@R.add("a22_scores_by_exam", f"""with {EXAMS}, scored as (select study.seq_id, exam, case when event_type in ('purchase', 'signup') then '2021' else '2024' end as campaign, cast(pos % 3 = 0 as integer) as label, run, case run when 'a' then prob else prob_b end as prob from study join exams using (event_id), (values ('a'), ('b')) r(run) where orig_split = 'test'),
+clusters as ({counts_sql('prob >= 0.5', '(select run, campaign, exam as seq_id, label, prob from scored)', 'run, campaign, seq_id')}), reps as ({boot_sql('clusters', 'tp fp fn tn', 'run, campaign')}),
+ci as (select run, campaign, quantile_cont(v, 0.025) as low, quantile_cont(v, 0.975) as high from (select run, campaign, {SQL_METRICS['macro_f1']} as v from reps where tp + fn > 0 and fp + tn > 0) group by 1, 2)
+select * from ({item_sql('prob >= 0.5', 'scored', 'run, campaign')}) join ({rank_sql('scored', 'run, campaign')}) using (run, campaign) join (select run, campaign, count(distinct seq_id) as clusters, count(distinct exam) as exams from scored group by 1, 2) using (run, campaign) join ci using (run, campaign)""", " ".join(ITEM) + " auroc auprc low high")
+def a22d(spark, d):
+    s = examined(study(spark, d)).filter("orig_split = 'test'").withColumn("campaign", F.when(F.col("event_type").isin("purchase", "signup"), "2021").otherwise("2024")).withColumn("label", (F.col("pos") % 3 == 0).cast("int"))
+    part = lambda run, p: s.select("seq_id", "exam", "campaign", "label", F.lit(run).alias("run"), F.col(p).alias("prob"))
+    return experiments.group_scores(part("a", "prob").unionByName(part("b", "prob_b")), F.lit(0.5), ["run", "campaign"], "macro_f1", N_BOOT, SEED, exam="exam")
+
+
 @R.add("w13_rank_display", "select event_type, mean, row_number() over (order by round(mean, 6) desc, event_type) as rank from (select event_type, avg(value) as mean from events group by 1)", "mean")
 def w13(spark, d):
     m = load(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"))
@@ -638,7 +694,19 @@ def m2(spark, d):
     return metrics.confusion_metrics(metrics.confusion_counts(scored_rows, F.col("predicted") == 1, ["condition", "seed"]))
 
 
-@R.add("x5_bootstrap_auroc_rows")
+RANK_REPS = f"""{STUDY}, placed as (select *, row_number() over (partition by orig_split order by seq_id) - 1 as i from (select distinct orig_split, seq_id from study)),
+times as (select orig_split, rep, seq_id, t from (select orig_split, rep, {draw_sql(SEED, "boot", "rep", "slot")} % m as i, count(*) as t from (select *, unnest(range(m)) as slot from (select *, unnest(range({N_BOOT})) as rep from (select orig_split, count(*) as m from placed group by 1))) group by all) join placed using (orig_split, i)),
+bins as (select orig_split, rep, prob, sum(case when label = 1 then t else 0 end)::double as pos, sum(case when label <> 1 then t else 0 end)::double as neg from study join times using (orig_split, seq_id) group by all),
+cum as (select *, (sum(pos) over w)::double as cp, (sum(neg) over w)::double as cn from bins window w as (partition by orig_split, rep order by prob desc)),
+reps as (select orig_split, rep, sum(pos) as p, sum(neg) as n, sum(neg * (cp - 0.5::double * pos)) as area, sum(pos * cp / (cp + cn)) as steps from cum group by 1, 2)"""
+
+
+@R.add("x5_bootstrap_auprc", f"with {RANK_REPS} select orig_split, quantile_cont(steps / p, 0.025) as low, quantile_cont(steps / p, 0.975) as high, count(*) as n_used from reps where p > 0 and n > 0 group by 1", "low high")
+def x5b(spark, d):
+    return inference.bootstrap_ci(study(spark, d), F.lit(0.5), "auprc", N_BOOT, SEED, ["orig_split"])
+
+
+@R.add("x5_bootstrap_auroc_rows", f"with {RANK_REPS} select orig_split, quantile_cont(area / (p * n), 0.025) as low, quantile_cont(area / (p * n), 0.975) as high, count(*) as n_used from reps where p > 0 and n > 0 group by 1", "low high")
 def x5(spark, d):
     return inference.bootstrap_ci(study(spark, d), F.lit(0.5), "auroc", N_BOOT, SEED, ["orig_split"])
 

@@ -60,7 +60,7 @@ def test_viterbi(items, stay):
 @pytest.mark.parametrize("width", [1, 2, 3, 6, 9])
 def test_filters(items, width):
     df, rows = items
-    out = df.select("seq_id", "pos", sequence.moving_average("prob", width).alias("m"), sequence.median_filter("prob", width).alias("d")).collect()
+    out = sequence.smooth_all(df, [("m", "movavg", width), ("d", "median", width)]).collect()
     got = {(r.seq_id, r.pos): (r.m, r.d) for r in out}
     for s, own in by_sequence(rows).items():
         v = [x for _, _, x in own]
