@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .inference import bootstrap_ci
 from .metrics import confusion_counts, confusion_metrics, ranking_metrics
 
+# Plans of conditions, pairs (dense, sparse) to compare by seed, and ensembles of arms, by name.
+PLANS = {
+    "arm1": ["sparse_k1", "sparse_k2", "sparse_k5", "sparse_k10", "sparse_k20", "dense_matched_k5", "dense_prior_matched_k5", "dense_matched_k20", "dense_prior_matched_k20", "dense_stride8", "dense_stride4", "dense_stride2", "dense_all"],
+    "headline": ["sparse_k1", "sparse_k5", "dense_matched_k5", "dense_prior_matched_k5", "dense_all"],
+    "arm2": ["dense_all"],
+}
+PAIRS = [("dense_matched_k5", "sparse_k5"), ("dense_prior_matched_k5", "sparse_k5")]
+ENSEMBLES = {
+    "ens_seeds": ["base_s0", "base_s1", "base_s2"],
+    "ens_native_sizes": ["native256_s0", "native384_s0", "native512_s0"],
+    "ens_best_mixed": ["base_s0", "native512_s0", "resnet34_s0"],
+    "ens_native384_seeds": ["native384_s0", "native384_s1", "native384_s2"],
+    "ens_native256_seeds": ["native256_s0", "native256_s1", "native256_s2"],
+}
+
 METRICS = ["macro_f1", "balanced_accuracy", "f1", "auroc", "auprc"]
 
 
@@ -41,6 +56,30 @@ def pending(conditions: DataFrame, seeds: DataFrame, finished: DataFrame) -> Dat
     return conditions.crossJoin(seeds).join(finished.select("condition", "seed"), ["condition", "seed"], "left_anti")
 
 
+def planned(spark: SparkSession, plan: str, seeds: list[int], finished: DataFrame) -> DataFrame:
+    """Pending (condition, seed) pairs of a plan by name."""
+    if plan not in PLANS:
+        raise ValueError(f"plan is one of {sorted(PLANS)}")
+    return pending(spark.createDataFrame([(c,) for c in PLANS[plan]], "condition string"), spark.createDataFrame([(s,) for s in seeds], "seed int"), finished)
+
+
+def pair_deltas(runs: DataFrame, metric: str, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(dense, sparse) and paired_delta_summary() of each pair, over the seeds that both have."""
+    named = F.broadcast(runs.sparkSession.createDataFrame(pairs or PAIRS, "dense_name string, sparse_name string"))
+    side = lambda own, n: runs.join(named, F.col("condition") == F.col(own)).select("dense_name", "sparse_name", "seed", F.col(metric).alias(n))
+    both = side("dense_name", "dense").join(side("sparse_name", "sparse"), ["dense_name", "sparse_name", "seed"]).withColumn("delta", F.col("dense") - F.col("sparse"))
+    return both.groupBy("dense_name", "sparse_name").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.coalesce(F.stddev("delta"), F.lit(0.0)).alias("std"), F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") < 0).alias("losses"))
+
+
+def ensemble_members(df: DataFrame, ensembles: dict[str, list[str]] | None = None, arm: str = "arm") -> DataFrame:
+    """Rows of the arms once for each ensemble they belong to, with its name; ensembles of which an arm has no rows are left out."""
+    listed = [(name, member, len(members)) for name, members in (ensembles or ENSEMBLES).items() for member in members]
+    named = F.broadcast(df.sparkSession.createDataFrame(listed, f"ensemble string, {arm} string, _members int"))
+    rows = df.join(named, arm)
+    whole = rows.groupBy("ensemble", "_members").agg(F.countDistinct(arm).alias("_there")).filter("_there = _members").select("ensemble")
+    return rows.drop("_members").join(F.broadcast(whole), "ensemble")  # a row by ensemble
+
+
 def ordered_lookup(df: DataFrame, order: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the fixed display list, with its rank and group."""
     return df.join(order, key).orderBy("rank", key)
@@ -52,6 +91,13 @@ def compare_predictions(a: DataFrame, b: DataFrame, keys: list[str], threshold:
     return both.agg(F.count("*").alias("n"), worst.alias("max_abs_diff"), F.avg(((F.col("pa") >= threshold) == (F.col("pb") >= threshold)).cast("double")).alias("agreement"), (worst <= tolerance).alias("passed"))
 
 
+def decisions(a: DataFrame, b: DataFrame, keys: list[str], first: float, second: float) -> DataFrame:
+    """keys, what each of two stages says of a row at its own threshold, and whether they disagree; a stage without a score says nothing, which is no disagreement."""
+    both = a.select(*keys, F.col("prob").alias("_a")).join(b.select(*keys, F.col("prob").alias("_b")), keys, "full_outer")
+    said = both.select(*keys, (F.col("_a") >= first).alias("first_says"), (F.col("_b") >= second).alias("second_says"))
+    return said.withColumn("disagree", F.coalesce(F.col("first_says") != F.col("second_says"), F.lit(False)))
+
+
 def selector_quality(arms: DataFrame, arm: str = "arm", val: str = "val", test: str = "test") -> DataFrame:
     """How well a validation score picks: Pearson, rank correlation (ties by name), the picks and the regret; nulls for three arms or fewer."""
     ranks = arms.withColumns({f"r_{c}": F.row_number().over(Window.orderBy(c, arm)).cast("double") for c in (val, test)})

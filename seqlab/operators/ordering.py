@@ -56,7 +56,7 @@ BINS, ROUNDS = 4096, 2
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
-    """keys and quantiles, an array with the exact quantile (linear between neighbours) of each share; nulls don't count, and keys without values have no row.
+    """keys and quantiles, an array with the exact quantile (linear between neighbours) of each share; nulls don't count, and keys without values have no row (without keys there is one, null where there are no values).
 
     A rank is looked for by counts: values between the least and the most are counted by range, combined
     before the shuffle, then only those in the range that the rank lies in, by its ranges, and at last the
@@ -84,7 +84,7 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] |
     low, high, part = F.min("_v"), F.max("_v"), F.col("_place") - F.floor("_place")
     one = ends.groupBy(*keys, F.col("_q.share").alias("_share"), F.col("_q.place").alias("_place")).agg(low.alias("_a"), high.alias("_b"))
     one = one.withColumn("_v", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") * (1 - part) + F.col("_b") * part))
-    return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_share", "_v"))), lambda x: x["_v"]).alias("quantiles"))
+    return one.groupBy(*keys).agg(F.when(F.count("*") > 0, F.transform(F.array_sort(F.collect_list(F.struct("_share", "_v"))), lambda x: x["_v"])).alias("quantiles"))
 
 
 def near(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,7 +38,7 @@ def strata(sequences: DataFrame, rate: str = "pos_rate", bins: int = 4, least: i
     """
     inner = sequences.filter(f"{rate} > 0 and {rate} < 1")
     found = quantiles(inner, rate, [i / bins for i in range(1, bins)]).first()
-    edges = sorted(set(found["quantiles"] if found else []))
+    edges = sorted(set(found["quantiles"] or []))
     bin_of = F.lit(2)
     for e in edges:
         bin_of = bin_of + (F.col(rate) > e).cast("int")

@@ -470,6 +470,13 @@ def a22d(spark, d):
     return experiments.group_scores(part("a", "prob").unionByName(part("b", "prob_b")), F.lit(0.5), ["run", "campaign"], "macro_f1", N_BOOT, SEED, exam="exam")
 
 
+@R.add("j14_disagreements", f"with {STUDY} select event_id, prob >= 0.6 as first_says, prob_b >= 0.7 as second_says from study where (prob >= 0.6) <> (prob_b >= 0.7)")
+def j14b(spark, d):
+    s = study(spark, d)
+    both = experiments.decisions(s.select("event_id", "prob"), s.select("event_id", F.col("prob_b").alias("prob")), ["event_id"], 0.6, 0.7)
+    return both.filter("disagree").select("event_id", "first_says", "second_says")
+
+
 @R.add("w13_rank_display", "select event_type, mean, row_number() over (order by round(mean, 6) desc, event_type) as rank from (select event_type, avg(value) as mean from events group by 1)", "mean")
 def w13(spark, d):
     m = load(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"))
@@ -690,7 +697,7 @@ def m1(spark, d):
 def m2(spark, d):
     v = vectors(spark, d)
     build = lambda c, seed: v["train"].filter(draw(seed, "grid", "vec_id") % 100 < (30 if c == "sparse" else 90))
-    scored_rows = model.run_grid([(c, s) for c in ("sparse", "dense") for s in (0, 1)], build, v["val"], v["test"])
+    scored_rows = model.run_grid(["sparse", "dense"], [0, 1], build, v["val"], v["test"])
     return metrics.confusion_metrics(metrics.confusion_counts(scored_rows, F.col("predicted") == 1, ["condition", "seed"]))
 
 
