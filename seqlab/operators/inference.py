@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import draw
 from ..sources.shared import stored
@@ -54,8 +57,19 @@ def ranking_replicates(df: DataFrame, n_boot: int, seed: int, keys: list[str], c
     hist = df.groupBy(*keys, cluster, score.alias("_s")).agg(F.sum((F.col("label") == 1).cast("long")).alias("_p"), F.sum((F.col("label") != 1).cast("long")).alias("_q"))
     placed = stored(numbered(df.select(*keys, cluster).distinct(), cluster, keys, "_i"), "clusters")
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("_m")) if keys else placed.agg(F.count("*").alias("_m"))
-    times = by_keys(drawn(sizes, n_boot, seed, keys).groupBy(*keys, "_i").agg(F.collect_list(F.col("rep").cast("short")).alias("_reps")), placed, [*keys, "_i"])
-    rows = by_keys(hist, times.drop("_i", "_m"), [*keys, cluster]).withColumn("_down", -F.col("_s")).select(*keys, "_down", "_p", "_q", "_reps")
+    times = by_keys(drawn(sizes, n_boot, seed, keys).groupBy(*keys, "_i").agg(F.collect_list("rep").alias("_reps")), placed, [*keys, "_i"]).select(*keys, cluster, "_reps")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of replicates as bytes, which later steps move as they are."""
+        for batch in batches:
+            lists = batch.column("_reps")
+            data = lists.flatten().to_numpy().astype("<u2")
+            ends = 2 * np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+            raw = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], raw], names=batch.schema.names)
+
+    times = times.mapInArrow(packed, T.StructType([*times.schema.fields[:-1], T.StructField("_reps", T.BinaryType())]))
+    rows = by_keys(hist, stored(times, "clusters"), [*keys, cluster]).withColumn("_down", -F.col("_s")).select(*keys, "_down", "_p", "_q", "_reps")
     # equal scores lie in one range
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(rows.repartitionByRange(parts, *keys, "_down").withColumn("_range", F.spark_partition_id()), "ranges")
@@ -66,8 +80,11 @@ def ranking_replicates(df: DataFrame, n_boot: int, seed: int, keys: list[str], c
         """(rows, n_boot): how often each replicate has each row."""
         lists = part.column("_reps")
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        return np.bincount(row * n_boot + lists.flatten().to_numpy(), minlength=len(lists) * n_boot).reshape(len(lists), n_boot)
+        _, ends, data = lists.buffers()
+        ends = np.frombuffer(ends, np.int32)[lists.offset : lists.offset + len(lists) + 1] // 2
+        rep = np.frombuffer(data, "<u2")[ends[0] : ends[-1]] if data is not None else np.zeros(0, "<u2")
+        row = np.repeat(np.arange(len(lists)), np.diff(ends))
+        return np.bincount(row * n_boot + rep, minlength=len(lists) * n_boot).reshape(len(lists), n_boot)
 
     def head(part: pa.Table, names: list[str]) -> list:
         return [part.column(c).combine_chunks().slice(0, 1) for c in names]
