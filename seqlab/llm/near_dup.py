@@ -226,8 +226,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     bags = stored(multisets(texts.filter("id is not null").join(met.select("id").hint("merge"), "id", "left_semi"), size), "bags")
 
     members = stored(members.join(met, "id"), "buckets")
-    rank = lambda: F.struct(F.col("met"), -F.col("id"))
-    centre = members.groupBy("key").agg(F.max_by("id", rank()).alias("centre"))
+    centre = members.groupBy("key").agg(F.min_by("id", F.struct(-F.col("met"), F.col("id"))).alias("centre"))
     joined = members.join(stored(centre, "centres"), "key")
     pairs = stored(ordered_pairs(joined.filter("centre <> id"), "centre", "id"), "pairs")
     found = stored(similar(pairs, bags, least), "found")
@@ -246,7 +245,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     named = same.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("class_id"))
-    out = sketch.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    some = F.col("id").isNotNull() & (F.col("n") > 0)  # others have no digest to join by and are classes of their own
+    out = sketch.filter(some).select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left").select("id", "class_id")
+    out = out.unionByName(sketch.filter(~some).select("id", F.col("id").alias("class_id")))
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
 
 
