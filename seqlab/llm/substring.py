@@ -1,22 +1,25 @@
 """Substring dedup: prefix-partitioned suffix trees of all documents' words, read at a depth of 50 words.
 
-A suffix starts at each word with at least 50 words left in its document. Two suffixes repeat each other
-if they meet in a node of depth 50 or more. Trees are built from groups of suffixes with a common prefix:
+A suffix starts at each word with at least 50 words left in its document; its first 50 words are its window.
+Two suffixes repeat each other if they meet in a node of depth 50 or more. Trees are built from groups of
+suffixes that have a part of their prefix in common, and the part lengthens until a group fits in memory:
 
 1. Equal texts are one text, of the smallest id that has it; rows of larger ids lose all that 50-word
    windows cover, which is everything.
-2. Every window has an anchor, its smallest 16-word part by hash (the leftmost). Equal windows have equal
-   anchors at the same place. Windows in a row with one anchor are a run. Anchors that only one document
-   has lead to no repeat and end here: a count by anchor, combined before its shuffle, tells.
-3. The suffixes of an anchor are a group. A group of at most GROUP suffixes is dealt to one task as the
-   words of its runs; its subtree is built there in memory: places are named by their first 1, 2, 4, ...
-   words, names of names, down to 50 words. What has one name at that depth is below one internal node,
-   and words themselves are compared, not digests of windows.
-4. A group that is larger is dealt by longer prefixes, as long as the windows: each of these is a node by
-   itself, named by 128 bits, of which only the smallest document is kept, combined before the shuffle.
-   So a passage in a third of all documents costs a row for each window and task.
-
-A document gets back the windows it loses (3) or the nodes it owns (4), never other documents' windows.
+2. Suffixes are grouped by the smallest 16-word part of their window by hash (the leftmost of equal ones),
+   so equal windows share a group. Windows in a row with one part are a run. Groups that only one document
+   has lead to no repeat and end here: a count by group, combined before its shuffle, tells.
+3. A group of at most GROUP words is dealt to one task as the words of its runs. Its subtree is built there:
+   words are named by their bytes, suffixes sorted by names of their first 1, 2, 4, ... words, and what
+   agrees with its neighbour in 50 words or more is below one deep internal node.
+4. A larger group is dealt anew by the smallest 32-word part of the windows, and what is still too large by
+   all 50 words. There each group is a node by itself, by 128 bits of the SHA-256 of its words, of which only
+   the smallest document is kept, combined before the shuffle. So a passage in a third of all documents
+   costs a row for each window and task.
+
+Hashes of words decide which group a window is in, and equal windows never part; what repeats is decided by
+words in 3 and by cryptographic digests of words in 4. A document gets back the windows it loses (3) or the
+nodes it owns (4), never other documents' windows.
 
 Null texts have no words, empty texts neither. Documents of fewer than 50 words lose nothing. Rows with a
 null id take no part and lose nothing. Rows with the same id are one document to this operator: none
@@ -27,6 +30,7 @@ whole, and keep may name columns of any name; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -36,24 +40,26 @@ from pyspark.sql import functions as F
 from .common import Words, bounded_batches, mix, rolled, slices, stored, table
 
 WINDOW = 50
-ANCHOR = 16
-#: Suffixes of a group whose subtree is built in memory, at most: some 400,000 words, of 60 bytes each in arrays.
-GROUP = 1 << 17
+#: Words of the parts that suffixes are grouped by, one after another; the last step is the window itself.
+PARTS = (16, 32)
+#: Words of a group whose subtree is built in memory, at most, of some 100 bytes each in arrays.
+GROUP = 400_000
 #: Words whose anchors are looked for at one time, and runs whose words are sent at one time.
 BLOCK, SENT = 1 << 20, 2048
 
 
 class Runs:
-    """Runs of windows of a batch: text, begin (first window), count and anchor of each."""
+    """Runs of windows of a batch: text, begin (first window), count and anchor (name of the smallest part) of each; within: places of windows to look at, all if none."""
 
-    def __init__(self, words: Words, window: int, anchor: int) -> None:
+    def __init__(self, words: Words, window: int, anchor: int, within: np.ndarray | None = None) -> None:
         stop = np.repeat(words.first[1:], words.counts())
         parts: list[list[np.ndarray]] = [[], [], []]
         n, width, bits = len(words.hashes), window - anchor + 1, np.uint64(24)
         for low in range(0, n, BLOCK):
             own = words.hashes[low : low + BLOCK + window - 1]
             place = np.arange(len(own))
-            at = np.flatnonzero((place + low + window <= stop[low : low + len(own)]) & (place < BLOCK))
+            fits = (place + low + window <= stop[low : low + len(own)]) & (place < BLOCK)
+            at = np.flatnonzero(fits if within is None else fits & within[low : low + len(own)])
             prefix = mix(rolled(own, anchor))
             least, span = (prefix >> bits << bits) | place.astype(np.uint64), 1
             while 2 * span <= width:
@@ -71,9 +77,6 @@ class Runs:
         """Places of the windows of the chosen runs."""
         return spread(self.begin[chosen], self.count[chosen])
 
-    def texts(self, chosen: np.ndarray) -> np.ndarray:
-        return np.repeat(self.text[chosen], self.count[chosen])
-
 
 def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin, begin + 1, ... of each range, in a row."""
@@ -89,8 +92,18 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def nodes_of(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit names of the windows at starts."""
-    return mix(rolled(words.hashes, window))[starts], mix(rolled(mix(words.hashes ^ np.uint64(0xD6E8FEB86659FD93)), window))[starts]
+    """128 bits of the SHA-256 of the windows at starts, words with one space between them."""
+    out = np.zeros((len(starts), 2), dtype=np.uint64)
+    for low in range(0, len(starts), BLOCK):
+        own = starts[low : low + BLOCK]
+        first = int(own.min(initial=0))
+        span = np.arange(first, int(own.max(initial=-1)) + window)
+        whole = words.spaced(span)
+        end = np.cumsum(words.end[span] - words.begin[span] + 1)
+        begin = np.append(0, end[:-1])
+        raw = b"".join([sha256(whole[a:b]).digest()[:16] for a, b in zip(begin[own - first].tolist(), (end[own - first + window - 1] - 1).tolist(), strict=True)])
+        out[low : low + BLOCK] = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return out[:, 0], out[:, 1]
 
 
 def listed(column: pa.Array, texts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -115,37 +128,77 @@ def named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.unique(left * (int(right.max(initial=0)) + 1) + right, return_inverse=True)[1]
 
 
-def depth_names(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a batch of texts with at least so many words, as places of their first words, and the name of each one's node of that depth."""
+def word_names(words: Words) -> np.ndarray:
+    """Numbers of the words; equal numbers, equal bytes. Words are grouped by hash, then each is compared with the first of its group."""
+    _, first, name = np.unique(words.hashes, return_index=True, return_inverse=True)
+    model, size = first[name], words.end - words.begin
+    if (size == size[model]).all() and (words.data[spread(words.begin, size)] == words.data[spread(words.begin[model], size)]).all():
+        return name
+    names: dict[bytes, int] = {}
+    return np.array([names.setdefault(w, len(names)) for w in words.of(np.arange(len(name)))], dtype=np.int64)
+
+
+def subtree(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a group's texts, suffixes of at least window words in order: places of their first words, the deep node each is below (numbered in order) and how many words it shares with the one before (capped at twice the window).
+
+    Suffixes are sorted by doubling; ranks of 1, 2, 4, ... words give the shared length of neighbours. A deep
+    internal node of the suffix tree is a stretch of neighbours that share window words or more.
+    """
     stop = np.repeat(words.first[1:], words.counts())
-    place = np.arange(len(stop))
-    name, span = np.unique(words.hashes, return_inverse=True)[1], 1
+    n = len(stop)
+    left = stop - np.arange(n)
+    ranks, span = [word_names(words) + 1], 1  # 0: past the end
     while 2 * span <= window:
-        at = np.flatnonzero(place + 2 * span <= stop)
-        longer = np.zeros(len(place), dtype=np.int64)
-        longer[at] = named(name[at], name[at + span])
-        name, span = longer, 2 * span
-    at = np.flatnonzero(place + window <= stop)
-    return at, named(name[at], name[at + window - span]) if len(at) else at
+        ahead_ = np.where(left > span, np.append(ranks[-1][span:], np.zeros(min(span, n), np.int64)), 0)
+        ranks.append(named(ranks[-1], ahead_) + 1)
+        span *= 2
+    at = np.flatnonzero(left >= window)
+    if not len(at):
+        return at, at, at
+    order = np.lexsort((ranks[-1][at + window - span], ranks[-1][at]))
+    at = at[order]
+    a, b, shared = at[:-1].copy(), at[1:].copy(), np.zeros(len(at) - 1, dtype=np.int64)
+    for _ in range(2):  # each time at most 2 * span - 1 words
+        for k in range(len(ranks) - 1, -1, -1):
+            inside = (a < n) & (b < n)
+            own = np.where(inside, np.minimum(left[np.minimum(a, n - 1)], left[np.minimum(b, n - 1)]), 0) >= 1 << k
+            same = own & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            step = np.where(same, 1 << k, 0)
+            ends = (a + step >= stop[np.minimum(a, n - 1)]) | (b + step >= stop[np.minimum(b, n - 1)])
+            shared += step
+            a, b = np.where(ends & same, n, a + step), np.where(ends & same, n, b + step)
+    shared = np.minimum(np.append(0, shared), 2 * window)
+    return at, np.cumsum(shared < window) - 1, shared
 
 
 def lost_in(batch: pa.Table, window: int) -> pa.RecordBatch:
-    """Of whole groups of runs (key, id, at, segment): ranges of windows, (key, start, count), whose node a smaller id has too."""
+    """Of whole groups of runs (key, id, at, segment): ranges of windows, (key, start, count), below a deep node that a smaller id is below too."""
     words = Words(batch.column("segment").combine_chunks())
-    at, node = depth_names(words, window)
+    at, node, _ = subtree(words, window)
     run = np.searchsorted(words.first, at, side="right") - 1
     ids = np.unique(batch.column("id").to_numpy(), return_inverse=True)[1][run]
     least = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, node, ids)
-    lost = least[node] < ids
-    at, run = at[lost], run[lost]
+    lost = np.sort(at[least[node] < ids])
+    at, run = lost, np.searchsorted(words.first, lost, side="right") - 1
     new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(run, prepend=-1) != 0))
     start = at[new] - words.first[run[new]] + batch.column("at").to_numpy()[run[new]]
     keys = batch.column("key").combine_chunks().take(pa.array(run[new]))
     return pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int64()), pa.array(np.diff(np.append(new, len(at))), pa.int64())], names=["key", "start", "count"])
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
+def within(batch: pa.RecordBatch, words: Words, window: int, level: int, parts: tuple[int, ...]) -> np.ndarray | None:
+    """Windows whose groups were too large at every step before level; all (none) at the first."""
+    mask = None
+    for k in range(level):
+        runs = Runs(words, window, parts[k], mask)
+        large = listed(batch.column(f"large{k}"), runs.text, runs.anchor)
+        mask = np.zeros(len(words.hashes), dtype=bool)
+        mask[runs.starts(large)] = True
+    return mask
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, parts: tuple[int, ...] = PARTS, keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
     """One row per input row: id_col, keep, n_words, n_removed, kept (the words left, one space between them)."""
     bounded_batches(docs.sparkSession)
     carried = [f"keep_{k}" for k in range(len(keep))]
@@ -155,43 +208,53 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     id_type = rows.schema["id"].dataType.simpleString()
     known = rows.filter("id is not null").select("id", "key", "text")
     reps = known.groupBy("key").agg(F.min("id").alias("id"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            runs = Runs(Words(batch.column("text")), window, anchor)
-            text = pa.array(runs.text)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(text), batch.column("key").take(text), signed(runs.anchor), pa.array(runs.count)], names=["id", "key", "anchor", "n"])
-
-    # a text's runs of one anchor are one row; n counts the windows of all its copies
-    found = known.mapInArrow(find, f"id {id_type}, key binary, anchor long, n long").groupBy("anchor", "key").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
-    found = stored(found, "suffix-groups")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n")).filter("low < high").select("anchor", (F.col("n") > group).alias("large"))
-    groups = found.select("anchor", "key", "id").join(shared, "anchor").groupBy("key", "id").agg(
-        F.collect_list(F.when(~F.col("large"), F.col("anchor"))).alias("small"),
-        F.collect_list(F.when(F.col("large"), F.col("anchor"))).alias("large"),
-    )
-    groups = stored(groups, "suffix-groups")
+    each = range(len(parts))
+
+    def finder(level: int):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                words = Words(batch.column("text"))
+                runs = Runs(words, window, parts[level], within(batch, words, window, level, parts))
+                text = pa.array(runs.text)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(text), batch.column("key").take(text), signed(runs.anchor), pa.array(runs.count + window - 1)], names=["id", "key", "anchor", "n"])
+
+        return find
+
+    groups, texts = None, known
+    for level in each:
+        # a text's runs of one anchor are one row, and its copies count once
+        found = texts.mapInArrow(finder(level), f"id {id_type}, key binary, anchor long, n long").groupBy("anchor", "key", "id").agg(F.sum("n").alias("n")).groupBy("anchor", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+        found = stored(found, "suffix-groups")
+        shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n")).filter("low < high").select("anchor", (F.col("n") > group).alias("large"))
+        own = found.select("anchor", "key", "id").join(stored(shared, "shared"), "anchor").groupBy("key", "id").agg(
+            F.collect_list(F.when(~F.col("large"), F.col("anchor"))).alias(f"small{level}"),
+            F.collect_list(F.when(F.col("large"), F.col("anchor"))).alias(f"large{level}"),
+        )
+        groups = stored(own if groups is None else groups.join(own, ["key", "id"], "left"), "suffix-groups")
+        open_ = groups.filter(F.size(f"large{level}") > 0).select("key", "id", *(f"large{k}" for k in range(level + 1)))
+        texts = known.join(open_.hint("merge"), ["key", "id"])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of runs in small groups; names of windows in large ones."""
+        """Words of runs in groups that fit; digests of windows in others."""
         names = ["id", "key", "anchor", "at", "segment", "other"]
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
-            runs = Runs(words, window, anchor)
-            small = np.flatnonzero(listed(batch.column("small"), runs.text, runs.anchor))
-            for low in range(0, len(small), SENT):
-                own = small[low : low + SENT]
-                text = pa.array(runs.text[own])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(text), batch.column("key").take(text), signed(runs.anchor[own]), pa.array(runs.begin[own] - words.first[runs.text[own]]), segments(words, runs, own, window), pa.nulls(len(own), pa.int64())],
-                    names=names,
-                )
-            large = listed(batch.column("large"), runs.text, runs.anchor)
-            one, two = nodes_of(words, window, runs.starts(large))
-            text, n = pa.array(runs.texts(large)), len(one)
+            for level in each:
+                runs = Runs(words, window, parts[level], within(batch, words, window, level, parts))
+                small = np.flatnonzero(listed(batch.column(f"small{level}"), runs.text, runs.anchor))
+                for low in range(0, len(small), SENT):
+                    own = small[low : low + SENT]
+                    text = pa.array(runs.text[own])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(text), batch.column("key").take(text), signed(mix(runs.anchor[own] + np.uint64(level))), pa.array(runs.begin[own] - words.first[runs.text[own]]), segments(words, runs, own, window), pa.nulls(len(own), pa.int64())],
+                        names=names,
+                    )
+            starts = np.flatnonzero(within(batch, words, window, len(parts), parts))
+            one, two = nodes_of(words, window, starts)
+            text, n = pa.array(np.searchsorted(words.first, starts, side="right") - 1), len(one)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(text), pa.nulls(n, pa.binary()), signed(one), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), signed(two)], names=names)
 
-    deep = known.join(groups.hint("merge"), ["key", "id"]).select("id", "key", "text", "small", "large")
+    deep = known.join(groups.hint("merge"), ["key", "id"]).select("id", "key", "text", *(f"{x}{k}" for k in each for x in ("small", "large")))
     deep = stored(deep.mapInArrow(descend, f"id {id_type}, key binary, anchor long, at long, segment binary, other long"), "suffixes")
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,23 +277,25 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     lost = lost.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
     owned = deep.filter("segment is null").groupBy("anchor", "other").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("anchor").alias("nodes"))
 
-    fate = reps.withColumn("first", F.lit(True)).join(groups.select("key", "id", "large"), ["key", "id"], "left").join(lost, "key", "left").join(owned, "id", "left")
+    lists = [f"large{k}" for k in each]
+    fate = reps.withColumn("first", F.lit(True)).join(groups.select("key", "id", *lists), ["key", "id"], "left").join(lost, "key", "left").join(owned, "id", "left")
     fate = stored(fate, "suffix-fates")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in carried)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
-            runs = Runs(words, window, anchor)
             valid = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
             copy = valid & ~batch.column("first").fill_null(False).to_numpy(zero_copy_only=False)
+            place = np.arange(len(words.hashes))
+            fits = place + window <= np.repeat(words.first[1:], words.counts())
             starts, counts = (batch.column(c) for c in ("starts", "counts"))
             texts = np.repeat(np.arange(len(batch)), np.asarray(starts.value_lengths().fill_null(0)))
             begin, count = (np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=np.int64) for c in (starts, counts))
-            gone = [runs.starts(copy[runs.text]), spread(words.first[texts] + begin, count)]
-            large = listed(batch.column("large"), runs.text, runs.anchor)
-            maybe, texts = runs.starts(large), runs.texts(large)
+            gone = [place[fits & np.repeat(copy, words.counts())], spread(words.first[texts] + begin, count)]
+            maybe = np.flatnonzero(within(batch, words, window, len(parts), parts))
             if len(maybe):
+                texts = np.searchsorted(words.first, maybe, side="right") - 1
                 gone.append(maybe[~listed(batch.column("nodes"), texts, nodes_of(words, window, maybe)[0])])
             at, n = np.concatenate(gone), len(words.hashes)
             covered = np.cumsum(np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + window, minlength=n + 1)[: n + 1])[:n] > 0
@@ -241,7 +306,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 names=["id", *carried, "n_words", "n_removed", "kept"],
             )
 
-    judged = rows.join(fate.hint("merge"), ["key", "id"], "left").select("id", "text", *carried, "first", "large", "starts", "counts", "nodes")
+    judged = rows.join(fate.hint("merge"), ["key", "id"], "left").select("id", "text", *carried, "first", *lists, "starts", "counts", "nodes")
     out = judged.mapInArrow(judge, f"id {id_type}, {fields}n_words long, n_removed long, kept string")
     return out.select(F.col("id").alias(id_col), *(F.col(k).alias(c) for k, c in zip(carried, keep, strict=True)), "n_words", "n_removed", "kept")
 

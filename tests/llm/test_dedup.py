@@ -118,9 +118,9 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
-@pytest.mark.parametrize("group", [0, 150, substring.GROUP])
+@pytest.mark.parametrize("group", [0, 4000, substring.GROUP])
 def test_substrings(spark, docs, group):
-    """With all groups dealt by whole windows, with some, and with none."""
+    """With all groups dealt down to whole windows, with some, and with none."""
     rows = planted(5)
     got = {r.doc_id: r for r in substring.removed(docs(rows, True), group=group).collect()}
     assert len(got) == len(rows)
@@ -139,6 +139,53 @@ def test_substrings(spark, docs, group):
     assert substring.removed(docs([])).count() == 0
 
 
+def twin_words():
+    """Two words of 1,024 letters that polynomials with an odd base give one hash."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("group", [0, substring.GROUP])
+def test_long_words_are_compared_by_their_letters(spark, docs, group):
+    one, other = twin_words()
+    rest = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*rest[:5], x, *rest[6:]]) for x in (one, other)]
+    got = {r.doc_id: r.n_removed for r in substring.removed(docs(list(enumerate(texts))), group=group).collect()}
+    assert got == {0: 0, 1: 54}
+    bags = {r.doc_id: r.class_id for r in near_dup.classes(docs([(0, one), (1, other)])).collect()}
+    assert bags == {0: 0, 1: 1}
+
+
+def test_words_of_one_hash_have_names_of_their_own():
+    words = Words(pa.array(["aa bb aa cc bb dd"]))
+    words.hashes = np.array([7, 7, 7, 9, 7, 9], dtype=np.uint64)
+    names = substring.word_names(words)
+    assert [names.tolist().index(x) for x in names.tolist()] == [0, 1, 0, 3, 1, 5]
+
+
+def test_subtrees_have_the_deep_nodes_of_a_suffix_tree():
+    rnd = random.Random(4)
+    for _ in range(30):
+        texts = [[rnd.choice("abc" if rnd.random() < 0.02 else "a") for _ in range(rnd.choice([0, 3, 40, 120]))] for _ in range(4)]
+        window = rnd.choice([2, 7, 50])
+        words = Words(pa.array([" ".join(t) for t in texts]))
+        at, node, shared = substring.subtree(words, window)
+        flat = [x for t in texts for x in t]
+        stop = np.repeat(words.first[1:], words.counts())
+        want = {}
+        for i in range(len(flat)):
+            if i + window <= stop[i]:
+                want.setdefault(tuple(flat[i : i + window]), set()).add(i)
+        got = {}
+        for i, k in zip(at.tolist(), node.tolist(), strict=True):
+            got.setdefault(k, set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        for k in range(1, len(at)):
+            x, y = flat[at[k - 1] : stop[at[k - 1]]], flat[at[k] : stop[at[k]]]
+            real = next((j for j, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))  # noqa: B905
+            assert shared[k] == min(real, 2 * window) or (min(shared[k], real) >= window and shared[k] <= real)
+
+
 def test_rows_with_one_id_do_not_remove_each_other(spark, docs):
     text = " ".join(f"w{i}" for i in range(80))
     got = substring.removed(docs([(1, text), (1, text), (2, text)])).collect()
