@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The local folder of an application that names none.
+_OWN: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir. Only a session on one machine may name none; it gets a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="seqlab-shared-")
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="seqlab-shared-")
+        _OWN[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
