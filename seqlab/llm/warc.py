@@ -143,7 +143,8 @@ def refers(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, digest and refers_to of the pages whose payload a smaller page has. Pages: page_id, url, payload, digest."""
     keys = pages.filter(F.octet_length("payload") >= least).filter("page_id is not null").select("page_id", "digest")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
-    return keys.join(firsts, "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    # a table, so that Spark can split a digest that many pages have
+    return keys.join(stored(firsts, "firsts"), "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
