@@ -111,9 +111,18 @@ SPELLINGS = [
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"), ("http ", "https "),
 ]
 #: A line that begins with the word and two capitalised ones, before lower case.
-NAMED_HOLDER = r"(^|\n)[^\p{L}\p{N}\n]*[Cc]opyright (by )?\p{Lu}\p{Ll}+ \p{Lu}[^\n]{0,60}"
-#: A line that begins with the word or sign and a sign, a year, a place for them, or an organisation.
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*((copyright|©|\(c\))[^\p{L}\p{N}\n]*(c\)|[12][0-9]{3}|©|<|\[|\{)|copyright [^\n]{0,80}\b(authors|inc|llc|ltd|gmbh|corporation|foundation|developers)\b)[^\n]*"
+NAMED_HOLDER = r"(^|\n)[^\p{L}\p{N}\n]*([Pp]ortions )?[Cc]opyright (by )?\p{Lu}\p{Ll}+ \p{Lu}[^\n]{0,60}"
+#: How a statement begins: the word or sign, more than once or after "portions".
+STATED = r"(^|\n)[^\p{L}\p{N}\n]*(portions )?((copyright|©|\(c\))[^\p{L}\p{N}\n]*)+"
+#: A statement of years alone, with the holder on the line below and then an empty line.
+HOLDER_BELOW = STATED + r"[12][0-9]{3}[^\p{L}\n]*\n[^\p{L}\p{N}\n]*\p{L}[^\n]{0,60}\n[^\p{L}\p{N}\n]*\n"
+#: The word and two to four others alone on a line, before an empty line.
+PLAIN_HOLDER = r"(^|\n)[^\p{L}\p{N}\n]*(portions )?copyright (by )?\p{L}+( \p{L}+){1,3}[ \t\r]*\n[^\p{L}\p{N}\n]*\n"
+#: A line that begins so and goes on with a sign, a year or a place for them, or names an organisation.
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(portions )?(((copyright|©|\(c\))[^\p{L}\p{N}\n]*)+(c\)|[12][0-9]{3}|©|<|\[|\{)|copyright [^\n]{0,80}\b(authors|inc|llc|ltd|gmbh|corporation|foundation|developers)\b)[^\n]*"
+#: A first line that names the licence by its identifier, with text behind it.
+IDENTIFIER = r"^[^\p{L}\p{N}]*spdx-license-identifier:[^\n]*\n"
+LINES = (HOLDER_BELOW, PLAIN_HOLDER, COPYRIGHT_LINE)
 RESERVED = "all rights reserved"
 #: A first line that names the licence.
 HEADING = r"^[^\p{L}\p{N}]*(the )?(mit|isc|x11|expat|zlib|bsd|new bsd|modified bsd|revised bsd|simplified bsd|boost software|apache)\b[^\n]{0,60}licen[cs]e\b[^\n]{0,40}\n"
@@ -122,8 +131,10 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.lower(F.regexp_replace(text, F.lit(NAMED_HOLDER), F.lit("\n")))
-    out = F.replace(F.regexp_replace(out, F.lit(COPYRIGHT_LINE), F.lit("\n")), F.lit(RESERVED), F.lit(" "))
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, F.lit(NAMED_HOLDER), F.lit("\n"))), F.lit(IDENTIFIER), F.lit(""))
+    for line in LINES:
+        out = F.regexp_replace(out, F.lit(line), F.lit("\n"))
+    out = F.replace(out, F.lit(RESERVED), F.lit(" "))
     out = F.regexp_replace(F.regexp_replace(out, F.lit(HEADING), F.lit("")), F.lit(SEPARATORS), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -136,7 +147,10 @@ def digest(text: Column) -> Column:
 
 def digest_of(text: str) -> str:
     """The same in Python, for the fixed texts."""
-    text = regex.sub(COPYRIGHT_LINE, "\n", regex.sub(NAMED_HOLDER, "\n", text).lower()).replace(RESERVED, " ")
+    text = regex.sub(IDENTIFIER, "", regex.sub(NAMED_HOLDER, "\n", text).lower())
+    for line in LINES:
+        text = regex.sub(line, "\n", text)
+    text = text.replace(RESERVED, " ")
     text = regex.sub(SEPARATORS, " ", regex.sub(HEADING, "", text))
     for a, b in SPELLINGS:
         text = text.replace(a, b)
@@ -175,7 +189,10 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql(x: str) -> str:
     out = f"lower(regexp_replace({x}, '{NAMED_HOLDER}', chr(10), 'g'))"
-    out = f"replace(regexp_replace({out}, '{COPYRIGHT_LINE}', chr(10), 'g'), '{RESERVED}', ' ')"
+    out = f"regexp_replace({out}, '{IDENTIFIER}', '')"
+    for line in LINES:
+        out = f"regexp_replace({out}, '{line}', chr(10), 'g')"
+    out = f"replace({out}, '{RESERVED}', ' ')"
     out = f"regexp_replace(regexp_replace({out}, '{HEADING}', ''), '{SEPARATORS}', ' ', 'g')"
     for a, b in SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"

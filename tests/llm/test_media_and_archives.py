@@ -161,6 +161,13 @@ def test_registry_of_callers(spark, docs):
     assert got == {1: "House-1.0", 2: "MIT", 3: None, 4: "Empty"}
 
 
+@pytest.mark.parametrize("head", ["(c) Copyright 2020 A B\n\n", "Portions Copyright (c) 2020 A B\n\n", "Copyright (c) 2020\nJane Doe\n\n", "Copyright jane doe\n\n", "SPDX-License-Identifier: MIT\n\n", "/* SPDX-License-Identifier: MIT */\nCopyright (c) 2019, 2021\n  The Doe Family\n\n", "The MIT License (MIT)\n\nPortions Copyright jane m doe\n\n"])
+def test_copyright_statements(spark, docs, head):
+    body = licenses.MIT[licenses.MIT.index("Permission") :]
+    rows = [(1, head + body), (2, head + WRAPPED["MIT"][WRAPPED["MIT"].index("Permission") :]), (3, head + "Other words.")]
+    assert [r.licence for r in licenses.scan(docs(rows)).orderBy("doc_id").collect()] == ["MIT", "MIT", None]
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the distribution's licence texts are not here")
 def test_long_licences(spark, docs):
     names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
