@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.draws import lowest
+from ..sources.shared import fresh_path, stored
 
 #: Text bytes that a task holds as arrays at one time; one longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
@@ -19,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session on one machine may name none; it gets a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="seqlab-shared-")
-        _OWN[spark.sparkContext.applicationId] = path
-    return path.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a short lineage that outlives executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about limit bytes of the column and no more than so many rows, at least a row."""
     for batch in batches:
@@ -178,6 +155,12 @@ class Words:
         return [whole[a : max(a, b - 1)] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
+def sampled(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows with the smallest hashes of some columns, all if fewer: rows are counted by range of hashes, and only the range that the n-th lies in is sorted. df is best a table, it is read twice."""
+    out = lowest(df.withColumn("_draw", F.xxhash64(*by).bitwiseAND(F.lit(0xFFFFFFFF))), n, "_draw", list(by))
+    return out.drop("_draw")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes as well as rows, unless the session says otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, slices, stored, table, texts_of
+from .common import bounded_batches, mix, sampled, slices, stored, table, texts_of
 
 ORDER = 6
 #: Taken from each count of the shared model, and of a class's own weighted counts.
@@ -295,8 +295,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = No
     taught = texts(learn_from if learn_from is not None else docs).join(known.hint("merge"), "id")
     entries = stored(ratios(counted(taught.filter(part(F.col("id")) != 3))), "ratios")
     model = held(entries)
-    seen = evidence(taught.filter(part(F.col("id")) == 3), model, entries, ["id", "toxic"])
-    sample = seen.orderBy(F.xxhash64("id"), "id", "n").limit(CALIBRATION_ROWS).select(F.array(*inputs()).alias("x"), "toxic").toArrow()
+    seen = stored(evidence(taught.filter(part(F.col("id")) == 3), model, entries, ["id", "toxic"]), "calibration")
+    sample = sampled(seen, CALIBRATION_ROWS, "id", "n", "total").orderBy(F.xxhash64("id"), "id", "n").select(F.array(*inputs()).alias("x"), "toxic").toArrow()
     y = sample.column("toxic").to_numpy().astype(np.float64)
     if len(y) and 0 < y.sum() < len(y):
         weights = fitted(np.array(sample.column("x").to_pylist()), y)
