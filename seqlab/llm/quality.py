@@ -2,8 +2,9 @@
 
 The text view holds what a text says and looks like: how much its words and its pairs of neighbouring
 words are those of good documents (mean log-odds from counts of hashed words), the mix of byte kinds,
-words' lengths, how many words are new. The page view holds the source and the language. They share no
-feature, and neither reads n_chars.
+words' lengths, how many words are new. The page view holds how much the source and the language are those
+of good documents: log-odds from a table with a row for each value, joined, so there may be any number of
+them. The views share no feature, and neither reads n_chars.
 
 The views each have a logistic model, at first of labelled documents alone. In each round both models
 label all unlabelled documents, and those a model is surest of teach the other one: Spark sums their
@@ -13,7 +14,7 @@ Then each view is calibrated on labelled documents that neither learned from, an
 log-odds are combined, again on these. All documents get a score; a document is kept if it reaches a
 threshold.
 
-Word counts come from all labelled documents of the learning part. A document of one half of that part
+Word and metadata counts come from all labelled documents of the learning part. A document of one half of that part
 is rated by the counts of the other half, so that no document rates itself. SAMPLE bounds the labelled
 documents that the models' first fit, their steps and the calibration see, taken by a hash of the id.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, bounded_batches, mix, slices, stored, table
+from .common import BASE, Words, bounded_batches, mix, sampled, slices, stored, table
 from .toxicity import fitted, part
 
 #: Bound of the labelled sample.
@@ -44,8 +45,8 @@ SURE = 0.95
 THRESHOLD = 0.5
 #: Slots of hashed words and of hashed word pairs (bits), and the count added to each label's.
 SLOT_BITS, ADDED = 17, 1.0
-#: Slots of the one-hot coded source and language.
-SOURCES, LANGUAGES = 64, 16
+#: What the page view reads.
+METADATA = ("source", "language")
 RIDGE = 1.0
 
 KINDS = {
@@ -118,12 +119,28 @@ def text_view(column: pa.Array, odds: np.ndarray, half: np.ndarray) -> np.ndarra
 
 
 def page_view(source: np.ndarray, language: np.ndarray) -> np.ndarray:
-    """Features of metadata: slots of source and language."""
-    return np.column_stack([np.ones(len(source)), np.eye(SOURCES)[source], np.eye(LANGUAGES)[language]])
+    """Features of metadata: log-odds of source and language."""
+    return np.column_stack([np.ones(len(source)), 2 * np.tanh(source), 2 * np.tanh(language)])
 
 
-def slot(c: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(n)).cast("int")
+def metadata_odds(taught: DataFrame, column: str) -> DataFrame:
+    """column and odds, an array: how much its value stands for good documents by the counts of half 1 (for half 0), of half 0 (for half 1) and of both. A value's odds are held back by ADDED documents of the usual odds."""
+    of = lambda *on: F.count_if(on[0]) if len(on) == 1 else F.count_if(on[0] & on[1])
+    good, one = F.col("good") > 0, F.col("half") == 1
+    counts = taught.groupBy(column).agg(of(good, ~one).alias("g0"), of(~good, ~one).alias("b0"), of(good, one).alias("g1"), of(~good, one).alias("b1"))
+    counts = stored(counts, "metadata")
+    g0, b0, g1, b1 = (x or 0 for x in counts.agg(*(F.sum(c) for c in ("g0", "b0", "g1", "b1"))).first())
+    usual = (g0 + g1 + ADDED) / (g0 + g1 + b0 + b1 + 2 * ADDED)
+    odds = [F.log(g + F.lit(ADDED * usual)) - F.log(b + F.lit(ADDED * (1 - usual))) - F.lit(float(np.log(usual / (1 - usual)))) for g, b in ((F.col("g1"), F.col("b1")), (F.col("g0"), F.col("b0")), (F.col("g0") + F.col("g1"), F.col("b0") + F.col("b1")))]
+    return stored(counts.select(column, F.array(*odds).alias("odds")), "metadata")
+
+
+def with_metadata(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """rows with each column of the tables replaced by its value's log-odds, by the row's half; values without labels have none."""
+    for column, odds in tables.items():
+        known = odds.select(F.col(column).alias("_value"), F.col("odds").alias("_odds"))
+        rows = rows.join(known, F.col(column) == F.col("_value"), "left").withColumn(column, F.coalesce(F.element_at("_odds", F.col("half") + 1), F.lit(0.0))).drop("_value", "_odds")
+    return rows
 
 
 def half_of(id_col: Column) -> Column:
@@ -236,26 +253,27 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     others = [c for c in carry if c != id_col]
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), half_of(F.col(id_col)).alias("half"),
-        slot(source_col, SOURCES).alias("source"), slot(lang_col, LANGUAGES).alias("language"), *(F.col(c).alias(f"keep_{k}") for k, c in enumerate(others)),
+        *(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(m) for c, m in zip((source_col, lang_col), METADATA, strict=True)), *(F.col(c).alias(f"keep_{k}") for k, c in enumerate(others)),
     )
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (part(F.col(id_col)) != 2)).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("double")).alias("good"))
     plain = rows.select("id", "text", "half", "source", "language")
     taught = plain.filter("half < 2").join(known.hint("merge"), "id")
     odds = log_odds(word_counts(taught))
+    tables = {m: metadata_odds(taught, m) for m in METADATA}
     # all rows' features, some 200 bytes each, in place of their texts
-    seen = stored(featured(plain, odds, ["id", "source", "language"]), "quality-views").join(known.hint("merge"), "id", "left")
-    seen = stored(seen.select("id", "a", "source", "language", "good"), "quality-views")
-    chosen = seen.filter("good is not null").withColumn("part", part(F.col("id"))).orderBy(F.xxhash64("id"), "id", F.xxhash64("a")).limit(SAMPLE)
-    sample = chosen.select("a", "source", "language", "good", "part").toArrow()
+    seen = with_metadata(stored(featured(plain, odds, ["id", "half", *METADATA]), "quality-views"), tables).join(known.hint("merge"), "id", "left")
+    seen = stored(seen.select("id", "a", *METADATA, "good"), "quality-views")
+    chosen = sampled(seen.filter("good is not null"), SAMPLE, "id", "a").withColumn("part", part(F.col("id"))).orderBy(F.xxhash64("id"), "id", F.xxhash64("a"))
+    sample = chosen.select("a", *METADATA, "good", "part").toArrow()
     views, y, fold = views_of(sample), sample.column("good").to_numpy(), sample.column("part").to_numpy()
     learn, fit = fold < 2, fold == 3
     judge = Judge(float(y.mean()) if len(y) else 1.0)
     if all(0 < y[m].sum() < m.sum() for m in (learn, fit)):
-        weights = co_trained([v[learn] for v in views], y[learn], seen.filter("good is null").select("a", "source", "language"), rounds)
+        weights = co_trained([v[learn] for v in views], y[learn], seen.filter("good is null").select("a", *METADATA), rounds)
         judge = Judge(judge.share, weights, [v[fit] for v in views], y[fit])
 
     carried = ["id", *(f"keep_{k}" for k in range(len(others)))]
-    scored = featured(rows, odds, [*carried, "source", "language"])
+    scored = with_metadata(featured(rows, odds, [*carried, "half", *METADATA]), tables)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,11 +167,11 @@ def test_co_training_round_equals_brute_force(spark):
     """One exchange on a table equals the same on arrays; the step then zeroes the gradient of the weighted examples."""
     rng = np.random.default_rng(4)
     a = np.column_stack([np.ones(400), rng.normal(size=(400, 3))])
-    source, language = rng.integers(0, quality.SOURCES, 400), rng.integers(0, quality.LANGUAGES, 400)
-    y = (a[:60, 1] + (source[:60] > 30) > 0.3).astype(float)
+    source, language = rng.normal(size=400), rng.normal(size=400)
+    y = (a[:60, 1] + (source[:60] > 0) > 0.3).astype(float)
     views = [a, quality.page_view(source, language)]
     weights = [quality.fitted(v[:60], y, quality.RIDGE) for v in views]
-    pool = spark.createDataFrame([(x.tolist(), int(s), int(n)) for x, s, n in zip(a[60:], source[60:], language[60:], strict=True)], "a array<double>, source int, language int")
+    pool = spark.createDataFrame([(x.tolist(), float(s), float(n)) for x, s, n in zip(a[60:], source[60:], language[60:], strict=True)], "a array<double>, source double, language double")
     got = quality.pooled(pool, weights, 0.7)
     after = quality.co_trained([v[:60] for v in views], y, pool, rounds=1, sure=0.7)
     for mine, other in ((0, 1), (1, 0)):
@@ -210,6 +210,24 @@ def test_quality_views_and_labels(spark, docs):
     assert np.mean([(s >= 0.5) == (i % 3 > 0) for i, s in out[0].items()]) > 0.95
 
 
+def test_the_page_view_teaches_where_metadata_tells(spark, docs):
+    """Hundreds of sources, each of one quality: the page view alone rates documents of known sources."""
+    rnd = np.random.default_rng(0).integers(0, 300, 3000).tolist()  # not by id: its checksums go with its digits
+    rows = [(i, f"same words in every text {i % 7}", f"host-{h}") for i, h in enumerate(rnd)]
+    table_ = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    y = spark.createDataFrame([(i, h % 2, 0) for i, h in enumerate(rnd) if i % 4], "doc_id long, quality int, toxic int")
+    got = quality.scores(table_, y).collect()
+    assert np.mean([(r.score_page >= 0.5) == bool(rnd[r.doc_id] % 2) for r in got if r.held_out]) > 0.9
+    assert np.mean([r.keep == bool(rnd[r.doc_id] % 2) for r in got]) > 0.9
+
+
+def test_samples_are_the_rows_with_the_smallest_hashes(spark):
+    df = spark.range(5000).selectExpr("id", "id % 10 as x")
+    want = {r.id for r in df.orderBy(F.xxhash64("id", "x").bitwiseAND(F.lit(0xFFFFFFFF)), "id").limit(300).collect()}
+    assert {r.id for r in quality.sampled(df, 300, "id", "x").collect()} == want
+    assert quality.sampled(df, 9000, "id", "x").count() == 5000
+
+
 def test_pipeline_edges(spark, docs, tmp_path):
     """Nulls, repeats and clashing columns pass all stages; an empty table gives no sequences."""
     text = " ".join(f"w{i}" for i in range(90))
