@@ -112,16 +112,19 @@ class Words:
         while at < len(self.begin):  # in blocks of words, so that many words need no more memory than few
             stop = max(at + 1, int(np.searchsorted(self.end, self.begin[at] + BATCH_BYTES, side="right")))
             begin, size = self.begin[at:stop], self.end[at:stop] - self.begin[at:stop]
-            for low in range(0, int(size[0]) if stop == at + 1 else 1, BATCH_BYTES):  # one long word in parts
-                part = np.minimum(size - low, BATCH_BYTES) if stop == at + 1 else size
-                chunks = (part + 7) // 8
-                first = np.cumsum(chunks) - chunks
-                turn = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
-                left = np.minimum(np.repeat(part, chunks) - 8 * turn, 8)
-                chunk = eight[np.repeat(begin + low, chunks) + 8 * turn] & MASKS[left]
-                turn = (turn + low // 8 + 1).astype(np.uint64) * np.uint64(BASE)
-                self.hashes[at:stop] += np.add.reduceat(mix(mix(chunk) + turn), first)
-            self.hashes[at:stop] = mix(self.hashes[at:stop] + size.astype(np.uint64))
+            own = mix(eight[begin] & MASKS[np.minimum(size, 8)])
+            for low in range(8, int(size[0]) if stop == at + 1 else 9, BATCH_BYTES):  # one long word in parts
+                long = np.flatnonzero(size > low)
+                if len(long):
+                    part = np.minimum(size[long] - low, BATCH_BYTES) if stop == at + 1 else size[long] - low
+                    chunks = (part + 7) // 8
+                    first = np.cumsum(chunks) - chunks
+                    turn = np.arange(int(chunks.sum())) - np.repeat(first, chunks)
+                    left = np.minimum(np.repeat(part, chunks) - 8 * turn, 8)
+                    chunk = mix(eight[np.repeat(begin[long] + low, chunks) + 8 * turn] & MASKS[left])
+                    turn = (turn + low // 8).astype(np.uint64) * np.uint64(BASE)
+                    own[long] += np.add.reduceat(mix(chunk + turn), first)
+            self.hashes[at:stop] = mix(own + size.astype(np.uint64))
             at = stop
 
     def counts(self) -> np.ndarray:
