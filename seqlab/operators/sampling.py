@@ -49,13 +49,14 @@ def sample_curated(df: DataFrame, k: int, seq: str = "seq_id", pos: str = "pos")
 STRATEGIES = {"uniform": lambda df, k, seed: sample_uniform(df, k), "random": sample_random, "curated": lambda df, k, seed: sample_curated(df, k)}
 
 
-def sample_per_sequence(df: DataFrame, k: int | None, strategy: str = "uniform", seed: int = 0) -> DataFrame:
-    """k items of each sequence by a named strategy; no k keeps all."""
+def sample_per_sequence(df: DataFrame, k: int | None, strategy: str = "uniform", seed: int = 0, selectors: dict | None = None) -> DataFrame:
+    """k items of each sequence by a named strategy, of STRATEGIES or of a caller's selectors (df, k, seed) -> df; no k keeps all."""
     if k is None:
         return df
-    if strategy not in STRATEGIES:
+    known = STRATEGIES | (selectors or {})
+    if strategy not in known:
         raise ValueError(f"no strategy {strategy}")
-    return STRATEGIES[strategy](df, k, seed)
+    return known[strategy](df, k, seed)
 
 
 def stride_sample(df: DataFrame, stride: int, seq: str = "seq_id", pos: str = "pos") -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import experiments, ingest, sampling, sequence
 from ..sources import bindings as B
 from ..sources import files
+from ..sources.shared import fresh_path
 from .common import Registry
 
 R = Registry()
@@ -68,6 +69,70 @@ def s11(spark, d):
     return files.list_annotations([layout(0, "masks/"), layout(1, "extra/")], known)[1]
 
 
+@R.add("s11_three_layouts", "select lang as split, case doc_id % 3 when 0 then 'masks' else 'extra' end as layout, count(*) as n from documents where doc_id % 3 in (0, 1) group by all union all select lang, 'named', count(*) from (select distinct source, lang from documents where doc_id % 3 = 2) group by 1")
+def s11b(spark, d):
+    """All three layouts: masks with a position in their names, of two folders, and masks that are named by their sequence."""
+    items = B.inventory(spark, d)
+    layout = lambda k, folder: items.filter(f"pos % 3 = {k}").select("seq_id", "pos", F.col("orig_split").alias("split"), F.concat(F.lit(folder), F.lit("/"), "path").alias("path"))
+    info = items.filter("pos % 3 = 2").select("seq_id", F.col("orig_split").alias("split"), "pos")
+    names = info.select("seq_id", "split").distinct().withColumn("path", F.concat_ws("/", F.lit("named"), "split", "seq_id"))
+    found, _ = files.list_annotations([layout(0, "masks"), layout(1, "extra"), files.located(names, info)], items)
+    return found.groupBy("split", F.split("path", "/")[0].alias("layout")).agg(F.count("*").alias("n"))
+
+
+# --- files written to shared storage and read again -----------------------------------------------
+
+
+@R.add("s2_read_labels_csv", "select cast(doc_id as varchar) as filename, cast(quality as varchar) as label, 'utf-8' as encoding from labels")
+def s2(spark, d):
+    path = fresh_path(spark, "labels")
+    load(spark, d, "labels").select(F.col("doc_id").alias("filename"), F.col("quality").alias("label")).write.csv(path, header=True)
+    table, found = files.read_labels_csv(spark, path)
+    return table.withColumn("encoding", F.lit(found))
+
+
+@R.add("s4_write_index", f"with {B.INVENTORY}, y as (select doc_id as pos, quality from labels) select orig_split, count(*) as items, count(quality) as labelled, min(pos) as first, max(pos) as last from inventory left join y using (pos) group by 1")
+def s4(spark, d):
+    path = fresh_path(spark, "index")
+    items = B.inventory(spark, d).join(B.partial_labels(spark, d).select("seq_id", "pos", "label"), ["seq_id", "pos"], "left")
+    files.write_index(items, path)
+    return spark.read.parquet(path).groupBy("orig_split").agg(F.count("*").alias("items"), F.count("label").alias("labelled"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@R.add("s7_splits", f"with {B.STUDY} select distinct seq_id, orig_split as split from study")
+def s7(spark, d):
+    path = fresh_path(spark, "splits")
+    files.write_splits(study(spark, d).select("seq_id", F.col("orig_split").alias("split")).distinct(), path)
+    return files.read_splits(spark, path)
+
+
+@R.add("s8_read_runs_files", f"with {B.GRID} select condition || '-' || seed as run, condition, n_train, seed, model, variant, macro_f1, balanced_accuracy, f1 from runs", "macro_f1 balanced_accuracy f1")
+def s8b(spark, d):
+    """Run results as nested JSON files, read by folder."""
+    path = fresh_path(spark, "runs")
+    nested = B.grid_runs(spark, d).select(
+        F.concat_ws("-", "condition", "seed").alias("run"), F.struct(F.col("condition").alias("name"), F.col("n_train")).alias("condition"), "seed", F.col("model").alias("model_type"),
+        F.create_map(F.col("variant"), F.create_map(*(x for m in ("macro_f1", "balanced_accuracy", "f1") for x in (F.lit(m), F.col(m))))).alias("results"),
+    )
+    nested.repartition(F.col("run")).write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_runs(spark, path).drop("auroc", "auprc")
+
+
+@R.add("s9_predictions", f"with {B.STUDY} select run, count(*) as n, sum(label)::bigint as positives, avg(prob) as mean from (select 'a' as run, label, prob from study where orig_split = 'test' union all select 'b', label, prob_b from study where orig_split = 'test') group by 1", "mean")
+def s9(spark, d):
+    path, s = fresh_path(spark, "predictions"), study(spark, d).filter("orig_split = 'test'")
+    part = lambda run, p: s.select(F.lit(run).alias("run"), "seq_id", "pos", "label", F.col(p).alias("prob"))
+    files.write_predictions(part("a", "prob").unionByName(part("b", "prob_b")), path)
+    return files.read_predictions(spark, path).groupBy("run").agg(F.count("*").alias("n"), F.sum("label").alias("positives"), F.avg("prob").alias("mean"))
+
+
+@R.add("s10_report", f"with {B.STUDY} select orig_split, count(*) as n, sum(label)::bigint as positives from study group by 1")
+def s10(spark, d):
+    path = fresh_path(spark, "report")
+    files.write_report(study(spark, d).groupBy("orig_split").agg(F.count("*").alias("n"), F.sum("label").alias("positives")), path)
+    return spark.read.schema("orig_split string, n long, positives long").json(path)
+
+
 _NAMED = ", ".join(f"('{c.name}', {'null' if c.k is None else c.k})" for c in sampling.CONDITIONS)
 
 

@@ -679,6 +679,36 @@ def x3(spark, d):
     return study(spark, d).select("event_id", *C.combined(F.col("prob"), F.col("prob_b"), {"max": F.greatest}))
 
 
+@R.add("x1_custom_selector", f"with {TRAIN} select seq_id, pos from (select *, row_number() over (partition by seq_id order by prob desc, pos) as r from study) where r <= 3")
+def x1(spark, d):
+    """A selector of a caller: the k items with the highest scores."""
+    top = lambda df, k, seed: df.withColumn("_r", F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("prob"), "pos"))).filter(F.col("_r") <= k).drop("_r")
+    return sampling.sample_per_sequence(study(spark, d), 3, "top_scores", selectors={"top_scores": top}).select("seq_id", "pos")
+
+
+@R.add("x4_custom_objective", f"with {STUDY} select orig_split, t as threshold, v as recall_first from (select *, row_number() over (partition by orig_split order by v desc, k) as r from (select orig_split, k, t, case when tp + fn > 0 then tp / (tp + fn) else 0 end + (case when tp + fp > 0 then tp / (tp + fp) else 0 end) / 2 as v from ({counts_sql('prob >= t', f'study, {GRID100}', 'orig_split, k, t')}))) where r = 1", "threshold recall_first")
+def x4(spark, d):
+    return metrics.pick_threshold(study(spark, d), ["orig_split"], "recall_first", {"recall_first": "recall + precision / 2"})
+
+
+_ENS = "(values ('low', 0), ('low', 1), ('all', 0), ('all', 1), ('all', 2), ('all', 3)) as n(ensemble, member)"
+
+
+@R.add("x7_named_ensembles", f"""with m as (select vec_id, member, i - 1 as klass, cast(embedding[i + 16 * member] as double) as p from embeddings, range(1, 17) a(i), range(4) b(member)), a as (select ensemble, vec_id, klass, avg(p) as p from m join {_ENS} using (member) group by all),
+r as (select *, row_number() over (partition by ensemble, vec_id order by p desc, klass) as r from a) select ensemble, vec_id, cast(klass as integer) as winner, p from r where r = 1""", "p")
+def x7(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "p"))
+    arms = e.select("vec_id", F.concat(F.lit("arm"), F.floor(F.col("i") / 16).cast("string")).alias("arm"), (F.col("i") % 16).alias("klass"), F.col("p").cast("double").alias("p"))
+    named = experiments.ensemble_members(arms, {"low": ["arm0", "arm1"], "all": ["arm0", "arm1", "arm2", "arm3"], "beyond": ["arm0", "arm9"]})
+    best = named.groupBy("ensemble", "vec_id", "klass").agg(F.avg("p").alias("p")).groupBy("ensemble", "vec_id").agg(F.max_by("klass", F.struct(F.col("p"), -F.col("klass"))).alias("winner"), F.max("p").alias("p"))
+    return best
+
+
+@R.add("x7_named_pairs", f"with {B.GRID}, n(dense_name, sparse_name) as (values ('k20', 'k1'), ('k5', 'k1')), p as (select dense_name, sparse_name, a.f1 - b.f1 as delta from n join runs a on a.condition = dense_name join runs b on b.condition = sparse_name and a.seed = b.seed) select dense_name, sparse_name, count(*) as n, avg(delta) as mean, coalesce(stddev(delta), 0) as std, count(*) filter (where delta > 0) as wins, count(*) filter (where delta < 0) as losses from p group by 1, 2", "mean std")
+def x7b(spark, d):
+    return experiments.pair_deltas(B.grid_runs(spark, d), "f1", [("k20", "k1"), ("k5", "k1")])
+
+
 # --- the model step -------------------------------------------------------------------------------
 
 

@@ -82,12 +82,13 @@ def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.metrics import confusion_metrics
 
     s = study(spark, sf_dir)
-    settings = spark.createDataFrame([(k, seed) for k in (1, 5, 20) for seed in (0, 1, 2)], "k int, seed int")
-    train = s.filter("orig_split = 'train'").select("seq_id", "pos", "prob")
-    ranked = train.crossJoin(F.broadcast(settings))
+    ks = (1, 5, 20)
+    train = s.filter("orig_split = 'train'").select("seq_id", "pos", "prob", F.explode(F.array(*map(F.lit, range(3)))).alias("seed"))
+    # a rank depends on the seed alone; each density takes a part of it
+    w = Window.partitionBy("seed", "seq_id").orderBy("h", "pos")
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.lit("run"), F.col("seq_id").cast("string"), F.col("pos").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    w = Window.partitionBy("k", "seed", "seq_id").orderBy("h", "pos")
-    picked = ranked.withColumn("h", h).withColumn("r", F.row_number().over(w)).filter("r <= k")
+    ranked = train.withColumn("h", h).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(ks))
+    picked = ranked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("r <= k")
     thresholds = picked.groupBy("k", "seed").agg(F.round(F.avg("prob"), 9).alias("threshold"), F.count("*").alias("n_train"))
     test = s.filter("orig_split = 'test'").select("label", "prob").crossJoin(F.broadcast(thresholds))
     count = lambda c: F.sum(c.cast("long"))

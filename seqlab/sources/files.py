@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_id
 from ..operators.ingest import IngestError
 from ..operators.sampling import Condition
+from .shared import fresh_path
 
 # Encodings to try, in order (Spark's name behind each).
 ENCODINGS = [("utf-8", "UTF-8"), ("utf-8-sig", "UTF-8"), ("gb18030", "GB18030"), ("big5", "Big5"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1")]
@@ -47,33 +49,74 @@ def read_items(spark: SparkSession, root: str) -> DataFrame:
     return items
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding of the list that all of the file's bytes are valid in; an executor looks, the driver gets the name."""
-    names = [name for name, _ in ENCODINGS if not name.startswith("utf-8")]
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file as bytes. Spark cuts files of any size into ranges; no encoding of the list has a line break inside a character, so no character is cut."""
+    return spark.read.text(path, lineSep="\n").select(F.col("value").cast("binary").alias("raw"))
+
+
+def fitting_encoding(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The first encoding of the list that all of the file's bytes are valid in, and whether a quoted cell goes over a line break. Every task tries its lines; the driver gets a row of flags."""
+    names = [name for name, _ in ENCODINGS if name != "utf-8-sig"]
 
-    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits, odd = dict.fromkeys(names, True), False
         for batch in batches:
-            found = []
-            for raw in batch.column("content").to_pylist():
-                found.append("utf-8-sig" if raw.startswith(b"\xef\xbb\xbf") else next(name for name in ["utf-8", *names] if decodes(raw, name)))
-            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["encoding"])
+            lines = batch.column("raw").to_pylist()
+            odd = odd or any(x.count(b'"') % 2 for x in lines)
+            whole = b"\n".join(lines)
+            for name in names:
+                if fits[name]:
+                    try:
+                        whole.decode(name)
+                    except UnicodeDecodeError:
+                        fits[name] = False
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*fits.values(), odd)], names=[*(f"fits{k}" for k in range(len(names))), "odd"])
+
+    flags = raw_lines(spark, path).mapInArrow(judged, ", ".join(f"fits{k} boolean" for k in range(len(names))) + ", odd boolean")
+    row = flags.agg(*(F.bool_and(f"fits{k}").alias(f"fits{k}") for k in range(len(names))), F.bool_or("odd").alias("odd")).first()
+    found = next(name for k, name in enumerate(names) if row[f"fits{k}"] is not False)
+    return "utf-8-sig" if found == "utf-8" and has_mark(spark, path) else found, bool(row["odd"])
+
+
+def has_mark(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins with a byte order mark. Spark's reader leaves it out, so the file is longer than its lines by more than a last line break."""
+    lines = spark.read.text(path, lineSep="\n").select("_metadata.file_path", "_metadata.file_size", (F.octet_length("value") + 1).alias("n"))
+    sizes = lines.groupBy("file_path").agg((F.max("file_size") - F.sum("n")).alias("more"))
+    return bool(sizes.agg(F.max("more") >= 2).first()[0])
 
-    def decodes(raw: bytes, name: str) -> bool:
-        try:
-            raw.decode(name)
-        except UnicodeDecodeError:
-            return False
-        return True
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(fitting, "encoding string").first()[0]
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    return fitting_encoding(spark, path)[0]
 
 
-def read_labels_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """The table and the encoding that fitted."""
-    found = detect_encoding(spark, path)
-    if found in ("gb18030", "big5"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.csv(path, header=True, encoding=dict(ENCODINGS)[found], multiLine=True), found
+def read_labels_csv(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[DataFrame, str]:
+    """The table, all columns text, and the encoding that fitted, or the one that is given.
+
+    Lines are decoded where they are read, so a file may have any size. Where a quoted cell goes over a line
+    break, Spark reads each file as a whole. Files of a folder have the same header; lines like it are headers.
+    """
+    found, broken = fitting_encoding(spark, path)
+    found = encoding or found
+    if found not in dict(ENCODINGS):
+        raise IngestError(f"encoding is one of {[name for name, _ in ENCODINGS]}")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [x.decode("utf-8-sig" if found.startswith("utf-8") else found).rstrip("\r") for x in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["line"])
+
+    lines = raw_lines(spark, path).mapInArrow(decoded, "line string").filter("line <> ''")
+    if broken:
+        folder = fresh_path(spark, "decoded")
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("content").alias("raw")).mapInArrow(decoded, "line string")
+        whole.write.option("lineSep", "\n").text(folder)
+        return spark.read.csv(folder, header=True, multiLine=True), found
+    first = lines.first()
+    if first is None:
+        raise IngestError(f"no lines under {path}")
+    names = next(csv.reader([first["line"]]))
+    cells = F.from_csv("line", ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    return lines.filter(F.col("line") != first["line"]).select(cells.alias("cells")).select("cells.*"), found
 
 
 def union_label_files(tables: dict[str, DataFrame]) -> DataFrame:
@@ -166,6 +209,12 @@ def list_annotations(layouts: list[DataFrame], known: DataFrame) -> tuple[DataFr
     return marked.filter("_known").drop("_known"), marked.groupBy("split").agg(F.sum(F.col("_known").isNull().cast("long")).alias("unmatched"))
 
 
+def located(names: DataFrame, info: DataFrame) -> DataFrame:
+    """The layout whose files are named by the sequence alone: names (seq_id, split, path) with the position that info (seq_id, split, pos) has for the sequence; null where it has none. Of several the smallest."""
+    place = info.groupBy("seq_id", "split").agg(F.min("pos").alias("pos"))
+    return names.join(place, ["seq_id", "split"], "left").select("seq_id", "pos", "split", "path")
+
+
 def conditions_table(spark: SparkSession, conditions: list[Condition]) -> DataFrame:
     rows = [(c.name, c.k, c.strategy, c.stride, c.budget, c.budget_unit, c.target_pos_rate) for c in conditions]
     return spark.createDataFrame(rows, "name string, k int, strategy string, stride int, budget int, budget_unit string, target_pos_rate double")

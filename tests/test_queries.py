@@ -58,6 +58,36 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.variant, r.f1) for r in files.read_runs(spark, f"file://{tmp_path}/runs").collect()) == [("raw", 0.5), ("smoothed", 0.25)]
 
 
+@pytest.mark.parametrize("size", ["17b", "128m"])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "gb18030", "big5", "cp1252", "latin-1"])
+def test_label_files_in_ranges(spark, tmp_path, encoding, size):
+    """Ranges of 17 bytes: their borders lie inside characters, cells and line breaks."""
+    words = {"cp1252": "naïve “quoted”", "latin-1": "caf\xe9 \x81"}.get(encoding, "视频影片中文")
+    if encoding == "big5":
+        words = "影片中文"
+    rows = [(f"{words}{i}", str(i % 2), f"a,{words}") for i in range(300)]
+    text = "filename,label,note\r\n" + "".join(f'{a},{b},"{c}"\r\n' for a, b, c in rows)
+    (tmp_path / "labels.csv").write_bytes(text.encode(encoding))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        table, found = files.read_labels_csv(spark, f"file://{tmp_path}/labels.csv", "big5" if encoding == "big5" else None)  # its bytes are valid in gb18030 too, which comes first
+        assert found == encoding
+        got = [tuple(r) for r in table.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(got) == sorted(rows)
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "labels.csv").write_bytes('filename,label\n"视\n频",1\nb,0\n'.encode("gb18030"))
+    table, found = files.read_labels_csv(spark, f"file://{tmp_path}/labels.csv")
+    assert found == "gb18030" and sorted(map(tuple, table.collect())) == [("b", "0"), ("视\n频", "1")]
+    with pytest.raises(ingest.IngestError, match="encoding is one of"):
+        files.read_labels_csv(spark, f"file://{tmp_path}/labels.csv", "ebcdic")
+
+
 def test_join_gate(spark):
     items = spark.createDataFrame([("a", 0, "train"), ("b", 0, "train")], "seq_id string, pos int, orig_split string")
     labels = spark.createDataFrame([("a", 0, 1)], "seq_id string, pos int, label int")
