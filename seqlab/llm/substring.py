@@ -138,11 +138,10 @@ def word_names(words: Words) -> np.ndarray:
     return np.array([names.setdefault(w, len(names)) for w in words.of(np.arange(len(name)))], dtype=np.int64)
 
 
-def subtree(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a group's texts, suffixes of at least window words in order: places of their first words, the deep node each is below (numbered in order) and how many words it shares with the one before (capped at twice the window).
+def subtree(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a group's texts, suffixes of at least window words in order: places of their first words, the deep node each is below (numbered in order) and ranks of all places by 1, 2, 4, ... words.
 
-    Suffixes are sorted by doubling; ranks of 1, 2, 4, ... words give the shared length of neighbours. A deep
-    internal node of the suffix tree is a stretch of neighbours that share window words or more.
+    Suffixes are sorted by doubling. A deep internal node of the suffix tree is a stretch of neighbours that share window words or more.
     """
     stop = np.repeat(words.first[1:], words.counts())
     n = len(stop)
@@ -154,21 +153,27 @@ def subtree(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         span *= 2
     at = np.flatnonzero(left >= window)
     if not len(at):
-        return at, at, at
+        return at, at, ranks
     order = np.lexsort((ranks[-1][at + window - span], ranks[-1][at]))
     at = at[order]
-    a, b, shared = at[:-1].copy(), at[1:].copy(), np.zeros(len(at) - 1, dtype=np.int64)
-    for _ in range(2):  # each time at most 2 * span - 1 words
+    new = np.diff(ranks[-1][at], prepend=-1) != 0
+    new |= np.diff(ranks[-1][at + window - span], prepend=-1) != 0
+    return at, np.cumsum(new) - 1, ranks
+
+
+def shared_words(words: Words, at: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """How many words each suffix at those places shares with the one before, by its ranks (the depth of their node in the suffix tree); 0 for the first."""
+    stop = np.repeat(words.first[1:], words.counts())
+    a, b, out = at[:-1].copy(), at[1:].copy(), np.zeros(max(len(at) - 1, 0), dtype=np.int64)
+    live = np.arange(len(out))
+    while len(live):
+        before = out[live].copy()
         for k in range(len(ranks) - 1, -1, -1):
-            inside = (a < n) & (b < n)
-            own = np.where(inside, np.minimum(left[np.minimum(a, n - 1)], left[np.minimum(b, n - 1)]), 0) >= 1 << k
-            same = own & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
-            step = np.where(same, 1 << k, 0)
-            ends = (a + step >= stop[np.minimum(a, n - 1)]) | (b + step >= stop[np.minimum(b, n - 1)])
-            shared += step
-            a, b = np.where(ends & same, n, a + step), np.where(ends & same, n, b + step)
-    shared = np.minimum(np.append(0, shared), 2 * window)
-    return at, np.cumsum(shared < window) - 1, shared
+            fits = np.minimum(stop[a[live]] - a[live], stop[b[live]] - b[live]) - out[live] >= 1 << k
+            x, y = (np.minimum(p[live] + out[live], len(stop) - 1) for p in (a, b))
+            out[live] += np.where(fits & (ranks[k][x] == ranks[k][y]), 1 << k, 0)
+        live = live[out[live] > before]
+    return np.append(np.zeros(min(len(at), 1), np.int64), out)
 
 
 def lost_in(batch: pa.Table, window: int) -> pa.RecordBatch:

@@ -169,7 +169,8 @@ def test_subtrees_have_the_deep_nodes_of_a_suffix_tree():
         texts = [[rnd.choice("abc" if rnd.random() < 0.02 else "a") for _ in range(rnd.choice([0, 3, 40, 120]))] for _ in range(4)]
         window = rnd.choice([2, 7, 50])
         words = Words(pa.array([" ".join(t) for t in texts]))
-        at, node, shared = substring.subtree(words, window)
+        at, node, ranks = substring.subtree(words, window)
+        shared = substring.shared_words(words, at, ranks)
         flat = [x for t in texts for x in t]
         stop = np.repeat(words.first[1:], words.counts())
         want = {}
@@ -183,7 +184,8 @@ def test_subtrees_have_the_deep_nodes_of_a_suffix_tree():
         for k in range(1, len(at)):
             x, y = flat[at[k - 1] : stop[at[k - 1]]], flat[at[k] : stop[at[k]]]
             real = next((j for j, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))  # noqa: B905
-            assert shared[k] == min(real, 2 * window) or (min(shared[k], real) >= window and shared[k] <= real)
+            assert shared[k] == real
+            assert (real >= window) == (node[k] == node[k - 1])
 
 
 def test_rows_with_one_id_do_not_remove_each_other(spark, docs):
