@@ -20,6 +20,8 @@ of equal scores the smaller id comes first. Null ids take no part.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Candidates of a cell and queries of a block, about; cells are no fewer than CELLS.
-CELL, BLOCK, CELLS = 8192, 4096, 24
-#: Stretches of a list; bounds are looked at after each.
-STRETCHES = 4
+#: Candidates of a cell and queries of a block, about. Bounds leave out more in large cells, whose k-th best is higher.
+CELL, BLOCK = 8192, 4096
+#: Shares of each list after which bounds are looked at; stretches are short where many candidates leave.
+SHARES = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8)
 #: Queries of a cell that read in step.
 STEP = 64
 #: Integers below this are exact as floats.
@@ -60,6 +62,8 @@ class SortedLists:
         self.place = np.empty_like(order)
         np.put_along_axis(self.place, order, np.arange(self.n)[:, None], axis=0)
         self.largest = float(np.abs(self.floats).max(initial=0))
+        #: Of each query the share of the lists that was read and the candidates that were left then, for those who want to know.
+        self.read: dict[int, tuple[float, int]] = {}
 
     def bounds(self, up: np.ndarray, down: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds (candidates x queries) when so much of each list is read: from the high end for the positive parts of queries, up, from the low end for the negative ones, down."""
@@ -76,9 +80,9 @@ class SortedLists:
         if self.largest * float(np.abs(queries.astype(np.float64)).sum(axis=1).max(initial=0)) < EXACT:
             for at in range(0, len(queries), STEP):
                 live = np.arange(at, min(at + STEP, len(queries)))
-                for turn in range(1, STRETCHES):
+                for share in SHARES:
                     live = live[[len(doubt[q]) > few for q in live]]
-                    read = -(-self.n * turn // STRETCHES)
+                    read = math.ceil(self.n * share)
                     if not len(live) or read >= self.n:
                         break
                     part = queries[live].astype(np.float64)
@@ -87,6 +91,7 @@ class SortedLists:
                         at_least = lower[doubt[q], column]
                         cut = len(at_least) - k
                         doubt[q] = doubt[q][upper[doubt[q], column] >= np.partition(at_least, cut)[cut]]
+                        self.read[int(q)] = share, len(doubt[q])
         out = []
         for q, rest in zip(queries, doubt, strict=True):
             scores = self.vectors[rest] @ q
@@ -99,7 +104,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
     """query_id, rank, vec_id, score: for every query its k best candidates besides its own id. Vectors are arrays of integers."""
     named = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("vector")).filter("id is not null and vector is not null")
     q, c = named(queries), named(candidates)
-    cells, blocks = max(CELLS, -(-c.count() // CELL)), max(1, -(-q.count() // BLOCK))
+    cells, blocks = max(1, -(-c.count() // CELL)), max(1, -(-q.count() // BLOCK))
     dealt = c.select(F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "id", "vector")
     asked = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vector")
 
