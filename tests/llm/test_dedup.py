@@ -1,15 +1,17 @@
 """Near and substring dedup against brute force on planted copies."""
 
 import collections
-import hashlib
 import random
 import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import tokenizers
 
+import corpus_pipeline
 from seqlab.llm import graph, near_dup, substring
 from seqlab.llm.common import Words, mix
 
@@ -118,24 +120,54 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
-@pytest.mark.parametrize("group", [0, 4000, substring.GROUP])
-def test_substrings(spark, docs, group):
-    """With all groups dealt down to whole windows, with some, and with none."""
-    rows = planted(5)
-    got = {r.doc_id: r for r in substring.removed(docs(rows, True), group=group).collect()}
-    assert len(got) == len(rows)
+def cut(rows):
+    """What is left of each text by brute force, as (words, words kept)."""
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
     first = {}
     for i in sorted(k for k in words if k is not None):
         for k in range(len(words[i]) - 49):
             first.setdefault(tuple(words[i][k : k + 50]), i)
+    out = {}
     for i, w in words.items():
-        gone = set()
-        for k in range(len(w) - 49):
-            if i is not None and first[tuple(w[k : k + 50])] < i:
-                gone |= set(range(k, k + 50))
-        assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone)), i
-        assert hashlib.sha256(got[i].kept.encode()).digest() == hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).digest()
+        gone = {x for k in range(len(w) - 49) if i is not None and first[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        out[i] = w, [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_pipeline_stages_by_brute_force(spark, docs):
+    """Near copies and repeated passages go as lists of all pairs and all windows say, and every token that is left is packed once."""
+    rows = planted(9)
+    classes = classes_of(rows)
+    table = corpus_pipeline.stored(corpus_pipeline.drop_near_copies(spark, docs(rows, True), ""), "brute-near")
+    left = [(i, t) for i, t in rows if i is None or classes[i] == i]
+    assert sorted(((r.doc_id, r.text) for r in table.collect()), key=str) == sorted(left, key=str)
+    table = corpus_pipeline.stored(corpus_pipeline.drop_repeats(spark, table, ""), "brute-cut")
+    kept = cut(left)
+    want = [(i, t if len(kept[i][0]) == len(kept[i][1]) else " ".join(kept[i][1])) for i, t in left]
+    assert sorted(((r.doc_id, r.text) for r in table.collect()), key=str) == sorted(want, key=str)
+    packed = corpus_pipeline.pack(spark, table, "").collect()
+    encoder = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = collections.Counter()
+    for r in packed:
+        lengths[r.doc_id] += r.length
+    assert lengths == {i: len(encoder.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in want}
+    filled = collections.defaultdict(list)
+    for r in packed:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for own in filled.values():
+        ends = np.cumsum([n for _, n in sorted(own)])
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1].tolist()] and ends[-1] <= 1024
+
+
+@pytest.mark.parametrize("group", [0, 4000, substring.GROUP])
+def test_substrings(spark, docs, group):
+    """With all groups dealt down to whole windows, with some, and with none."""
+    rows = planted(5)
+    got = {r.doc_id: r for r in substring.removed(docs(rows, True), group=group).collect()}
+    assert len(got) == len(rows)
+    for i, (w, kept) in cut(rows).items():
+        assert (got[i].n_words, got[i].n_removed) == (len(w), len(w) - len(kept)), i
+        assert got[i].kept == " ".join(kept)
     assert substring.removed(docs([])).count() == 0
 
 
