@@ -60,7 +60,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL has no way to state trained models and BPE; tests/llm compares the stages with brute force.
+#: SQL has no way to state trained models and BPE. tests/llm holds near duplicates, substrings and packing against
+#: brute force, and the two classifiers against their models by definition and held-out labels.
 ORACLE_SQL = None
 
 

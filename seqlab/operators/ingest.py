@@ -83,9 +83,9 @@ def label_conflicts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def dedupe_labels(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row by key, the first in the given order, ascending; copies combine before the shuffle."""
-    first = df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_first"))
-    return first.select("_first.*")
+    """One row by key, the first in the given order, ascending. Spark keeps one row by key in each task before the shuffle, and only columns that are used later are moved."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
 def label_items(items: DataFrame, labels: DataFrame, keys: list[str], marker: str | None = None) -> DataFrame:
