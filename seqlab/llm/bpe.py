@@ -11,7 +11,8 @@ stable, that is if the two tokens' bytes encode to these two tokens. Inside the
 stable already, inside the window too, so only the pairs at the window's edges need a test.
 
 Nulls count as empty texts and have no tokens; equal texts give equal ids; any length is taken
-whole, as the tree bounds the work by n log n.
+whole, as the tree bounds the work by n log n. Each row of the input has a row, rows that repeat and
+rows with a null id too; an empty table gives no rows, and other columns may have any name.
 """
 
 from __future__ import annotations

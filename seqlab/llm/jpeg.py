@@ -9,7 +9,10 @@ Huffman-decoded together in numpy, one step for all restart intervals at once, a
 thumbnail is rebuilt from the DC coefficients alone (a pixel for each block).
 
 Null media give null features; a null text is empty and has one block of zero bytes. Equal texts
-give equal bytes. Long texts are one image as long as there are fewer than 8191 x 8191 blocks.
+give equal bytes. Long texts are one image as long as there are fewer than 8191 x 8191 blocks, held
+whole in a task at some 120 bytes for each of theirs. Each row of the input has a row, rows that repeat
+and rows with a null id too; an empty table gives no rows. Columns are kept by name, so others may
+have any.
 """
 
 from __future__ import annotations

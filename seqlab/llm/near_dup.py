@@ -17,7 +17,9 @@ compared or connected, a bucket of any size is spread over tasks, and no pairs a
 
 Words are [^\\x20\\x09-\\x0D]+ as they are; a shingle is five words, or the whole of a text of one to
 four. Texts without words (null, empty) have no near copies and are classes of their own. A row with
-a null id is a class of its own with a null class. Rows that share an id have one class.
+a null id is a class of its own with a null class. Ids are meant to be unique: of rows that share an id each has
+the class of its text, and texts with the same smallest id are one class. Ids may be of any type that has an
+order, other columns may have any name, and an empty table gives no rows. Shingles are known by 64-bit names.
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ hash of the id, candidates once for every block of queries and queries once for
 of a stated query set against all rows.
 
 Vectors that are null, or hold a null, NaN or infinity, take no part; shorter vectors count as if
-zeros followed. Where numbers are so large that the bounds would not be exact, all scores are resolved. Rows that repeat an id are candidates each;
-of equal scores the smaller id comes first. Null ids take no part.
+zeros followed. Where numbers are so large that the bounds would not be exact, all scores are resolved.
+Rows that repeat an id are candidates each;
+of equal scores the smaller id comes first. Null ids take no part. Empty tables give no rows, and other
+columns may have any name.
 """
 
 from __future__ import annotations
