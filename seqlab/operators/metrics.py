@@ -84,12 +84,12 @@ def threshold_curve(df: DataFrame, keys: list[str], label: str = "label", prob:
     return confusion_metrics(counts)
 
 
-def pick_threshold(df: DataFrame, keys: list[str], objective: str = "macro_f1", more: dict[str, str] | None = None) -> DataFrame:
+def pick_threshold(df: DataFrame, keys: list[str], objective: str = "macro_f1", more: dict[str, str] | None = None, label: str = "label") -> DataFrame:
     """keys, threshold and the objective there; the lowest threshold wins ties. Without keys an empty input has the threshold 0.5 and no objective. more: a caller's objectives, as in OBJECTIVES."""
     known = OBJECTIVES | (more or {})
     if objective not in known:
         raise ValueError(f"objective is one of {list(known)}")
-    curve = threshold_curve(df, keys).withColumn("_value", F.expr(known[objective]))
+    curve = threshold_curve(df, keys, label).withColumn("_value", F.expr(known[objective]))
     best = curve.groupBy(*keys).agg(F.max_by(F.struct("k", "_value"), F.struct(F.col("_value"), -F.col("k"))).alias("b"))
     return best.select(*keys, F.coalesce(F.col("b.k") / 100.0, F.lit(0.5)).alias("threshold"), F.col("b._value").alias(objective))
 

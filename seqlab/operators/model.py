@@ -7,29 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import stored
 from .experiments import pending
-from .metrics import class_weights, pick_threshold
-
-
-def fit_score(train: DataFrame, val: DataFrame, test: DataFrame, features: str = "features", label: str = "label", objective: str = "macro_f1") -> DataFrame:
-    """test with prob and predicted (at the threshold that val chose)."""
-    w = class_weights(train, label).first()
-    data = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(label).cast("double").alias("y"), F.when(F.col(label) == 1, w["w1"]).otherwise(w["w0"]).alias("w"))
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=50, regParam=0.01).fit(data)
-
-    def scored(df: DataFrame) -> DataFrame:
-        out = model.transform(df.withColumn("x", array_to_vector(F.col(features).cast("array<double>"))))
-        return out.withColumn("prob", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
-
-    best = pick_threshold(scored(val), [], objective).first()["threshold"]
-    return scored(test).withColumn("predicted", (F.col("prob") >= best).cast("int"))
+from .metrics import pick_threshold
 
 
 #: Newton steps at most, and the largest change of a coefficient that ends them.
@@ -141,20 +125,25 @@ def scored_by(df: DataFrame, coefficients: np.ndarray, features: str = "features
     return df.mapInArrow(score, schema)
 
 
-def run_grid(conditions: list[str], seeds: list[int], build: Callable[[str, int], DataFrame], val: DataFrame, test: DataFrame, features: str = "features", label: str = "label", finished: DataFrame | None = None) -> DataFrame:
-    """Scored test rows of all conditions x seeds in one table: the columns of test, prob, predicted, condition and seed.
+def fit_score(train: DataFrame, val: DataFrame, test: DataFrame, features: str = "features", label: str = "label", objective: str = "macro_f1") -> DataFrame:
+    """test with prob and predicted (at the threshold that val chose): a grid of one run."""
+    coefficients = fit_runs(stored(train.select(features, label, F.lit(0).alias("_run")), "grid"), 1, features, label)
+    best = pick_threshold(scored_by(val, coefficients, features), [], objective, label=label).first()["threshold"]
+    return scored_by(test, coefficients, features).drop("_run").withColumn("predicted", (F.col("prob") >= best).cast("int"))
+
+
+def run_grid(specs: list[tuple[str, int]], build: Callable[[str, int], DataFrame], val: DataFrame, test: DataFrame, features: str = "features", label: str = "label", finished: DataFrame | None = None) -> DataFrame:
+    """Scored test rows of all (condition, seed) runs in one table: the columns of test, prob, predicted, condition and seed.
 
     finished has such rows of earlier runs: they are kept as they are, and only what pending() finds missing
     is fitted. build(condition, seed) gives a run's training rows. All runs are fitted together, the validation
     rows choose each run's threshold, and the test rows are scored once for all runs.
     """
     spark = test.sparkSession
-    planned = spark.createDataFrame([(c,) for c in conditions], "condition string"), spark.createDataFrame([(s,) for s in seeds], "seed int")
-    if finished is None:
-        specs = [(c, s) for c in conditions for s in seeds]
-    else:
-        left = {(r["condition"], r["seed"]) for r in pending(*planned, finished.select("condition", "seed").distinct()).collect()}
-        specs = [(c, s) for c in conditions for s in seeds if (c, s) in left]
+    if finished is not None:
+        one = lambda c, kind: spark.createDataFrame([(x,) for x in sorted({s[c] for s in specs})], kind)
+        left = {(r["condition"], r["seed"]) for r in pending(one(0, "condition string"), one(1, "seed int"), finished.select("condition", "seed").distinct()).collect()}
+        specs = [s for s in specs if s in left]
         if not specs:
             return finished
     rows = None
@@ -162,7 +151,7 @@ def run_grid(conditions: list[str], seeds: list[int], build: Callable[[str, int]
         one = build(condition, seed).select(features, label, F.lit(k).alias("_run"))
         rows = one if rows is None else rows.unionByName(one)
     coefficients = fit_runs(stored(rows, "grid"), len(specs), features, label)
-    chosen = stored(pick_threshold(scored_by(val, coefficients, features), ["_run"]).select("_run", "threshold"), "thresholds")  # a row by run
+    chosen = stored(pick_threshold(scored_by(val, coefficients, features), ["_run"], label=label).select("_run", "threshold"), "thresholds")  # a row by run
     names = spark.createDataFrame([(k, c, s) for k, (c, s) in enumerate(specs)], "_run int, condition string, seed int").join(chosen, "_run", "left")
     out = scored_by(test, coefficients, features).join(F.broadcast(names), "_run").withColumn("predicted", (F.col("prob") >= F.coalesce("threshold", F.lit(0.5))).cast("int"))
     out = out.select(*test.columns, "prob", "predicted", "condition", "seed")

@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from seqlab.operators import experiments, inference, metrics, model, ordering, sampling, sequence
@@ -170,13 +172,18 @@ def grid_inputs(spark):
 def test_runs_fitted_together_are_runs_fitted_alone(spark):
     train, val, test = grid_inputs(spark)
     build = lambda c, seed: train.filter(F.col("id") % 7 > (4 if c == "sparse" else 0) - seed)
-    got = model.run_grid(["sparse", "dense"], [0, 1], build, val, test)
+    got = model.run_grid([(c, s) for c in ("sparse", "dense") for s in (0, 1)], build, val, test)
     for c in ("sparse", "dense"):
         for seed in (0, 1):
             own = {r.id: (r.prob, r.predicted) for r in got.filter((F.col("condition") == c) & (F.col("seed") == seed)).collect()}
             alone = {r.id: (r.prob, r.predicted) for r in model.fit_score(build(c, seed), val, test).collect()}
-            assert {k: v[0] for k, v in own.items()} == pytest.approx({k: v[0] for k, v in alone.items()}, abs=2e-3)
-            assert sum(own[k][1] != alone[k][1] for k in own) <= 2
+            assert {k: v[0] for k, v in own.items()} == pytest.approx({k: v[0] for k, v in alone.items()}) and all(own[k][1] == alone[k][1] for k in own)
+            # the same model by the library's own optimiser
+            w = metrics.class_weights(build(c, seed)).first()
+            data = build(c, seed).select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"), F.when(F.col("label") == 1, w["w1"]).otherwise(w["w0"]).alias("w"))
+            other = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=100, regParam=0.01, tol=1e-9).fit(data)
+            theirs = other.transform(test.withColumn("x", array_to_vector("features"))).select("id", vector_to_array("probability")[1].alias("prob")).collect()
+            assert {k: v[0] for k, v in own.items()} == pytest.approx({r.id: r.prob for r in theirs}, abs=2e-3)
 
 
 def test_a_grid_goes_on_where_it_stopped(spark):
@@ -187,12 +194,12 @@ def test_a_grid_goes_on_where_it_stopped(spark):
         built.append((c, seed))
         return train.filter(F.col("id") % 5 != seed)
 
-    first = model.run_grid(["a"], [0, 1], build, val, test)
+    first = model.run_grid([("a", 0), ("a", 1)], build, val, test)
     marked = first.withColumn("prob", F.lit(0.25))
-    second = model.run_grid(["a", "b"], [0, 1], build, val, test, finished=marked)
+    second = model.run_grid([(c, s) for c in "ab" for s in (0, 1)], build, val, test, finished=marked)
     assert sorted(built) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
     assert second.filter("prob = 0.25").count() == first.count() == second.filter("condition = 'b'").count()
-    assert model.run_grid(["a"], [0, 1], build, val, test, finished=marked).count() == first.count()
+    assert model.run_grid([("a", 0), ("a", 1)], build, val, test, finished=marked).count() == first.count()
     assert len(built) == 4
 
 
