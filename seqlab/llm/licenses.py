@@ -131,9 +131,14 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.regexp_replace(F.lower(F.regexp_replace(text, F.lit(NAMED_HOLDER), F.lit("\n"))), F.lit(IDENTIFIER), F.lit(""))
+    # a statement has the word or a sign; texts without them are as the patterns would leave them
+    low = F.lower(text)
+    named = F.lower(F.when(low.contains("copyright"), F.regexp_replace(text, F.lit(NAMED_HOLDER), F.lit("\n"))).otherwise(text))
+    out = F.regexp_replace(named, F.lit(IDENTIFIER), F.lit(""))
+    stated = out
     for line in LINES:
-        out = F.regexp_replace(out, F.lit(line), F.lit("\n"))
+        stated = F.regexp_replace(stated, F.lit(line), F.lit("\n"))
+    out = F.when(low.contains("copyright") | low.contains("(c)") | low.contains("©"), stated).otherwise(out)
     out = F.replace(out, F.lit(RESERVED), F.lit(" "))
     out = F.regexp_replace(F.regexp_replace(out, F.lit(HEADING), F.lit("")), F.lit(SEPARATORS), F.lit(" "))
     for a, b in SPELLINGS:
