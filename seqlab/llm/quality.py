@@ -1,8 +1,10 @@
 """Quality by co-training on two views of a document: its text and its page's metadata.
 
 The text view holds what a text says and looks like: how much its words and its pairs of neighbouring
-words are those of good documents (mean log-odds from counts of hashed words), the mix of byte kinds,
-words' lengths, how many words are new. The page view holds how much the source and the language are those
+words are those of good documents (mean log-odds by counts), the mix of byte kinds, words' lengths, how
+many words are new. Log-odds are a table with a row for each word or pair that labelled documents have at
+least RARE times and that tells good from bad by CLEAR standard errors; others count as zero. The table
+grows with the vocabulary: tasks hold its most frequent rows, words that may have one beyond these are joined. The page view holds how much the source and the language are those
 of good documents: log-odds from a table with a row for each value, joined, so there may be any number of
 them. The views share no feature, and neither reads n_chars.
 
@@ -31,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, Words, bounded_batches, mix, sampled, slices, stored, table
-from .toxicity import fitted, part
+from .toxicity import Held, fitted, held, part, summed
 
 #: Bound of the labelled sample.
 SAMPLE = 20_000
@@ -43,8 +46,12 @@ ROUNDS = 4
 #: How sure a view must be of a label it hands to the other.
 SURE = 0.95
 THRESHOLD = 0.5
-#: Slots of hashed words and of hashed word pairs (bits), and the count added to each label's.
-SLOT_BITS, ADDED = 17, 1.0
+#: Places that a word or pair needs for log-odds of its own, how many standard errors these must be from zero, and the count added to both labels'.
+RARE, CLEAR, ADDED = 8, 2.0, 1.0
+#: Slots of the log-odds that tasks hold (bits, at most); the table itself has no bound.
+HELD_BITS = 18
+#: Low bits of a key: which counts rate it (half 1's for half 0, half 0's for half 1, both), and whether it is a pair's.
+RULES, PAIR = 3, 4
 #: What the page view reads.
 METADATA = ("source", "language")
 RIDGE = 1.0
@@ -58,48 +65,51 @@ for _k, _bytes in enumerate(KINDS.values()):
     KIND_OF[list(_bytes)] = _k
 
 
-def slots_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all words and their texts, then of all pairs of neighbouring words of a text and theirs; pairs have the upper half of the slots."""
+def keys_of(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys of all words and their texts, and the same of all pairs of neighbouring words of a text: 60 bits of hash, PAIR or 0, two bits free."""
     owner = np.repeat(np.arange(len(words.first) - 1), words.counts())
-    shift = np.uint64(64 - SLOT_BITS)
-    one = (words.hashes >> shift).astype(np.int64)
-    next_to = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else owner
-    pair = (mix(words.hashes[next_to] * np.uint64(BASE) + words.hashes[next_to + 1]) >> shift).astype(np.int64)
-    return one, owner, pair + (1 << SLOT_BITS), owner[next_to]
+    next_to = np.flatnonzero(owner[1:] == owner[:-1])
+    pair = mix(words.hashes[next_to] * np.uint64(BASE) + words.hashes[next_to + 1])
+    key = lambda x: (x >> np.uint64(4) << np.uint64(3)).astype(np.int64)
+    return [(key(words.hashes), owner), (key(pair) | PAIR, owner[next_to])]
 
 
-def word_counts(taught: DataFrame) -> np.ndarray:
-    """(2 halves, 2 labels, slots): in how many places each half's documents (id, text, good, half) have each slot's words."""
+def word_counts(taught: DataFrame) -> DataFrame:
+    """key and b0, g0, b1, g1: in how many places the bad and good documents (id, text, good, half) of each half have it, for keys in RARE places or more; keys -1 and -2 have the totals of words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             kind = batch.column("half").to_numpy(zero_copy_only=False) * 2 + batch.column("good").to_numpy(zero_copy_only=False).astype(np.int64)
-            one, a, pair, b = slots_of(Words(batch.column("text")))
-            names, n = np.unique(np.concatenate([one << 2 | kind[a], pair << 2 | kind[b]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["slot", "n"])
-
-    got = taught.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, 2, 2 << SLOT_BITS))
-    slot = got.column("slot").to_numpy()
-    out[slot >> 1 & 1, slot & 1, slot >> 2] = got.column("n").to_numpy()
-    return out
-
-
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """(3, slots): good less bad log-probability of each slot by the counts of half 1 (for half 0), of half 0 (for half 1) and of both."""
-    out = []
-    for c in (counts[1], counts[0], counts.sum(axis=0)):
-        share = []
-        for y in (0, 1):
-            part_ = c[y].reshape(2, -1) + ADDED
-            share.append((part_ / part_.sum(axis=1, keepdims=True)).reshape(-1))
-        out.append(np.log(share[1]) - np.log(share[0]))
-    return np.array(out)
-
-
-def text_view(column: pa.Array, odds: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Features of texts; half (0, 1, or 2: neither) chooses the log-odds that rate a text's words."""
-    words = Words(column)
+            for total, (key, text) in zip((-1, -2), keys_of(Words(batch.column("text"))), strict=True):
+                of, key, n = summed(kind[text], key, np.ones(len(key), np.int64))
+                sums = np.bincount(of, weights=n, minlength=4).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(key, np.full(4, total))), pa.array(np.append(of, np.arange(4))), pa.array(np.append(n, sums))], names=["key", "kind", "n"])
+
+    names = ["b0", "g0", "b1", "g1"]
+    counts = taught.mapInArrow(run, "key long, kind long, n long").groupBy("key").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(names)))
+    return stored(counts.filter((F.col("key") < 0) | (sum(map(F.col, names)) >= RARE)), "quality-words")
+
+
+def log_odds(counts: DataFrame) -> DataFrame:
+    """key (with its rule), value and n: how much a word or pair stands for good documents, held back by ADDED places of the usual odds, where that is clear."""
+    totals = {r.key: r.asDict() for r in counts.filter("key < 0").collect()}
+    found = []
+    for rule, halves in enumerate(("1", "0", "01")):
+        count = lambda label: sum(F.col(f"{label}{h}") for h in halves)  # noqa: E731, B023
+        shares = []
+        for total in (-1, -2):
+            good, bad = (sum(totals.get(total, {}).get(f"{label}{h}", 0) for h in halves) + ADDED for label in "gb")
+            shares.append(good / (good + bad))
+        usual = F.when(F.col("key").bitwiseAND(F.lit(PAIR).cast("long")) == 0, shares[0]).otherwise(shares[1])
+        good, bad = count("g") + ADDED * usual, count("b") + ADDED * (1 - usual)
+        value = F.log(good) - F.log(bad) - F.log(usual / (1 - usual))
+        found.append(F.struct((F.col("key") + rule).alias("key"), value.alias("value"), (count("g") + count("b")).alias("n"), F.sqrt(1 / good + 1 / bad).alias("error")))
+    entries = counts.filter("key >= 0").select(F.explode(F.array(*found)).alias("e")).select("e.*")
+    return stored(entries.filter(F.abs("value") > CLEAR * F.col("error")).select("key", "value", "n"), "quality-odds")
+
+
+def shape_of(column: pa.Array, words: Words) -> np.ndarray:
+    """Features of texts that no counts are needed for."""
     texts, n = len(column), words.counts()
     wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
     whole = column.fill_null("") if column.null_count else column
@@ -113,9 +123,7 @@ def text_view(column: pa.Array, odds: np.ndarray, half: np.ndarray) -> np.ndarra
     order = np.lexsort((words.hashes, owner))
     new = (np.diff(words.hashes[order], prepend=~words.hashes[:1]) != 0) | (np.diff(owner[order], prepend=-1) != 0)
     distinct = np.bincount(owner[order][new], minlength=texts) / np.maximum(n, 1)
-    one, a, pair, b = slots_of(words)
-    said = [np.bincount(t, weights=odds[half[t], x], minlength=texts) / np.maximum(np.bincount(t, minlength=texts), 1) for x, t in ((one, a), (pair, b))]
-    return np.column_stack([np.ones(texts), np.sqrt(shares) * 4, long / 6, distinct * 2, np.log1p(n) / 3 - 2, (distinct * 2) * (np.log1p(n) / 3 - 2), n == 0, *(2 * np.tanh(x) for x in said)])
+    return np.column_stack([np.ones(texts), np.sqrt(shares) * 4, long / 6, distinct * 2, np.log1p(n) / 3 - 2, (distinct * 2) * (np.log1p(n) / 3 - 2), n == 0])
 
 
 def page_view(source: np.ndarray, language: np.ndarray) -> np.ndarray:
@@ -148,19 +156,42 @@ def half_of(id_col: Column) -> Column:
     return F.when(part(id_col) < 2, part(id_col)).otherwise(2).cast("int")
 
 
-def featured(rows: DataFrame, odds: np.ndarray, keep: list[str]) -> DataFrame:
-    """keep (text may be among it) and a, the text view; rows have text and half."""
-    sent = rows.sparkSession.sparkContext.broadcast(odds.astype(np.float32))
+def featured(rows: DataFrame, model: Held, entries: DataFrame, keep: list[str]) -> DataFrame:
+    """keep (text may be among it) and a, the text view; rows have text and half (0, 1, or 2: neither), which chooses the log-odds that rate a text's words."""
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(model))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     keep = [f.name for f in rows.schema if f.name in keep]
+    kinds = ("word", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds, row = Held(*sent.value), TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            view = text_view(batch.column("text"), sent.value, batch.column("half").to_numpy(zero_copy_only=False))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * view.shape[1], pa.int32()), pa.array(view.reshape(-1), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, "a"])
-
-    return rows.mapInArrow(run, f"{fields}, a array<double>")
+            texts, words = len(batch), Words(batch.column("text"))
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            shape, said, late = shape_of(batch.column("text"), words), [], []
+            for key, text in keys_of(words):
+                key = key + half[text]
+                value, later = odds.find(key)
+                said += [pa.array(np.bincount(text, weights=value, minlength=texts), pa.float64()), pa.array(np.bincount(text, minlength=texts), pa.int64())]
+                late.append((text[later], key[later], np.ones(int(later.sum()), np.int64)))
+            text, key, times = summed(*(np.concatenate(x) for x in zip(*late, strict=True)))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=texts))), pa.int32())
+            view = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * shape.shape[1], pa.int32()), pa.array(shape.reshape(-1), pa.float64()))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, times)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), view, *said, pa.array(np.arange(row, row + texts)), *lists], names=[*keep, "shape", "word", "words", "pair", "pairs", "row", "keys", "times"])
+            row += texts
+
+    seen = rows.mapInArrow(run, f"{fields}, shape array<double>, word double, words long, pair double, pairs long, row long, keys array<long>, times array<long>")
+    more = {c: F.lit(0.0) for c in kinds}
+    if model.more.any():
+        seen = stored(seen, "quality-said")
+        waiting = seen.select("row", F.explode(F.arrays_zip("keys", "times")).alias("g")).select("row", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
+        is_pair = F.col("key").bitwiseAND(F.lit(PAIR).cast("long")) != 0
+        late = waiting.join(entries.select("key", "value"), "key").groupBy("row").agg(*(F.sum(F.when(on, F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, on in zip(kinds, (~is_pair, is_pair), strict=True)))
+        seen = seen.drop("keys", "times").join(late, "row", "left")
+        more = {c: F.coalesce(f"late_{c}", F.lit(0.0)) for c in kinds}
+    said = [2 * F.tanh((F.col(c) + more[c]) / F.greatest(f"{c}s", F.lit(1))) for c in kinds]
+    return seen.select(*keep, F.concat("shape", F.array(*said)).alias("a"))
 
 
 def dense(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -259,9 +290,10 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     plain = rows.select("id", "text", "half", "source", "language")
     taught = plain.filter("half < 2").join(known.hint("merge"), "id")
     odds = log_odds(word_counts(taught))
+    model = held(odds, min(HELD_BITS, max(8, odds.count().bit_length())))
     tables = {m: metadata_odds(taught, m) for m in METADATA}
     # all rows' features, some 200 bytes each, in place of their texts
-    seen = with_metadata(stored(featured(plain, odds, ["id", "half", *METADATA]), "quality-views"), tables).join(known.hint("merge"), "id", "left")
+    seen = with_metadata(stored(featured(plain, model, odds, ["id", "half", *METADATA]), "quality-views"), tables).join(known.hint("merge"), "id", "left")
     seen = stored(seen.select("id", "a", *METADATA, "good"), "quality-views")
     chosen = sampled(seen.filter("good is not null"), SAMPLE, "id", "a").withColumn("part", part(F.col("id"))).orderBy(F.xxhash64("id"), "id", F.xxhash64("a"))
     sample = chosen.select("a", *METADATA, "good", "part").toArrow()
@@ -273,7 +305,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         judge = Judge(judge.share, weights, [v[fit] for v in views], y[fit])
 
     carried = ["id", *(f"keep_{k}" for k in range(len(others)))]
-    scored = with_metadata(featured(rows, odds, [*carried, "half", *METADATA]), tables)
+    scored = with_metadata(featured(rows, model, odds, [*carried, "half", *METADATA]), tables)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,37 @@ def test_co_training_round_equals_brute_force(spark):
         assert np.allclose(after[mine], w + step, atol=1e-9)
 
 
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_words_stand_for_labels_as_counted(spark, bits):
+    """However few log-odds the tasks hold, a text's words and pairs count as by plain dictionaries; rare and unclear ones count as zero."""
+    rng = np.random.default_rng(8)
+    tongue = [[f"{x}{i}" for i in range(4)] for x in ("bad", "good", "any")]
+    taught = [(i, " ".join(rng.choice(tongue[y] + tongue[2], 60)), float(y), half) for i, (y, half) in enumerate([(0, 0), (1, 0), (0, 1), (1, 1)] * 9)]
+    rows = [(i, t, i % 3) for i, t in enumerate([*(t for _, t, _, _ in taught[:8]), "", None, "good1 unseen words good2", "bad3 " * 50])]
+    counts = [[collections.Counter() for _ in range(4)] for _ in range(2)]
+    parts = lambda t: (lambda w: (w, list(zip(w, w[1:]))))((t or "").split())  # noqa: E731, B905
+    for _, text, good, half in taught:
+        for c, found in zip(counts, parts(text), strict=True):
+            c[half * 2 + int(good)].update(found)
+
+    def value(c, x, half):
+        bad, good = (sum((c[2 * h + y] for h in ((1,), (0,), (0, 1))[half]), collections.Counter()) for y in (0, 1))
+        usual = (good.total() + quality.ADDED) / (good.total() + bad.total() + 2 * quality.ADDED)
+        g, b = good[x] + quality.ADDED * usual, bad[x] + quality.ADDED * (1 - usual)
+        out = np.log(g / b) - np.log(usual / (1 - usual))
+        return out if sum(k[x] for k in c) >= quality.RARE and abs(out) > quality.CLEAR * np.sqrt(1 / g + 1 / b) else 0.0
+
+    odds = quality.log_odds(quality.word_counts(spark.createDataFrame(taught, "id long, text string, good double, half int")))
+    model = quality.held(odds, bits)
+    assert (bits == 12) != bool(model.more.any())
+    docs = spark.createDataFrame(rows, "id long, text string, half int").withColumn("text", F.coalesce("text", F.lit("")))
+    got = {r.id: r.a[-2:] for r in quality.featured(docs, model, odds, ["id"]).collect()}
+    for i, text, half in rows:
+        want = [2 * np.tanh(sum(value(c, x, half) for x in found) / max(len(found), 1)) for c, found in zip(counts, parts(text), strict=True)]
+        assert got[i] == pytest.approx(want, abs=1e-9)
+    assert any(abs(x[0]) > 0.5 for x in got.values()) and any(abs(x[1]) > 0.02 for x in got.values())
+
+
 def test_quality_views_and_labels(spark, docs):
     """Held-out labels don't matter, carried columns stay with their row, and n_chars is in no view."""
     rows = [(i, f"fine words of row {i} " * 9 if i % 3 else f"junk### words*** of row {i} " * 9) for i in range(90)]
