@@ -4,7 +4,7 @@ The text view holds what a text says and looks like: how much its words and its
 words are those of good documents (mean log-odds by counts), the mix of byte kinds, words' lengths, how
 many words are new. Log-odds are a table with a row for each word or pair that labelled documents have at
 least RARE times and that tells good from bad by CLEAR standard errors; others count as zero. The table
-grows with the vocabulary: tasks hold its most frequent rows, words that may have one beyond these are joined. The page view holds how much the source and the language are those
+grows with the vocabulary: tasks hold its most frequent rows and a filter of those beyond, words that pass it are joined. The page view holds how much the source and the language are those
 of good documents: log-odds from a table with a row for each value, joined, so there may be any number of
 them. The views share no feature, and neither reads n_chars.
 
@@ -33,12 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, Words, bounded_batches, mix, sampled, slices, stored, table
-from .toxicity import Held, fitted, held, part, summed
+from .toxicity import Held, fitted, held, name_of, part, summed
 
 #: Bound of the labelled sample.
 SAMPLE = 20_000
@@ -49,7 +48,7 @@ THRESHOLD = 0.5
 #: Places that a word or pair needs for log-odds of its own, how many standard errors these must be from zero, and the count added to both labels'.
 RARE, CLEAR, ADDED = 8, 2.0, 1.0
 #: Slots of the log-odds that tasks hold (bits, at most); the table itself has no bound.
-HELD_BITS = 18
+HELD_BITS = 19
 #: Low bits of a key: which counts rate it (half 1's for half 0, half 0's for half 1, both), and whether it is a pair's.
 RULES, PAIR = 3, 4
 #: What the page view reads.
@@ -156,42 +155,57 @@ def half_of(id_col: Column) -> Column:
     return F.when(part(id_col) < 2, part(id_col)).otherwise(2).cast("int")
 
 
-def featured(rows: DataFrame, model: Held, entries: DataFrame, keep: list[str]) -> DataFrame:
-    """keep (text may be among it) and a, the text view; rows have text and half (0, 1, or 2: neither), which chooses the log-odds that rate a text's words."""
+def late_odds(rows: DataFrame, model: Held, entries: DataFrame) -> DataFrame:
+    """name, half and late_word and late_pair, what log-odds beyond the model's add to the sums of a text (of that half); texts without have no row."""
     sent = rows.sparkSession.sparkContext.broadcast(tuple(model))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    keep = [f.name for f in rows.schema if f.name in keep]
-    kinds = ("word", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, row = Held(*sent.value), TaskContext.get().partitionId() << 40
+        odds = Held(*sent.value)
+        for batch in slices(batches, "text"):
+            half, late = batch.column("half").to_numpy(zero_copy_only=False), []
+            for key, text in keys_of(Words(batch.column("text"))):
+                key = key + half[text]
+                at = odds.later(key)
+                late.append((text[at], key[at], np.ones(len(at), np.int64)))
+            text, key, times = summed(*(np.concatenate(x) for x in zip(*late, strict=True)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(text)) for c in ("name", "half")), pa.array(key), pa.array(times)], names=["name", "half", "key", "times"])
+
+    # copies of a text count once
+    waiting = rows.select(name_of(F.col("text")).alias("name"), "half", "text").mapInArrow(run, "name binary, half int, key long, times long").groupBy("name", "half", "key").agg(F.max("times").alias("times"))
+    is_pair = F.col("key").bitwiseAND(F.lit(PAIR).cast("long")) != 0
+    late = waiting.join(entries.select("key", "value"), "key").groupBy("name", "half").agg(*(F.sum(F.when(on, F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, on in (("word", ~is_pair), ("pair", is_pair))))
+    return stored(late, "quality-said")
+
+
+def featured(rows: DataFrame, model: Held, entries: DataFrame, keep: list[str], late: DataFrame | None = None) -> DataFrame:
+    """keep (text may be among it) and a, the text view; rows have text and half (0, 1, or 2: neither), which chooses the log-odds that rate a text's words. late: late_odds() of these texts, made here if none."""
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(model))
+    own, kinds, more = [f.name for f in rows.schema if f.name in keep], ("word", "pair"), model.more.any()
+    if more:
+        late = late_odds(rows, model, entries) if late is None else late
+        late = late.withColumnsRenamed({"name": "_name", "half": "_half"})
+        rows = rows.withColumns({"_name": name_of(F.col("text")), "_half": F.col("half")})
+    sent_on = [*own, *(["_name", "_half"] if more else [])]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in sent_on)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = Held(*sent.value)
         for batch in slices(batches, "text"):
             texts, words = len(batch), Words(batch.column("text"))
             half = batch.column("half").to_numpy(zero_copy_only=False)
-            shape, said, late = shape_of(batch.column("text"), words), [], []
+            shape, said = shape_of(batch.column("text"), words), []
             for key, text in keys_of(words):
-                key = key + half[text]
-                value, later = odds.find(key)
-                said += [pa.array(np.bincount(text, weights=value, minlength=texts), pa.float64()), pa.array(np.bincount(text, minlength=texts), pa.int64())]
-                late.append((text[later], key[later], np.ones(int(later.sum()), np.int64)))
-            text, key, times = summed(*(np.concatenate(x) for x in zip(*late, strict=True)))
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=texts))), pa.int32())
+                said += [pa.array(np.bincount(text, weights=odds.value(key + half[text]), minlength=texts), pa.float64()), pa.array(np.bincount(text, minlength=texts), pa.int64())]
             view = pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * shape.shape[1], pa.int32()), pa.array(shape.reshape(-1), pa.float64()))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, times)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), view, *said, pa.array(np.arange(row, row + texts)), *lists], names=[*keep, "shape", "word", "words", "pair", "pairs", "row", "keys", "times"])
-            row += texts
-
-    seen = rows.mapInArrow(run, f"{fields}, shape array<double>, word double, words long, pair double, pairs long, row long, keys array<long>, times array<long>")
-    more = {c: F.lit(0.0) for c in kinds}
-    if model.more.any():
-        seen = stored(seen, "quality-said")
-        waiting = seen.select("row", F.explode(F.arrays_zip("keys", "times")).alias("g")).select("row", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
-        is_pair = F.col("key").bitwiseAND(F.lit(PAIR).cast("long")) != 0
-        late = waiting.join(entries.select("key", "value"), "key").groupBy("row").agg(*(F.sum(F.when(on, F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, on in zip(kinds, (~is_pair, is_pair), strict=True)))
-        seen = seen.drop("keys", "times").join(late, "row", "left")
-        more = {c: F.coalesce(f"late_{c}", F.lit(0.0)) for c in kinds}
-    said = [2 * F.tanh((F.col(c) + more[c]) / F.greatest(f"{c}s", F.lit(1))) for c in kinds]
-    return seen.select(*keep, F.concat("shape", F.array(*said)).alias("a"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in sent_on), view, *said], names=[*sent_on, "shape", "word", "words", "pair", "pairs"])
+
+    seen = rows.mapInArrow(run, f"{fields}, shape array<double>, word double, words long, pair double, pairs long")
+    added = {c: F.lit(0.0) for c in kinds}
+    if more:
+        seen = seen.join(late, ["_name", "_half"], "left")
+        added = {c: F.coalesce(f"late_{c}", F.lit(0.0)) for c in kinds}
+    said = [2 * F.tanh((F.col(c) + added[c]) / F.greatest(f"{c}s", F.lit(1))) for c in kinds]
+    return seen.select(*own, F.concat("shape", F.array(*said)).alias("a"))
 
 
 def dense(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -290,10 +304,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     plain = rows.select("id", "text", "half", "source", "language")
     taught = plain.filter("half < 2").join(known.hint("merge"), "id")
     odds = log_odds(word_counts(taught))
-    model = held(odds, min(HELD_BITS, max(8, odds.count().bit_length())))
+    model = held(odds, min(HELD_BITS, max(8, odds.count().bit_length() + 1)))
+    late = late_odds(plain, model, odds) if model.more.any() else None
     tables = {m: metadata_odds(taught, m) for m in METADATA}
     # all rows' features, some 200 bytes each, in place of their texts
-    seen = with_metadata(stored(featured(plain, model, odds, ["id", "half", *METADATA]), "quality-views"), tables).join(known.hint("merge"), "id", "left")
+    seen = with_metadata(stored(featured(plain, model, odds, ["id", "half", *METADATA], late), "quality-views"), tables).join(known.hint("merge"), "id", "left")
     seen = stored(seen.select("id", "a", *METADATA, "good"), "quality-views")
     chosen = sampled(seen.filter("good is not null"), SAMPLE, "id", "a").withColumn("part", part(F.col("id"))).orderBy(F.xxhash64("id"), "id", F.xxhash64("a"))
     sample = chosen.select("a", *METADATA, "good", "part").toArrow()
@@ -305,7 +320,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         judge = Judge(judge.share, weights, [v[fit] for v in views], y[fit])
 
     carried = ["id", *(f"keep_{k}" for k in range(len(others)))]
-    scored = with_metadata(featured(rows, model, odds, [*carried, "half", *METADATA]), tables)
+    scored = with_metadata(featured(rows, model, odds, [*carried, "half", *METADATA], late), tables)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema if f.name in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

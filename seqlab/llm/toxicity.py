@@ -14,7 +14,7 @@ The log-ratio of an n-gram is that of its context's backoff weights plus what it
 first is zero exactly where the context has no n-gram above the discount, the second where the n-gram
 isn't above it; so a table of the contexts and n-grams that aren't zero is the whole model. The table is
 a Spark table without a bound. Its most frequent entries, a bounded number whatever the input, go to the
-tasks with their keys; keys that may have an entry beyond these are counted by document and joined to
+tasks with their keys, and a filter of those beyond; keys that pass it are counted by text and joined to
 the table, so every n-gram gets its own value. Keys are exact: six bytes each.
 
 Words are runs of letters, lower case. Null and empty texts have no characters and score the calibrated
@@ -32,7 +32,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +44,8 @@ DISCOUNT, CLASS_DISCOUNT = 0.75, 3.0
 CLEAR = (1.0, 2.0)
 #: Slots of the entries that tasks hold (bits, at most), and entries of a slot at most; the table itself has no bound.
 SLOT_BITS, WAYS = 19, 4
+#: Bits of the filter of keys beyond these for each entry, about, and of the filter in all (as a power of two, at most).
+SPARSE, FILTER_BITS = 16, 26
 #: Last byte of a context's key; UTF-8 has no such byte.
 ANY = 0xFF
 #: Bytes of text that a task turns into keys at one time.
@@ -170,88 +171,129 @@ def slot_of(key: np.ndarray, bits: int) -> np.ndarray:
     return (mix(key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def spot_of(key: np.ndarray, bits: int) -> np.ndarray:
+    """A key's bit in a filter of 2^bits."""
+    return (mix(~key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Held(NamedTuple):
-    """Entries by way and slot: keys (-1: none) and values; more marks the slots with entries beyond these."""
+    """Entries by way and slot: keys (-1: none) and values; more marks the slots with entries beyond these, and beyond, bits in words of 64, is a filter of their keys."""
 
     keys: np.ndarray
     values: np.ndarray
     more: np.ndarray
+    beyond: np.ndarray
+
+    def later(self, key: np.ndarray) -> np.ndarray:
+        """Places of keys that aren't held and that the table may have: all that it has, and few others."""
+        at = np.flatnonzero(self.more[slot_of(key, len(self.more).bit_length() - 1)])
+        spot = spot_of(key[at], 6 + len(self.beyond).bit_length() - 1)
+        at = at[(self.beyond[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0]
+        return at[~(self.keys[:, slot_of(key[at], len(self.more).bit_length() - 1)] == key[at]).any(axis=0)]
 
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each key its value, 0 where it isn't held, and whether the table may have it then."""
+    def value(self, key: np.ndarray) -> np.ndarray:
+        """Of each key its value, 0 where it isn't held."""
         slot = slot_of(key, len(self.more).bit_length() - 1)
-        value, held = np.zeros(len(key)), np.zeros(len(key), bool)
+        value = np.zeros(len(key))
         for keys, values in zip(self.keys, self.values, strict=True):
             same = keys[slot] == key
             value[same] = values[slot[same]]
-            held |= same
-        return value, ~held & self.more[slot]
+        return value
 
 
 def held(entries: DataFrame, bits: int | None = None, ways: int = WAYS) -> Held:
-    """The most frequent entries of each slot. No more rows than 2^bits (2^SLOT_BITS at most) times (ways + 1) come to the driver."""
+    """The most frequent entries of each slot. No more rows than 2^bits (2^SLOT_BITS at most) times (ways + 1), and 2^FILTER_BITS / 64 words of the filter, come to the driver."""
+    count = entries.count()
     if bits is None:
-        bits = min(SLOT_BITS, max(8, entries.count().bit_length()))
+        bits = min(SLOT_BITS, max(8, count.bit_length()))
+    sparse = min(FILTER_BITS, max(6, (SPARSE * count).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = slot_of(batch.column("key").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), *batch.columns], names=["slot", "key", "value", "n"])
+            key = batch.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(slot_of(key, bits), pa.int32()), pa.array(spot_of(key, sparse)), *batch.columns], names=["slot", "spot", "key", "value", "n"])
 
     order = Window.partitionBy("slot").orderBy(F.desc("n"), "key")
-    rows = entries.select("key", "value", "n").mapInArrow(run, "slot int, key long, value double, n long").withColumn("way", F.row_number().over(order))
+    rows = entries.select("key", "value", "n").mapInArrow(run, "slot int, spot long, key long, value double, n long").withColumn("way", F.row_number().over(order))
     got = rows.filter(F.col("way") <= ways + 1).select("slot", "way", "key", "value").toArrow()
     slot, way, key, value = (got.column(c).to_numpy() for c in got.column_names)
     keys, values, more = np.full((ways, 1 << bits), -1, np.int64), np.zeros((ways, 1 << bits)), np.zeros(1 << bits, bool)
     more[slot[way > ways]] = True
     fits = way <= ways
     keys[way[fits] - 1, slot[fits]], values[way[fits] - 1, slot[fits]] = key[fits], value[fits]
-    return Held(keys, values, more)
+    beyond = np.zeros(1 << sparse - 6, np.uint64)
+    if more.any():
+        words = rows.filter(F.col("way") > ways).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
+        beyond[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return Held(keys, values, more, beyond)
+
+
+def name_of(text: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def late_evidence(docs: DataFrame, model: Held, entries: DataFrame) -> DataFrame:
+    """name and late_total, late_e0 and late_e1, what entries beyond the model's add to a text's sums; texts without have no row."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Held(*sent.value)
+        for batch in slices(batches, "text"):
+            late: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for key, text in grams(texts_of(batch, "text")):
+                for names in (key, key | ANY):
+                    at = table.later(names)
+                    late.append(summed(text[at], names[at], np.ones(len(at), np.int64)))
+            if late:
+                text, key, times = summed(*(np.concatenate(x) for x in zip(*late, strict=True)))
+                yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(text)), pa.array(key), pa.array(times)], names=["name", "key", "times"])
+
+    # copies of a text count once
+    waiting = docs.select(name_of(F.col("text")).alias("name"), "text").mapInArrow(run, "name binary, key long, times long").groupBy("name", "key").agg(F.max("times").alias("times"))
+    own = F.col("key").bitwiseAND(F.lit(ANY).cast("long")) != ANY
+    counts = [F.lit(True), *(own & (F.col("value") > cut) for cut in CLEAR)]
+    late = waiting.join(entries.select("key", "value"), "key").groupBy("name").agg(*(F.sum(F.when(on, F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, on in zip(SUMS, counts, strict=True)))
+    return stored(late, "evidence")
+
+
+#: Sums of a text's evidence: of all log-ratios, and of n-grams those above each of CLEAR.
+SUMS = ("total", "e0", "e1")
 
 
 def evidence(docs: DataFrame, model: Held, entries: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and, of each text, total, e0 and e1 (sums of log-ratios: all, and of n-grams those above each of CLEAR) and n (characters predicted)."""
+    """keep and, of each text, total, e0 and e1 (sums of log-ratios: all, and of n-grams those above each of CLEAR) and n (characters predicted).
+
+    What entries beyond the model's add is looked up first, by text, and joined: little, so that other columns of docs are neither stored nor moved.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    late, more = None, model.more.any()
+    if more:
+        late, keep, own = late_evidence(docs, model, entries), [*keep, "name"], keep
+        docs = docs.withColumn("name", name_of(F.col("text")))
     kept = docs.select("text", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    sums = ["total", "e0", "e1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, row = Held(*sent.value), TaskContext.get().partitionId() << 40
+        table = Held(*sent.value)
         for batch in slices(batches, "text"):
             rows = len(batch)
             seen, n = np.zeros((3, rows)), np.zeros(rows, np.int64)
-            late: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for key, text in grams(texts_of(batch, "text")):
                 n += np.bincount(text, minlength=rows)
                 for names, own in ((key, True), (key | ANY, False)):
-                    value, later = table.find(names)
+                    value = table.value(names)
                     seen[0] += np.bincount(text, weights=value, minlength=rows)
                     for c, cut in enumerate(CLEAR if own else ()):
                         above = value > cut
                         seen[1 + c] += np.bincount(text[above], weights=value[above], minlength=rows)
-                    if later.any():
-                        late.append(summed(text[later], names[later], np.ones(int(later.sum()), np.int64)))
-            text, key, times = summed(*(np.concatenate(x) for x in zip(*late, strict=True))) if late else (np.zeros(0, np.int64),) * 3
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(text, minlength=rows))), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (key, times)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in seen), pa.array(n), pa.array(np.arange(row, row + rows)), *lists],
-                names=[*keep, *sums, "n", "row", "keys", "times"],
-            )
-            row += rows
-
-    seen = kept.mapInArrow(run, f"{fields}, total double, e0 double, e1 double, n long, row long, keys array<long>, times array<long>")
-    if not model.more.any():
-        return seen.drop("row", "keys", "times")
-    seen = stored(seen, "evidence")
-    waiting = seen.select("row", F.explode(F.arrays_zip("keys", "times")).alias("g")).select("row", F.col("g.keys").alias("key"), F.col("g.times").alias("times"))
-    valued = waiting.join(entries.select("key", "value"), "key")
-    own = F.col("key").bitwiseAND(F.lit(ANY).cast("long")) != ANY
-    counts = [F.lit(True), *(own & (F.col("value") > cut) for cut in CLEAR)]
-    late = valued.groupBy("row").agg(*(F.sum(F.when(on, F.col("value") * F.col("times")).otherwise(0.0)).alias(f"late_{c}") for c, on in zip(sums, counts, strict=True)))
-    both = seen.drop("keys", "times").join(late, "row", "left")
-    return both.select(*keep, *((F.col(c) + F.coalesce(f"late_{c}", F.lit(0.0))).alias(c) for c in sums), "n")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.float64()) for x in seen), pa.array(n)], names=[*keep, *SUMS, "n"])
+
+    seen = kept.mapInArrow(run, f"{fields}, total double, e0 double, e1 double, n long")
+    if not more:
+        return seen
+    both = seen.join(late, "name", "left")
+    return both.select(*own, *((F.col(c) + F.coalesce(f"late_{c}", F.lit(0.0))).alias(c) for c in SUMS), "n")
 
 
 def summed(text: np.ndarray, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

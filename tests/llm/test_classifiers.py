@@ -226,6 +226,32 @@ def test_words_stand_for_labels_as_counted(spark, bits):
     assert any(abs(x[0]) > 0.5 for x in got.values()) and any(abs(x[1]) > 0.02 for x in got.values())
 
 
+def test_only_keys_with_an_entry_are_joined(spark):
+    """Keys that no entry has aren't looked up in the table, but for a few, however full the slots are; all that aren't held are."""
+    entries = spark.range(4000).selectExpr("id * 8 + 3 as key", "id + 1.0d as value", "id as n")
+    model = toxicity.held(entries, 3)
+    key = np.arange(4000) * 8 + 3
+    value, later = model.value(key), np.isin(np.arange(4000), model.later(key))
+    assert (value > 0).sum() == 32 and (later == (value == 0)).all()
+    assert value[value > 0].tolist() == (key[value > 0] // 8 + 1.0).tolist()
+    unseen = np.arange(100_000) * 8 + 5
+    assert not model.value(unseen).any() and len(model.later(unseen)) < 10_000
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_copies_of_a_text_have_its_views(spark, bits):
+    """Rows beyond what tasks hold are found by text; copies, other halves and long columns beside them change nothing."""
+    entries = quality.word_counts(spark.createDataFrame([(i, "good one " * 5 if i % 2 else "bad one " * 5, float(i % 2), i // 2 % 2) for i in range(16)], "id long, text string, good double, half int"))
+    odds = quality.log_odds(entries)
+    model = quality.held(odds, bits)
+    text = ["good one bad", "one bad one", "good one bad"]
+    docs = spark.createDataFrame([(i, text[i % 3], i % 3 if i < 9 else 2, "x" * i) for i in range(12)], "id long, text string, half int, keep_0 string")
+    got = {r.id: (r.keep_0, [round(x, 9) for x in r.a]) for r in quality.featured(docs, model, odds, ["id", "keep_0"]).collect()}
+    alone = {i: [round(x, 9) for x in quality.featured(docs.filter(f"id = {i}"), quality.held(odds, 12), odds, ["id"]).first().a] for i in (0, 1, 9)}
+    assert len(got) == 12 and all(got[i][0] == "x" * i for i in got)
+    assert all(got[i][1] == alone[0] for i in (0, 3, 6)) and all(got[i][1] == alone[1] for i in (1, 4, 7)) and got[9][1] == got[11][1] == alone[9]
+
+
 def test_quality_views_and_labels(spark, docs):
     """Held-out labels don't matter, carried columns stay with their row, and n_chars is in no view."""
     rows = [(i, f"fine words of row {i} " * 9 if i % 3 else f"junk### words*** of row {i} " * 9) for i in range(90)]
