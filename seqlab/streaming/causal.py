@@ -15,6 +15,9 @@ from ..functions import walks
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a key that wait in one value, at most.
+INLINE = 2048
+
 
 def stream_sessions(events: DataFrame, gap_micros: int, key: str = "user_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Sessions by key: start, last event and size. A gap of exactly the length splits, so the window is a microsecond shorter."""
@@ -35,11 +38,12 @@ def stream_alarms(events: DataFrame, threshold: float, width: str = "1 day", key
 class InOrder(StatefulProcessor):
     """Holds a key's rows back until the watermark has passed them, then hands them on in the order of (time, pos).
 
-    Rows that wait are kept by stretch of time, width long, so a release reads and sorts one stretch at a time
-    and no others; one timer for each key, at the end of its earliest stretch, makes releases happen. What is
-    carried from row to row (last) has a time to live: a row at least idle behind the one before starts anew,
-    and when the watermark is that far the carried state is removed by a timer. Both go by event time, so the
-    result depends on the rows alone, not on batches. A null value is one that differs from none.
+    Up to INLINE rows wait in one value, which is read and written at once: each call to the state costs far more
+    than a row. Beyond, rows that wait are kept by stretch of time, width long, so a release reads and sorts one
+    stretch at a time and no others; one timer for each key, at the end of its earliest stretch, makes releases
+    happen. What is carried from row to row (last) has a time to live: a row at least idle behind the one before
+    starts anew, and when the watermark is that far the carried state is removed by a timer. Both go by event
+    time, so the result depends on the rows alone, not on batches. A null value is one that differs from none.
     """
 
     def __init__(self, width_micros: int, idle_micros: int) -> None:
@@ -47,48 +51,73 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        stretch = [StructField("stretch", LongType())]
-        self.parts = handle.getMapState("parts", StructType(stretch), StructType([StructField("n", IntegerType())]))
-        self.rows = handle.getMapState("rows", StructType([*stretch, StructField("part", IntegerType())]), StructType([StructField("data", BinaryType())]))
+        # rows (micros, pos, value's bits) in one value, and (stretch, number of parts) of those that are kept by stretch
+        self.waiting = handle.getValueState("waiting", StructType([StructField("data", BinaryType()), StructField("parts", BinaryType())]))
+        self.rows = handle.getMapState("rows", StructType([StructField("stretch", LongType()), StructField("part", IntegerType())]), StructType([StructField("data", BinaryType())]))
         self.last = handle.getValueState("last", StructType([StructField("micros", LongType()), StructField("carried", DoubleType())]))
 
     def wake(self, micros: int) -> None:
         self.handle.registerTimer(-(-micros // 1000))
 
+    def held(self) -> tuple[np.ndarray, dict[int, int]]:
+        got = self.waiting.get() or (b"", b"")
+        return np.frombuffer(got[0], np.int64).reshape(3, -1), dict(np.frombuffer(got[1], np.int64).reshape(-1, 2).tolist())
+
+    def hold(self, data: np.ndarray, parts: dict[int, int]) -> None:
+        self.waiting.update((data.tobytes(), np.array(list(parts.items()), np.int64).tobytes()))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        data, parts = self.held()
         for chunk in rows:
-            data = np.stack([chunk["micros"].to_numpy(np.int64), chunk["pos"].to_numpy(np.int64), chunk["value"].to_numpy(np.float64).view(np.int64)])
-            stretch = data[0] // self.width
-            for at in np.unique(stretch).tolist():
-                n = self.parts.getValue((at,))[0] if self.parts.containsKey((at,)) else 0
-                self.rows.updateValue((at, n), (data[:, stretch == at].tobytes(),))
-                self.parts.updateValue((at,), (n + 1,))
-            self.wake((int(stretch.min()) + 1) * self.width)
+            data = np.concatenate([data, np.stack([chunk["micros"].to_numpy(np.int64), chunk["pos"].to_numpy(np.int64), chunk["value"].to_numpy(np.float64).view(np.int64)])], axis=1)
+            if data.shape[1] > INLINE:
+                stretch = data[0] // self.width
+                for at in np.unique(stretch).tolist():
+                    n = parts.get(at, 0)
+                    self.rows.updateValue((at, n), (data[:, stretch == at].tobytes(),))
+                    parts[at] = n + 1
+                data = data[:, :0]
+        self.hold(data, parts)
+        self.wake((min([*parts, *(data[0] // self.width).tolist()]) + 1) * self.width)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((at[0], n[0]) for at, n in self.parts.iterator())
-        due = [(at, n) for at, n in waiting if (at + 1) * self.width <= now]
-        for at, n in due:
-            data = np.concatenate([np.frombuffer(self.rows.getValue((at, k))[0], np.int64).reshape(3, -1) for k in range(n)], axis=1)
+        inline, parts = self.held()
+        stretch = inline[0] // self.width
+        ready = (stretch + 1) * self.width <= now
+        due = sorted(at for at in {*parts, *stretch[ready].tolist()} if (at + 1) * self.width <= now)
+        was = before = self.last.get()
+        apart = any(at in parts for at in due)  # else all that is due is in one value, and sorted together
+        for at in due if apart else due[:1]:
+            n = parts.pop(at, 0)
+            kept = [np.frombuffer(self.rows.getValue((at, k))[0], np.int64).reshape(3, -1) for k in range(n)]
+            data = np.concatenate([*kept, inline[:, ready & (stretch == at) if apart else ready]], axis=1)
             micros, pos, value = data[:, np.lexsort((data[1], data[0]))]
-            before = self.last.get() if self.last.exists() else None
             fresh = np.diff(micros, prepend=before[0] if before else micros[0] - self.idle) >= self.idle
             out, carried = self.step(value.view(np.float64), fresh, before[1] if before else float("nan"))
-            self.last.update((int(micros[-1]), float(carried)))
+            before = (int(micros[-1]), float(carried))
             for k in range(n):
                 self.rows.removeKey((at, k))
-            self.parts.removeKey((at,))
             yield pd.DataFrame({"seq_id": key[0], "pos": pos, "out": out})
-        if len(due) < len(waiting):
-            self.wake((waiting[len(due)][0] + 1) * self.width)
-        elif self.last.exists():
-            ends = self.last.get()[0] + self.idle
-            if ends <= now:
-                self.last.clear()
+        inline = inline[:, ~ready]
+        wait = [*parts, *stretch[~ready].tolist()]
+        if due:
+            if wait:
+                self.hold(inline, parts)
+            else:
+                self.waiting.clear()
+        if wait:
+            self.wake((min(wait) + 1) * self.width)
+        elif before:
+            if before[0] + self.idle <= now:
+                before = None
             else:
-                self.wake(ends)
+                self.wake(before[0] + self.idle)
+        if before and before != was:
+            self.last.update(before)
+        elif was and not before:
+            self.last.clear()
 
     def step(self, value: np.ndarray, fresh: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
         """Results of rows in order, and what the next row has to know."""

@@ -52,6 +52,58 @@ def test_shuffled_batches_give_what_the_batch_form_gives(spark, tmp_path, width)
             assert got[s, p] == pytest.approx(x, abs=1e-9)
 
 
+class Calls:
+    """A handle whose states count their calls."""
+
+    def __init__(self):
+        self.n, self.timers, self.kept = 0, set(), {}
+
+    def state(self, name, *_):
+        calls, kept = self, self.kept.setdefault(name, {})
+
+        def counted(f):
+            def run(*a):
+                calls.n += 1
+                return f(*a)
+
+            return staticmethod(run)
+
+        return type("State", (), {
+            "get": counted(lambda: kept.get(None)), "exists": counted(lambda: None in kept), "update": counted(lambda v: kept.update({None: tuple(v)})), "clear": counted(lambda: kept.clear()),
+            "getValue": counted(kept.get), "containsKey": counted(kept.__contains__), "updateValue": counted(lambda k, v: kept.update({k: v})), "removeKey": counted(kept.pop), "iterator": counted(lambda: iter(list(kept.items()))),
+        })()
+
+    getValueState = getMapState = state
+
+    def registerTimer(self, ms):
+        self.n += 1
+        self.timers.add(ms)
+
+
+def test_a_key_needs_few_calls_to_its_state(monkeypatch):
+    """Whatever the number of stretches, a few rows are read and written at once; many rows are kept by stretch, with the same result."""
+    import types
+
+    import numpy as np
+    import pandas as pd
+
+    outs = []
+    for inline in (causal.INLINE if hasattr(causal, "INLINE") else 0, 5, 0):
+        monkeypatch.setattr(causal, "INLINE", inline, raising=False)
+        handle, p, got = Calls(), causal.Transitions(10, 10_000), []
+        p.init(handle)
+        at = np.random.default_rng(3).permutation(np.arange(120))
+        for k in range(4):
+            chunk = at[k::4]
+            list(p.handleInputRows((1,), iter([pd.DataFrame({"micros": 1000 * chunk, "pos": chunk, "value": (chunk // 3 % 2).astype(float)})]), None))
+        for now in (30, 30, 77, 20_000):
+            got += [tuple(r) for out in p.handleExpiredTimer((1,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda n=now: n), None) for r in out[["pos", "out"]].itertuples(index=False)]
+        assert [r[0] for r in got] == list(range(120)) and [r[1] for r in got] == [int(i % 3 == 0 and i > 0) for i in range(120)]
+        assert not any(handle.kept.values())
+        outs.append(handle.n)
+    assert outs[0] <= 30 < outs[2]
+
+
 def test_two_batches_out_of_order(spark, tmp_path):
     """pos 0 and 2 first, then 1 and 3: the labels in order are 0, 1, 1, 0."""
     at = lambda p, y: (1, p, y, 0.5, START + datetime.timedelta(minutes=p))
