@@ -7,15 +7,16 @@ suffixes that have a part of their prefix in common, and the part lengthens unti
 1. Equal texts are one text, of the smallest id that has it; rows of larger ids lose all that 50-word
    windows cover, which is everything.
 2. Suffixes are grouped by the smallest 16-word part of their window by hash (the leftmost of equal ones),
-   so equal windows share a group. Windows in a row with one part are a run. Groups that only one document
-   has lead to no repeat and end here: a count by group, combined before its shuffle, tells.
+   so equal windows share a group. Windows in a row with equal parts are a run, wherever their parts begin, so
+   a phrase said 300 times in a row is one run. Groups that only one document has lead to no repeat and end
+   here: a count by group, of one row for each text and group, tells.
 3. A group of at most GROUP words is dealt to one task as the words of its runs. Its subtree is built there:
    words are named by their bytes, suffixes sorted by names of their first 1, 2, 4, ... words, and what
    agrees with its neighbour in 50 words or more is below one deep internal node.
 4. A larger group is dealt anew by the smallest 32-word part of the windows, and what is still too large by
    all 50 words. There each group is a node by itself, by 128 bits of the SHA-256 of its words, of which only
-   the smallest document is kept, combined before the shuffle. So a passage in a third of all documents
-   costs a row for each window and task.
+   the smallest document is kept, combined within each batch and before the shuffle. So a passage in a third
+   of all documents costs a row for each window and batch.
 
 Hashes of words decide which group a window is in, and equal windows never part; what repeats is decided by
 words in 3 and by cryptographic digests of words in 4. A document gets back the windows it loses (3) or the
@@ -66,13 +67,21 @@ class Runs:
                 least = np.minimum(least, ahead(least, span))
                 span *= 2
             least = np.minimum(least, ahead(least, width - span))
-            where = (least[at] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-            new = np.flatnonzero((np.diff(where, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
-            for out, x in zip(parts, (at[new] + low, np.diff(np.append(new, len(at))), prefix[where[new]]), strict=True):
+            name = prefix[(least[at] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)]
+            new = np.flatnonzero((np.diff(name, prepend=~name[:1]) != 0) | (np.diff(at, prepend=-2) != 1))
+            for out, x in zip(parts, (at[new] + low, np.diff(np.append(new, len(at))), name[new]), strict=True):
                 out.append(x)
         self.begin, self.count, self.anchor = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(parts, (np.int64, np.int64, np.uint64), strict=True))
         self.text = np.searchsorted(words.first, self.begin, side="right") - 1
 
+    def by_text(self, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text and anchor once: text, anchor and windows of their runs, extra more for each run."""
+        order = np.lexsort((self.anchor, self.text))
+        text, anchor = self.text[order], self.anchor[order]
+        new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(anchor, prepend=~anchor[:1]) != 0))
+        n = np.append(0, np.cumsum(self.count[order] + extra))
+        return text[new], anchor[new], np.diff(n[np.append(new, len(order))])
+
     def starts(self, chosen: np.ndarray) -> np.ndarray:
         """Places of the windows of the chosen runs."""
         return spread(self.begin[chosen], self.count[chosen])
@@ -106,6 +115,15 @@ def nodes_of(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray,
     return out[:, 0], out[:, 1]
 
 
+def least_of(one: np.ndarray, two: np.ndarray, text: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node once, with the text of the smallest id below it."""
+    rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    order = np.lexsort((rank[text], two, one))
+    one, two, text = one[order], two[order], text[order]
+    new = np.flatnonzero((np.diff(one, prepend=~one[:1]) != 0) | (np.diff(two, prepend=~two[:1]) != 0))
+    return one[new], two[new], text[new]
+
+
 def listed(column: pa.Array, texts: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each (text, value) is in that text's list of the column; a null list is empty."""
     if not len(values):
@@ -220,15 +238,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             for batch in slices(batches, "text"):
                 words = Words(batch.column("text"))
                 runs = Runs(words, window, parts[level], within(batch, words, window, level, parts))
-                text = pa.array(runs.text)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(text), batch.column("key").take(text), signed(runs.anchor), pa.array(runs.count + window - 1)], names=["id", "key", "anchor", "n"])
+                at, anchor, n = runs.by_text(window - 1)
+                text = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(text), batch.column("key").take(text), signed(anchor), pa.array(n)], names=["id", "key", "anchor", "n"])
 
         return find
 
     groups, texts = None, known
     for level in each:
         # a text's runs of one anchor are one row, and its copies count once
-        found = texts.mapInArrow(finder(level), f"id {id_type}, key binary, anchor long, n long").groupBy("anchor", "key", "id").agg(F.sum("n").alias("n")).groupBy("anchor", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+        found = texts.mapInArrow(finder(level), f"id {id_type}, key binary, anchor long, n long").groupBy("anchor", "key").agg(F.min("id").alias("id"), F.max("n").alias("n"))
         found = stored(found, "suffix-groups")
         shared = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("n").alias("n")).filter("low < high").select("anchor", (F.col("n") > group).alias("large"))
         own = found.select("anchor", "key", "id").join(stored(shared, "shared"), "anchor").groupBy("key", "id").agg(
@@ -255,8 +274,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                         names=names,
                     )
             starts = np.flatnonzero(within(batch, words, window, len(parts), parts))
-            one, two = nodes_of(words, window, starts)
-            text, n = pa.array(np.searchsorted(words.first, starts, side="right") - 1), len(one)
+            text = np.searchsorted(words.first, starts, side="right") - 1
+            one, two, text = least_of(*nodes_of(words, window, starts), text, batch.column("id"))
+            text, n = pa.array(text), len(one)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(text), pa.nulls(n, pa.binary()), signed(one), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), signed(two)], names=names)
 
     deep = known.join(groups.hint("merge"), ["key", "id"]).select("id", "key", "text", *(f"{x}{k}" for k in each for x in ("small", "large")))

@@ -238,6 +238,38 @@ def test_anchors_do_not_depend_on_blocks(monkeypatch):
     assert len(seen[0]) == 351 + 1 + 2 + 251 and all(x == seen[0] for x in seen)
 
 
+@pytest.mark.parametrize("period", [1, 2, 17, 35, 60])
+def test_a_phrase_said_many_times_is_few_rows(period):
+    """Windows in a row with equal parts are one run wherever the parts begin, and a text's rows are those of one phrase, not of each time it is said."""
+    phrase = [f"w{i}" for i in range(period)]
+    words = Words(pa.array([" ".join(phrase * times) for times in (100, 200)]))
+    runs = substring.Runs(words, 50, 16)
+    assert runs.count.tolist() == [100 * period - 49, 200 * period - 49] or period > 35
+    text, anchor, n = runs.by_text(49)
+    assert len(set(zip(text.tolist(), anchor.tolist(), strict=True))) == len(text) == 2 * len(set(anchor.tolist()))
+    assert np.bincount(text, n).tolist() == np.bincount(runs.text, runs.count + 49).tolist()
+    starts = runs.starts(np.arange(len(runs.begin)))
+    nodes = substring.nodes_of(words, 50, starts)
+    one, two, owner = substring.least_of(*nodes, np.searchsorted(words.first, starts, side="right") - 1, pa.array(["b", "a"]))
+    assert set(zip(one.tolist(), two.tolist(), strict=True)) == set(zip(*(x.tolist() for x in nodes), strict=True))
+    assert len(one) == period and set(owner.tolist()) == {1}
+
+
+@pytest.mark.parametrize("group", [0, 700, substring.GROUP])
+def test_phrases_said_many_times(spark, docs, group):
+    rnd = random.Random(6)
+    rows = []
+    for period in (1, 2, 3, 17, 36, 60):
+        phrase = [f"{period}w{i}" for i in range(period)]
+        for _ in range(4):
+            turn, filler = rnd.randrange(period), [f"f{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, 60))]
+            rows.append(filler + ((phrase[turn:] + phrase[:turn]) * 200)[: rnd.randint(45, 200)] + filler[: rnd.randint(0, 60)])
+    rnd.shuffle(rows)
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    got = {r.doc_id: (r.n_words, r.kept) for r in substring.removed(docs(rows), group=group).collect()}
+    assert got == {i: (len(w), " ".join(kept)) for i, (w, kept) in cut(rows).items()}
+
+
 def test_substrings_equal_their_sql(spark):
     got = substring.op8_substring_dedup(spark, "/root/testdata/sf0.01").toPandas().sort_values("doc_id").reset_index(drop=True)
     con = duckdb.connect()
